@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, pii, quality_rules, simhash
 
 QUERIES = {
+    "op4_weak_pii": pii.op4_weak_pii,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE}

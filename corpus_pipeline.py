@@ -1 +1,62 @@
-"""The corpus pipeline: five stages over documents, each an operator of lodestar.llm."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of ``lodestar.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; its result is
+written as Parquet and read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestar.llm import decontaminate, packing, pii, quality_rules, simhash
+from lodestar.llm.common import documents, shared_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and documents that fail or lose too much."""
+    return quality_rules.clean(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become placeholders."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become token pieces with a place in a sequence."""
+    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii", privacy),
+    ("best_fit_packing", pack),
+]
+
+#: Stages from the second on hash, retrieve, fit or tokenise, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

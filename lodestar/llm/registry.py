@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality_rules, simhash
+import corpus_pipeline
+
+from . import decontaminate, packing, pii, quality_rules, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op4_weak_pii": pii.op4_weak_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_simhash": simhash.op6_simhash,

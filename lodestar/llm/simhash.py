@@ -174,6 +174,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The document of smallest id of each component, with all its columns; one row where an id is repeated."""
+    firsts = stage(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
+    once, more = firsts.where("count = 1").select("doc_id"), firsts.where("count > 1").select("doc_id")
+    single = docs.join(once, "doc_id", "left_semi")
+    repeated = docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).select(docs.columns)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

@@ -15,7 +15,7 @@ packed; an empty table packs to nothing; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-import os
+import functools
 import re
 import zlib
 from bisect import bisect_right
@@ -47,7 +47,7 @@ _SPLIT = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9{_LETTER
 _END = "\x01"
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte, as byte by letter."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -67,7 +67,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        letters, end = _byte_letters(), _END.encode()
+        letters, end = byte_letters(), _END.encode()
         special = set(self._tokenizer.get_added_tokens_decoder())
         ranks, ends = {}, []
         for token, i in self._tokenizer.get_vocab(with_added_tokens=True).items():
@@ -111,9 +111,14 @@ class ChunkTokenizer:
         return b"".join(found)
 
 
+@functools.cache
+def _tokenizer(path: str) -> ChunkTokenizer:
+    return ChunkTokenizer(path)
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = _tokenizer(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in text_batches(batches):
             rows = []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, packing, pii, quality_rules, simhash
+from . import decontaminate, langid, packing, pii, quality_rules, simhash, token_counts
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_language_id": langid.op1_language_id,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op4_weak_pii": pii.op4_weak_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,

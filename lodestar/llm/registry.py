@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, packing, pii, quality_rules, simhash, token_counts
+from . import decontaminate, langid, lm_scoring, packing, pii, quality_rules, simhash, token_counts, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": langid.op1_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op4_weak_pii": pii.op4_weak_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op8_lm_scoring": lm_scoring.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+}

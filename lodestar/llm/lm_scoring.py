@@ -93,6 +93,12 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield block()
 
 
+def bigram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A bigram's hash from its words' hashes (uint64)."""
+    h = (first * _MULTIPLY ^ (first >> np.uint64(31))) + second
+    return (h ^ (h >> np.uint64(29))) * _MULTIPLY
+
+
 class _Grams:
     """Distinct words and bigrams of a block, and where its words have them."""
 
@@ -101,10 +107,9 @@ class _Grams:
         first = np.zeros(len(at), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         self.second = np.flatnonzero(~first)  # positions that end a bigram
-        pairs, self.pair_at = np.unique(at[self.second - 1].astype(np.int64) * len(words) + at[self.second], return_inverse=True)
-        a, b = pairs // max(len(words), 1), pairs % max(len(words), 1)
-        self.bigrams = (words[a] * _MULTIPLY ^ (words[a] >> np.uint64(31))) + words[b]
-        self.bigrams = (self.bigrams ^ (self.bigrams >> np.uint64(29))) * _MULTIPLY
+        self.pairs, self.pair_at = np.unique(at[self.second - 1].astype(np.int64) * len(words) + at[self.second], return_inverse=True)
+        a, b = np.divmod(self.pairs, max(len(words), 1))
+        self.bigrams = bigram_hash(words[a], words[b])
 
 
 def _requests(shards: int):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, lm_scoring, packing, pii, quality_rules, simhash, token_counts, url_filter
+from . import decontaminate, langid, lm_scoring, packing, pii, quality_lm, quality_rules, simhash, token_counts, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": langid.op1_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op2_kneser_ney_quality": quality_lm.op2_kneser_ney_quality,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op2_kneser_ney_quality": quality_lm.op2_kneser_ney_quality,
     "op8_lm_scoring": lm_scoring.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import catalogue, feed, matching, refresh, shelves, stores
+
+_MODULES = (catalogue, refresh, matching, shelves, stores, feed)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}

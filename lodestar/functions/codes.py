@@ -16,7 +16,7 @@ def digits(code: Column) -> Column:
 def weighted_sum(number: Column) -> Column:
     """Sum of digits weighted 1, 3, 1, 3, ... from the right."""
     place = F.sequence(F.lit(1), F.length(number))
-    digit = lambda i: F.substr(number, F.length(number) - i + 1, F.lit(1)).cast("int")
+    digit = lambda i: F.substr(number, F.length(number) - i + 1, F.lit(1)).try_cast("int")
     return F.aggregate(place, F.lit(0), lambda s, i: s + digit(i) * F.when(i % 2 == 0, 3).otherwise(1))
 
 

@@ -1,2 +1,100 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Stores: distance, regions, votes and resolution, bound to the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import places
+from ..sources.catalogue import sql, stores, table
+
+_KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2), 1.0)))"
+
+
+def store_nearest(spark, sf_dir):
+    """The three nearest stores in a customer's city."""
+    points = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("point"), F.col("c_nationkey").alias("city"), F.expr("42.0D + (c_custkey * 29 % 1000) / 1000.0D").alias("lat0"), F.expr("20.5D + (c_custkey * 31 % 1000) / 1000.0D").alias("lng0")
+    )
+    found = places.nearest(points, stores(spark, sf_dir).drop("name", "chain"), ["city"], 3)
+    return found.select("point", "place", "sid", F.floor(F.col("km") * 100).alias("decametres"))
+
+
+_NEAREST = sql("store", f"""+c AS (SELECT c_custkey AS point, c_nationkey AS city, 42.0::DOUBLE + (c_custkey * 29 % 1000) / 1000.0::DOUBLE AS lat, 20.5::DOUBLE + (c_custkey * 31 % 1000) / 1000.0::DOUBLE AS lng FROM customer),
+    p AS (SELECT point, sid, round({_KM.format(a='c', b='s')}, 6) AS km FROM c JOIN store s USING (city))
+    SELECT * FROM (SELECT point, row_number() OVER (PARTITION BY point ORDER BY km NULLS LAST, sid) AS place, sid, floor(km * 100)::BIGINT AS decametres FROM p) WHERE place <= 3""")
+
+
+def store_radius_pairs(spark, sf_dir):
+    """Stores of one chain within thirty kilometres of each other."""
+    return places.near_pairs(stores(spark, sf_dir), 30.0, ["chain"]).select("a", "b", F.round("km", 4).alias("km"))
+
+
+_PAIRS = sql("store", f"SELECT a.sid AS a, b.sid AS b, round({_KM.format(a='a', b='b')}, 4) AS km FROM store a JOIN store b ON a.chain = b.chain AND a.sid < b.sid WHERE {_KM.format(a='a', b='b')} <= 30.0")
+
+
+def _segments(spark, sf_dir):
+    """Every nation's region is a rhombus around a point of its own."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.expr("42.1D + (n_nationkey % 5) * 0.2D").alias("y"), F.expr("20.6D + (n_nationkey DIV 5) * 0.2D").alias("x"))
+    sides = [(0.0, 0.137, 0.091, 0.0), (0.091, 0.0, 0.0, -0.137), (0.0, -0.137, -0.091, 0.0), (-0.091, 0.0, 0.0, 0.137)]
+    side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("y1", "x1", "y2", "x2"), s, strict=True))) for s in sides)))
+    return n.withColumn("s", side).select("region", *((F.col(k[0]) + F.col(f"s.{k}")).alias(k) for k in ("y1", "x1", "y2", "x2")))
+
+
+def point_in_polygon(spark, sf_dir):
+    return places.in_polygon(stores(spark, sf_dir).where("lat IS NOT NULL").select("sid", "lat", "lng"), _segments(spark, sf_dir))
+
+
+_POLYGON = sql("store", """+n AS (SELECT n_name AS region, 42.1::DOUBLE + (n_nationkey % 5) * 0.2::DOUBLE AS y, 20.6::DOUBLE + (n_nationkey // 5) * 0.2::DOUBLE AS x FROM nation),
+    g AS (SELECT region, y + [0.0, 0.091, 0.0, -0.091][k]::DOUBLE AS y1, x + [0.137, 0.0, -0.137, 0.0][k]::DOUBLE AS x1, y + [0.091, 0.0, -0.091, 0.0][k]::DOUBLE AS y2, x + [0.0, -0.137, 0.0, 0.137][k]::DOUBLE AS x2 FROM n, range(1, 5) t(k))
+    SELECT sid, region FROM store, g WHERE (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+
+
+def store_label_vote(spark, sf_dir):
+    """The label of each chain by vote of its stores' spellings."""
+    label = F.when(F.col("sid") % 3 == 0, F.initcap("chain")).when(F.col("sid") % 3 == 1, F.upper("chain")).otherwise(F.col("chain"))
+    return places.label_vote(stores(spark, sf_dir).withColumn("label", label), "chain", "label")
+
+
+_VOTE = sql("store", """+l AS (SELECT chain, CASE sid % 3 WHEN 0 THEN 'C' || substr(chain, 2) WHEN 1 THEN upper(chain) ELSE chain END AS label FROM store),
+    c AS (SELECT chain, label, count(*) AS n FROM l GROUP BY 1, 2)
+    SELECT chain, label, n FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY n DESC, length(regexp_replace(label, '[^A-Z]', '', 'g')) DESC, label) AS r FROM c) WHERE r = 1""")
+
+
+def store_groups(spark, sf_dir):
+    """Stores by chain and city, with how many are on the map."""
+    return stores(spark, sf_dir).groupBy("chain", "city").agg(F.count(F.lit(1)).alias("n"), F.count("lat").alias("n_placed"), F.array_join(F.sort_array(F.collect_list("sid")), ",").alias("sids"))
+
+
+_STORE_GROUPS = sql("store", "SELECT chain, city, count(*) AS n, count(lat) AS n_placed, array_to_string(list_sort(list(sid)), ',') AS sids FROM store GROUP BY 1, 2")
+
+
+def _reports(spark, sf_dir):
+    """Store reports made of customers: a phone that a store may have, a chain and a city."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("rid"), F.expr("IF(c_custkey % 4 = 0, concat('p', c_custkey % 3000), null)").alias("phone"), F.expr("concat('chain ', c_custkey % 12)").alias("chain"),
+        F.col("c_nationkey").alias("city"), F.expr("42.0D + (c_custkey * 29 % 1000) / 1000.0D").alias("lat"), F.expr("20.5D + (c_custkey * 31 % 1000) / 1000.0D").alias("lng"),
+    )
+
+
+def store_resolution(spark, sf_dir):
+    """Reports matched to stores by phone, by distance in a chain and city, or as the only one there."""
+    known = stores(spark, sf_dir).withColumn("phone", F.expr("concat('p', sid)"))
+    return places.resolve_stores(_reports(spark, sf_dir), known, 15.0)
+
+
+_RESOLUTION = sql("store", f"""+r AS (SELECT c_custkey AS rid, CASE WHEN c_custkey % 4 = 0 THEN 'p' || (c_custkey % 3000) END AS phone, 'chain ' || (c_custkey % 12) AS chain, c_nationkey AS city,
+        42.0::DOUBLE + (c_custkey * 29 % 1000) / 1000.0::DOUBLE AS lat, 20.5::DOUBLE + (c_custkey * 31 % 1000) / 1000.0::DOUBLE AS lng FROM customer),
+    h AS (SELECT rid, sid, 1 AS level FROM r JOIN store s ON r.phone = 'p' || s.sid
+        UNION ALL SELECT rid, sid, 2 FROM r JOIN store s ON r.chain = s.chain AND r.city = s.city WHERE {_KM.format(a='r', b='s')} <= 15.0
+        UNION ALL SELECT rid, sid, 3 FROM r JOIN store s ON r.chain = s.chain AND r.city = s.city),
+    g AS (SELECT rid, level, min(sid) AS sid FROM h GROUP BY 1, 2 HAVING count(DISTINCT sid) = 1)
+    SELECT rid, b.sid, b.level FROM r LEFT JOIN (SELECT rid, arg_min(sid, level) AS sid, min(level) AS level FROM g GROUP BY 1) b USING (rid)""")
+
+
+def store_greedy_merge(spark, sf_dir):
+    """Stores of one chain that merge into an earlier one within thirty kilometres, in input order."""
+    return places.greedy_merge(stores(spark, sf_dir).select("sid", "chain", "lat", "lng"), ["chain"], 30.0)
+
+
+QUERIES = {f.__name__: f for f in (store_nearest, store_radius_pairs, point_in_polygon, store_label_vote, store_groups, store_resolution, store_greedy_merge)}
+ORACLES = dict(zip(QUERIES, (_NEAREST, _PAIRS, _POLYGON, _VOTE, _STORE_GROUPS, _RESOLUTION), strict=False))

@@ -43,7 +43,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") != 7, F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100.0).alias("price"),
         F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "N", False).alias("local"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate").alias("oid"),
-        F.col("l_shipdate").alias("at"),
+        F.col("l_shipdate").cast("timestamp").alias("at"),
     )
 
 

@@ -152,7 +152,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their failing lines removed and ``n_chars``, if there, brought up to date."""
-    out = measure(docs).where(_verdicts()["kept"]).withColumn("text", F.col("quality_.clean_text")).drop("quality_")
+    # the row number keeps the filter above the measures; pushed below them, it would work them out again and again
+    rows = measure(docs).withColumn("quality_row_", F.monotonically_increasing_id())
+    out = rows.where(_verdicts()["kept"] & (F.col("quality_row_") >= 0)).withColumn("text", F.col("quality_.clean_text")).drop("quality_", "quality_row_")
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

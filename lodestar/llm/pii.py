@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 
 #: Kinds as listed: strict ones first.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -219,14 +219,15 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become the first's kind."""
-    found = annotate(docs, fit(docs))
-    by_start = "array_sort(transform(pii_.spans, x -> named_struct('s', x.s, 'e', -x.e, 'k', x.k)))"
+    own = free_name(docs, "pii_")
+    found = annotate(docs, fit(docs), own)
+    by_start = f"array_sort(transform({own}.spans, x -> named_struct('s', x.s, 'e', -x.e, 'k', x.k)))"
     name = f"concat('<', element_at(array{KINDS!r}, x.k + 1), '>')"
-    text = f"""CASE WHEN size(pii_.spans) = 0 THEN pii_.text ELSE aggregate({by_start}, named_struct('at', 0, 'out', ''),
-        (a, x) -> IF(x.s >= a.at, named_struct('at', -x.e, 'out', concat(a.out, substring(pii_.text, a.at + 1, x.s - a.at), {name})),
+    text = f"""CASE WHEN size({own}.spans) = 0 THEN {own}.text ELSE aggregate({by_start}, named_struct('at', 0, 'out', ''),
+        (a, x) -> IF(x.s >= a.at, named_struct('at', -x.e, 'out', concat(a.out, substring({own}.text, a.at + 1, x.s - a.at), {name})),
             named_struct('at', greatest(a.at, -x.e), 'out', a.out)),
-        a -> concat(a.out, substring(pii_.text, a.at + 1))) END"""
-    out = found.withColumn("text", F.expr(text)).drop("pii_")
+        a -> concat(a.out, substring({own}.text, a.at + 1))) END"""
+    out = found.withColumn("text", F.expr(text)).drop(own)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

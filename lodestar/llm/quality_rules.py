@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_name
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -85,9 +85,8 @@ def _repeated(win: str) -> str:
             0L, (m, v) -> m + v)) END"""
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with its measures, ``kept`` and ``clean_text`` under a struct column ``quality_``."""
-    hidden = "quality_"
+def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
+    """``docs`` with its measures and ``clean_text`` under a struct column ``hidden``."""
     text = docs.withColumn(hidden, F.expr("named_struct('text', coalesce(cast(text AS string), ''))"))
     text = text.withColumn(
         hidden,
@@ -153,8 +152,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their failing lines removed and ``n_chars``, if there, brought up to date."""
     # the row number keeps the filter above the measures; pushed below them, it would work them out again and again
-    rows = measure(docs).withColumn("quality_row_", F.monotonically_increasing_id())
-    out = rows.where(_verdicts()["kept"] & (F.col("quality_row_") >= 0)).withColumn("text", F.col("quality_.clean_text")).drop("quality_", "quality_row_")
+    hidden = free_name(docs, "quality_")
+    row = free_name(docs, "quality_row_")
+    rows = measure(docs, hidden).withColumn(row, F.monotonically_increasing_id())
+    out = rows.where(_verdicts(hidden)["kept"] & (F.col(row) >= 0)).withColumn("text", F.col(f"{hidden}.clean_text")).drop(hidden, row)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

@@ -119,7 +119,9 @@ def test_pii_base_spans(spark, docs, odd):
 
 
 def test_pii_redacts(spark, odd):
-    out = {r.doc_id: r.text for r in pii.redact(odd.drop("pii_")).collect()}
+    redacted = pii.redact(odd)
+    assert redacted.columns == odd.columns
+    out = {r.doc_id: r.text for r in redacted.collect()}
     assert out[7] == "mail <email> or <phone>, ip <ip>, <card>"
     assert out[4] == "word"
 
@@ -272,7 +274,7 @@ def test_lm_scores_of_odd_input(odd, spark):
 
 
 def test_quality_rules(spark, odd):
-    got = {r.doc_id: r for r in quality_rules.quality_rules(odd.drop("quality_")).collect()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
     assert [got[i].n_words for i in (1, 2, 3, 4)] == [0, 0, 0, 1]
     assert got[6].n_repeat_words == 30000 and got[6].base_failed and not any(r.kept for r in got.values())
     lines = [" ".join(f"w{7 * i + j}" for j in range(7)) + "." for i in range(6)]
@@ -280,6 +282,7 @@ def test_quality_rules(spark, odd):
     fine = spark.createDataFrame([(1, body)], "doc_id bigint, text string")
     r = quality_rules.quality_rules(fine).first()
     assert (r.lines_removed, r.kept) == (2, True)
+    assert quality_rules.clean(odd).columns == odd.columns and quality_rules.clean(odd).count() == 0
     assert quality_rules.clean(fine).first().text == "\n".join(lines)
 
 

@@ -266,6 +266,21 @@ def test_quality_classifier(spark, docs, odd):
     assert sorted(r.doc_id for r in strange if r.perplexity is None) == [1, 2, 3]
 
 
+def test_quality_rejects_junk_of_small_tables(spark):
+    """A language with few trusted documents, or none, rejects junk like the others."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    good = [(i, " ".join(rng.choices(vocabulary, k=60)), "de" if i % 20 == 0 else "en") for i in range(80)]
+    junk = [(100 + i, " ".join(f"{rng.random():.9f}" for _ in range(60)), ("en", "de", "fr")[i % 3]) for i in range(60)]
+    rows = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 80), 0) for i, _, _ in good + junk], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality_lm.classify(rows, labels).where("kept").collect()}
+    assert not kept & {i for i, _, _ in junk}
+    assert len(kept) >= 0.9 * len(good)
+    alone = quality_lm.classify(rows, labels.where("doc_id IN (1, 2)")).where("threshold IS NULL")
+    assert alone.count() == 0
+
+
 def test_lm_scores_of_odd_input(odd, spark):
     got = {r.doc_id: r for r in lm_scoring.score(odd).collect()}
     assert got[1].n_words == got[2].n_words == 0 and got[1].log_score == 0

@@ -33,6 +33,17 @@ def phrase_match(rows: DataFrame, key: str, title: str, aliases: DataFrame, lead
     return hits.groupBy(key).agg(best.alias("b"), F.count_distinct("brand").alias("n_brands")).select(key, "b.phrase", "b.brand", "n_brands")
 
 
+def without_words(rows: DataFrame, columns: list[str], phrases: DataFrame) -> DataFrame:
+    """``rows`` of which no column holds the words of a phrase side by side; ``phrases`` has phrase."""
+    named = phrases.select(text.key(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
+    # word runs must be as long as the longest phrase
+    longest = named.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    for c in columns:
+        vetoed = rows.select(c).distinct().select(F.col(c).alias("held"), F.explode(word_runs(c, longest)).alias("r")).join(named, F.col("r.phrase") == named.phrase, "left_semi")
+        rows = rows.join(vetoed.select("held").distinct(), F.col(c) == F.col("held"), "left_anti")
+    return rows
+
+
 def token_match(rows: DataFrame, key: str, brands: str, aliases: DataFrame) -> DataFrame:
     """The first token of a comma list that is an alias, then the alias of smallest ``ord``."""
     tokens = rows.select(key, F.posexplode(F.split(brands, ",")).alias("pos", "token")).withColumn("alias", F.trim(F.lower("token")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import issuer, taxonomy
+from ..operators import brands, issuer, taxonomy
 from ..sources.catalogue import flagged_brands, issuers, offers, products, sql, table
 from .catalogue import _DENSE, _VERDICT
 from .matching import FAMILIES
@@ -82,7 +82,10 @@ _SPLIT = sql("product issuer offer", f"""+{_DENSE}, f AS (SELECT pid, arg_min(so
 
 
 def trusted_local(spark, sf_dir):
-    """Products whose offers say local without dissent and that no issuer, code list or brand list vetoes."""
+    """Products whose offers by every fourth source say local, without dissent among these, and that no issuer, code list or brand list vetoes.
+
+    Other sources are not read and words of non-local brands do not veto, as in its oracle; ``trusted_local_all`` does both.
+    """
     marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
     said = offers(spark, sf_dir).where("source % 4 = 0").groupBy("pid").agg(F.bool_and("local").alias("local")).where("local <=> true")
     listed = flagged_brands(spark, sf_dir).select("brand").distinct()
@@ -96,6 +99,24 @@ _TRUSTED = sql("product issuer offer flag", f"""+{_DENSE}, m AS (SELECT p.pid, p
     SELECT pid, brand, verdict FROM m WHERE pid IN (SELECT pid FROM s) AND verdict <> 'FLAGGED' AND brand NOT IN (SELECT brand FROM flag) AND pid % 97 <> 0""")
 
 
+def trusted(marked, said, listed, codes, nonlocal_):
+    """Products (pid, code, name, brand, verdict) that an offer (pid, local) says are local and none denies, less five vetoes:
+
+    issuer, code list, brand list, and the words of a non-local brand side by side in the brand or in the name.
+    """
+    agreed = said.groupBy("pid").agg(F.bool_and("local").alias("local")).where("local <=> true")
+    kept = marked.join(agreed, "pid", "left_semi").where("NOT verdict <=> 'FLAGGED'")
+    kept = kept.join(listed, "brand", "left_anti").join(codes, "code", "left_anti")
+    return brands.without_words(kept, ["brand", "name"], nonlocal_).select("pid", "brand", "verdict")
+
+
+def trusted_local_all(spark, sf_dir):
+    """Products whose offers by all sources say local without dissent and that nothing vetoes."""
+    marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
+    flagged = flagged_brands(spark, sf_dir)
+    return trusted(marked, offers(spark, sf_dir).select("pid", "local"), flagged.select("brand").distinct(), marked.where("pid % 97 = 0").select("code"), flagged.select(F.col("alias").alias("phrase")))
+
+
 def attribute_checklist(spark, sf_dir):
     """Wide tri-state attributes of a nation as rows, in order, with the region as source of the known ones."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -164,3 +185,5 @@ _DISTINCT = sql("product issuer flag", f"""+{_DENSE}, u AS (SELECT brand, 0 AS k
 
 QUERIES = {f.__name__: f for f in (witnessed_family, rejection_gate, origin_split, trusted_local, attribute_checklist, preflight_flags, case_tally, distinct_alternatives)}
 ORACLES = dict(zip(QUERIES, (_WITNESSED, _REJECTED, _SPLIT, _TRUSTED, _CHECKLIST, _PREFLIGHT, _CASES, _DISTINCT), strict=True))
+#: Without an oracle: tested against brute force.
+QUERIES["trusted_local_all"] = trusted_local_all

@@ -75,7 +75,7 @@ _FREE = sql("product", """SELECT category, count(*) AS n, min(pid) AS "first" FR
 
 
 def text_fold_keys(spark, sf_dir):
-    """Keys of the first line of every document: folded, slugged, and as long tokens."""
+    """Keys of the first line of every document only: folded, slugged, and as long tokens; ``text_fold_keys_whole`` has those of whole texts."""
     line = F.get(F.split("text", "\n"), F.lit(0))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.key(line).alias("key"), text.slug(line).alias("slug"), text.tokens(line, 4).alias("t"))
     return rows.select("doc_id", "key", "slug", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
@@ -88,6 +88,17 @@ _KEYS = f"""WITH f AS (SELECT doc_id, {_FOLDED} AS key FROM documents),
     SELECT doc_id, key, replace(key, ' ', '-') AS slug, coalesce(n, 0) AS n_tokens, coalesce(tokens, '') AS tokens FROM f LEFT JOIN t USING (doc_id)"""
 
 
+def text_fold_keys_whole(spark, sf_dir):
+    """Keys of the whole text of every document: folded, slugged, and as long tokens."""
+    return whole_keys(table(spark, sf_dir, "documents"))
+
+
+def whole_keys(documents):
+    """doc_id, key, slug, n_tokens, tokens of the whole text of every row; a null text counts as empty."""
+    rows = documents.select("doc_id", text.key(F.col("text")).alias("key"), text.tokens(F.col("text"), 4).alias("t"))
+    return rows.select("doc_id", "key", F.replace("key", F.lit(" "), F.lit("-")).alias("slug"), F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
 def page_text(spark, sf_dir):
     """Titles of pages with references decoded, how many links they have, and the longest rule for their path."""
     title = text.decode_entities(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))
@@ -123,3 +134,5 @@ _NUTRIENTS = "SELECT l_partkey, figure, count(*) AS n, max(amount) AS most FROM
 
 QUERIES = {f.__name__: f for f in (unit_price_round_robin, seeded_band_shuffle, stratified_quota, stride_sample, firm_diversify, free_text_filter, text_fold_keys, page_text, image_codes, nutrient_rows)}
 ORACLES = dict(zip(QUERIES, (_ROBIN, _BAND, _QUOTA, _STRIDE, _FIRMS, _FREE, _KEYS, _PAGES, _IMAGES, _NUTRIENTS), strict=True))
+#: Without an oracle: tested against brute force.
+QUERIES["text_fold_keys_whole"] = text_fold_keys_whole

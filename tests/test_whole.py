@@ -1,7 +1,7 @@
 """Queries that read everything, against brute force on small tables."""
 
 from lodestar import registry
-from lodestar.plans import evidence
+from lodestar.plans import evidence, shelves
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,3 +17,9 @@ def test_trusted_local_counts_every_source(spark):
     assert sorted(r.pid for r in evidence.trusted(marked, said, listed, codes, phrases).collect()) == [1, 5]
     whole = {r.l_partkey for r in spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_returnflag = 'N'").select("l_partkey").distinct().collect()}
     assert not whole & {r.pid for r in registry.QUERIES["trusted_local_all"](spark, DATA).collect()}
+
+
+def test_whole_texts_are_keyed(spark):
+    rows = spark.createDataFrame([(1, "Čaj one\nSecond, longer line\nlonger"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in shelves.whole_keys(rows).collect()}
+    assert got == {1: (1, "caj one second longer line longer", "caj-one-second-longer-line-longer", 3, "second longer line"), 2: (2, "", "", 0, "")}

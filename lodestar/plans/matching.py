@@ -141,7 +141,10 @@ _TIERS = f"""WITH stance AS ({_STANCE}), product AS (SELECT * FROM ({sql('produc
 
 
 def tiered_candidates(spark, sf_dir):
-    """Shelves as probes: brands' cheapest products by tag, most specific tag first, until eight are found."""
+    """Shelves as probes: brands' cheapest products by four of the tags, most specific tag first, until eight are found.
+
+    Other tags are left out, as in its oracle; ``tiered_candidates_all`` takes every tag.
+    """
     rows = products(spark, sf_dir).select("pid", "brand", "price", "category", F.split("name", " ").alias("words"))
     tagged = rows.select("pid", "brand", "price", F.posexplode(F.reverse("words")).alias("tier", "tag"), F.col("category").alias("probe"))
     per = resolve.diversify(tagged, ["probe", "tier", "tag"], ["price", "pid"], "brand").where("tag IN ('ring', 'cold', 'hot', 'small')")
@@ -155,6 +158,17 @@ _CANDIDATES = sql("product", """+t AS (SELECT category AS probe, pid, brand, pri
     SELECT probe, tier, n, low, last FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY probe ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) WHERE before < 8""")
 
 
+def tiered(rows):
+    """Candidates (probe, tier, tag, brand, price, pid) of products by every tag of their probe, until eight are found."""
+    words = rows.select("pid", "brand", "price", F.col("category").alias("probe"), F.posexplode(F.reverse(F.split("name", " "))).alias("tier", "tag"))
+    return resolve.stop_after(resolve.diversify(words, ["probe", "tier", "tag"], ["price", "pid"], "brand"), "probe", "tier", 8)
+
+
+def tiered_candidates_all(spark, sf_dir):
+    """Shelves as probes with the tags of their own products: brands' cheapest by tag, most specific tag first, until eight are found."""
+    return tiered(products(spark, sf_dir)).groupBy("probe", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("pid").alias("last"))
+
+
 def tag_overlap(spark, sf_dir):
     """Families of products by the curated entries whose tags theirs meet: entry with most shared tags, then first."""
     entries = products(spark, sf_dir).groupBy("brand").agg(F.sort_array(F.collect_set("name")).alias("names")).select("brand", F.explode(F.slice("names", 1, 3)).alias("tag"))
@@ -201,3 +215,5 @@ _GROUPS = f"WITH stance AS ({_STANCE}), product AS (SELECT * FROM ({sql('product
 
 QUERIES = {f.__name__: f for f in (family_rules, brand_token_match, brand_phrase_match, origin_precedence, stance, family_alternatives, tier_resolution, tiered_candidates, tag_overlap, retrieval_topk, flagged_groups)}
 ORACLES = dict(zip(QUERIES, (_RULES, _TOKENS, _PHRASES, _ORIGIN, _STANCE, _ALTERNATIVES, _TIERS, _CANDIDATES, _OVERLAP, _RETRIEVAL, _GROUPS), strict=True))
+#: Without an oracle: tested against brute force.
+QUERIES["tiered_candidates_all"] = tiered_candidates_all

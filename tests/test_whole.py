@@ -1,7 +1,7 @@
 """Queries that read everything, against brute force on small tables."""
 
 from lodestar import registry
-from lodestar.plans import evidence, shelves
+from lodestar.plans import evidence, matching, shelves
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,3 +23,24 @@ def test_whole_texts_are_keyed(spark):
     rows = spark.createDataFrame([(1, "Čaj one\nSecond, longer line\nlonger"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: tuple(r) for r in shelves.whole_keys(rows).collect()}
     assert got == {1: (1, "caj one second longer line longer", "caj-one-second-longer-line-longer", 3, "second longer line"), 2: (2, "", "", 0, "")}
+
+
+def test_every_tag_gives_candidates(spark):
+    parts = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    best = {}
+    for p in parts:
+        for tier, tag in enumerate(reversed(p.p_name.split(" "))):
+            k, v = (p.p_type, tier, tag, p.p_brand), (round(p.p_retailprice, 2), p.p_partkey)
+            best[k] = min(best.get(k, v), v)
+    want = {}
+    for (probe, tier, _, _), v in best.items():
+        want.setdefault((probe, tier), []).append(v)
+    rows = set()
+    for probe in {p for p, _ in want}:
+        n = 0
+        for tier in sorted(t for p, t in want if p == probe):
+            if n < 8:
+                found = want[probe, tier]
+                rows.add((probe, tier, len(found), min(found)[0], max(i for _, i in found)))
+                n += len(found)
+    assert {tuple(r) for r in matching.tiered_candidates_all(spark, DATA).collect()} == rows

@@ -246,6 +246,46 @@ def test_candidate_recall(spark, docs):
     assert found >= 0.9 * len(items)
 
 
+def test_long_items_are_found(spark, docs):
+    """Verbatim copies of items of up to 2000 words, and of one with a tenth of its words replaced."""
+    rng = random.Random(8)
+    pool = sorted({w for t in texts(docs).values() if t for w in t.split() if w.isalpha()})
+    items = [(i, " ".join(rng.choices(pool, k=n))) for i, n in enumerate((30, 200, 800, 1000, 2000, 2000))]
+    index = decontaminate.fit(docs, items)
+    assert {len(decontaminate.item_passages(t.split())) for _, t in items} == {1, 5, 20, 25, 50}
+    around = next(t for t in texts(docs).values() if t and len(t) > 500)[:400]
+    for i, t in items:
+        changed = " ".join(w if rng.random() > 0.1 else "zz" for w in t.split())
+        for text in (t, changed):
+            assert [m[0] for m in decontaminate.matches(index, f"{around} {text} {around}")] == [i]
+
+
+def test_recall_against_brute_force(spark, docs):
+    """Every pair of a document and an item that a search of all stretches finds."""
+    rows = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r.item_id: decontaminate.words(r.text) for r in rows.collect()}
+    replies = {r.item_id: decontaminate.answer(r.text) for r in rows.collect()}
+    want = set()
+    for d, t in texts(docs).items():
+        ws = decontaminate.words(t)
+        held = set(ws)
+        for i, item in items.items():
+            if sum(w in held for w in item) < decontaminate.PARAPHRASE * len(item):
+                continue
+            size = len(item) + len(item) // 4
+            for s in range(len(ws)):
+                share = decontaminate.common_subsequence(item, ws[s : s + size]) / len(item)
+                reply = replies[i]
+                if share >= decontaminate.COPY or share >= decontaminate.PARAPHRASE and (
+                    decontaminate.common_subsequence(reply, ws[s : s + size + len(reply)]) >= decontaminate.ANSWER * len(reply)
+                ):
+                    want.add((d, i))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontaminate.search(docs, rows).collect()}
+    print("brute force", len(want), "found", len(want & got), "beyond", len(got - want))
+    assert len(want & got) >= 0.95 * len(want)
+
+
 def test_kneser_ney_sums_to_one(spark):
     trusted = spark.createDataFrame([(1, "a b a c a b d a b"), (2, "b c a b b d c a")], "doc_id bigint, text string")
     model = quality_lm.train(trusted)

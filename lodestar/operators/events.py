@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +43,26 @@ def throttled(rows: DataFrame, client: str, at: str, seconds: int, most: int) ->
 def anchored_dedupe(rows: DataFrame, key: list[str], at: str, order: str, seconds: int) -> DataFrame:
     """Only rows that open a window: a key's first row, and the first that is ``seconds`` or more after the last kept one.
 
-    Rows of a key are folded in order as microseconds; no window is anchored at a row that was dropped.
+    Rows are sorted by key and time, which spills, and read in batches; only the last kept time is carried,
+    so no group is collected.  No window is anchored at a row that was dropped.
     """
     step = seconds * 1_000_000
-    sorted_ = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(at).alias("t"), F.col(order).alias("o")))).alias("seen"))
-    none = F.array().cast("array<struct<t:bigint,o:bigint>>")
-    kept = F.aggregate(
-        "seen", none, lambda a, x: F.when((F.size(a) == 0) | (x["t"] - F.element_at(a, -1)["t"] >= step), F.concat(a, F.array(x))).otherwise(a)
-    )
-    return sorted_.select(*key, F.explode(kept).alias("k")).select(*key, F.col("k.o").alias(order))
+    moved = rows.select(*key, F.col(order), F.unix_micros(at).alias("t_"))
+    kept = moved.select(*key, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            *names, times = (batch.column(k).to_pylist() for k in (*key, "t_"))
+            opens = []
+            for *k, t in zip(*names, times, strict=True):
+                first = k != now or t is not None and last is not None and t - last >= step
+                if first:
+                    now, last = k, t
+                opens.append(first)
+            yield batch.select([*key, order]).filter(pa.array(opens, pa.bool_()))
+
+    return moved.repartition(*key).sortWithinPartitions(*key, "t_", order).mapInArrow(run, kept.schema)
 
 
 def state(rows: DataFrame, key: list[str], at: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that read everything, against brute force on small tables."""
 
 from lodestar import registry
+from lodestar.operators import events
 from lodestar.plans import evidence, matching, shelves
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +45,11 @@ def test_every_tag_gives_candidates(spark):
                 rows.add((probe, tier, len(found), min(found)[0], max(i for _, i in found)))
                 n += len(found)
     assert {tuple(r) for r in matching.tiered_candidates_all(spark, DATA).collect()} == rows
+
+
+def test_dedupe_collects_no_group(spark):
+    rows = spark.range(30000).selectExpr("id % 2 AS u", "timestamp_micros(id DIV 2 * 7000000) AS ts", "id AS e")
+    found = events.anchored_dedupe(rows, ["u"], "ts", "e", 600)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    # 7 second steps: the first row 600 s or more later is the 86th
+    assert sorted(r.e for r in found.collect()) == sorted(2 * i + u for u in (0, 1) for i in range(0, 15000, 86))

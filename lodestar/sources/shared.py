@@ -8,9 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one only where the session names none."""
+    """The session's checkpoint folder.
+
+    Where the session names none, a local session gets a folder of its own; a cluster raises an error, as a
+    folder of one machine would lose what the executors write.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

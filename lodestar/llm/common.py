@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: The ASCII white space that separates words, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,17 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
@@ -37,6 +27,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -45,11 +43,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``rows`` rows, so that Python holds few texts at once."""
     for batch in batches:
@@ -57,15 +50,33 @@ def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator
             yield batch.slice(at, rows)
 
 
+def sample_texts(docs: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """At most ``most`` distinct non-null texts (of each value of ``by``): those of least 64-bit hash.
+
+    A text is in or out by itself, whatever ids its rows have and however many there are.  Counts set the
+    share of the hash range that is looked at, at twice what is wanted; a rank then sets the bound.
+    """
+    group = [by] if by else []
+    text = F.col("text").cast("string")
+    rows = docs.where("text IS NOT NULL").select(*group, text.alias("text"), F.xxhash64(text).alias("h_"))
+    # the hash as a number from 0 to 1
+    place = (F.col("h_").cast("double") + 2.0**63) / 2.0**64
+    if not by:
+        near = rows.where(place * F.lit(rows.count()) <= 2 * most).dropDuplicates(["h_"])
+        return near.orderBy("h_").limit(most)
+    sizes = rows.groupBy(F.col(by).alias("of_")).agg(F.count(F.lit(1)).alias("n_"))
+    near = rows.join(sizes, F.col(by) == F.col("of_")).where(place * F.col("n_") <= 2 * most).dropDuplicates([by, "h_"])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("h_"))
+    return near.withColumn("r_", rank).where(F.col("r_") <= most).select(by, "text", "h_")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint); root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set is a set of stars.  Each step is a
-    partial aggregate and an equi-join; the edges are checkpointed between rounds.
+    partial aggregate and an equi-join; the edges are written between rounds, and the round before goes.
     """
-    e = checkpoint(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
@@ -73,10 +84,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
+        after = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(e)
+        e = after
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == now:
             roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
             return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

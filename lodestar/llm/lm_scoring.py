@@ -1,207 +1,152 @@
-"""Stupid-backoff scores of every document against the rest of the corpus, by hashed count tables.
-
-Method.  Bigram and unigram counts of the whole corpus live in tables dealt out by the n-gram's hash.  A
-document's words are scored by relative bigram frequency, or, where no other document has the bigram, by
-``BACKOFF`` times the unigram frequency; a document's own n-grams are taken out of the counts first, as
-every bigram would else be known.  Scores are summed per document.
-
-Scale.  Documents are exploded into n-grams block by block (up to ``BLOCK_WORDS`` words).  A block asks
-each shard once for each distinct n-gram it has, with its count there; the shard adds up and answers; the
-answers meet the block's words again.  So a bigram that a third of all documents hold moves once a block,
-not once a document, and no count table is broadcast or collected.  What moves grows with the corpus.
-Three shuffles: requests, answers, and the blocks' word streams.  ``docs`` must be a stored table: it is
-read once for requests and once for streams, in the same splits.
-
-Defined results: null and wordless texts have no words and score 0; repeated rows are documents of their
-own; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.  N-grams are told apart
-by 64-bit hashes.
+"""Stupid-backoff scores of every document against the rest of the corpus, by joins of hashed count tables.
+
+Method.  Texts are exploded into n-grams (words and bigrams, by 64-bit hash); the rows (gram, block, n) are
+partitioned by the n-gram's hash and give the corpus count of each; counts are joined back to the exploded
+n-grams and scores are summed per document.  A word is scored by relative bigram frequency, or, where no
+other document has the bigram, by ``BACKOFF`` times its unigram frequency; a document's own n-grams are
+taken out of the counts first, as every bigram would else be known.
+
+Scale.  N-grams are pre-aggregated before they move: texts lie in blocks of about ``BLOCK_WORDS`` words,
+chosen by the text's hash, and a block has one row for each distinct n-gram, so a bigram that a third of all
+documents hold moves once a block.  Only counts that other blocks add to travel back.  Copies of a text are
+one text with a number from the first shuffle on, so a group of copies lies nowhere as a whole.  Partitions
+of blocks and of n-grams grow in number with the corpus, not in size.  Nothing depends on the order in which
+the input is read, and no count table is broadcast or collected.
+
+Defined results: null and wordless texts have no words and score 0; null and repeated ids are kept as they
+are, each row with the score of its text; an empty table gives an empty result; only ``doc_id`` and ``text``
+are read.  N-grams are told apart by 64-bit hashes, texts by 128-bit ones.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_batches
+from .ngrams import Grams, WordHashes
 
 BACKOFF = 0.4
 BLOCK_WORDS = 3_000_000
-SHARD_WORDS = 3_000_000
-LEAST_SHARDS = 16
-#: Words that a Python worker remembers the hash of; it forgets all of them at this number.
-MEMORY = 600_000
-_SCHEMA = "key bigint, kind int, block bigint, data binary"
-_KINDS = ("<i4", "<i8", "<u8")
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+LEAST_PARTITIONS = 16
+#: Texts that a task remembers having sent; it forgets all of them at this number.
+MEMORY = 500_000
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), _KINDS.index(a.dtype.str)))], np.int64)
-    return zlib.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h1, h2, copies, text): a text the first time it is met, and how often it came again, without its text."""
+    names, again, block_of = ["block", "h1", "h2", "copies", "text"], {}, {}
 
-
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    raw = zlib.decompress(raw)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 * (2 * n + 1), []
-    for size, kind in head.reshape(-1, 2).tolist():
-        out.append(np.frombuffer(raw, _KINDS[kind], size, at))
-        at += size * np.dtype(_KINDS[kind]).itemsize
-    return out
-
-
-def _row(key: int, kind: int, block: int, data: bytes) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key, kind, block, data), kinds, strict=True)], ["key", "kind", "block", "data"])
-
-
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, doc ids, words of each, word hashes) of a partition's rows in order; a block is named by its content."""
-    known: dict[bytes, int] = {}
-    ids, sizes, hashes, total = [], [], [], 0
-
-    def block():
-        found = np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate(hashes)
-        name = xxhash.xxh64(found[0].tobytes())
-        name.update(found[2].tobytes())
-        return name.intdigest() >> 1, *found
+    def rest() -> pa.RecordBatch:
+        found = [(block_of[k], *k, n) for k, n in again.items() if n]
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(len(found), pa.string())], names)
+        again.clear()
+        block_of.clear()
+        return out
 
     for batch in text_batches(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-            found = list(map(known.get, words))
-            if None in found:
-                new = set(words)
-                if len(known) + len(new) > MEMORY:
-                    known.clear()
-                known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-                found = [known[w] for w in words]
-            ids.append(doc)
-            sizes.append(len(words))
-            hashes.append(np.array(found, np.uint64))
-            total += len(words)
-        if total >= BLOCK_WORDS:
-            yield block()
-            ids, sizes, hashes, total = [], [], [], 0
-    if ids:
-        yield block()
-
-
-def bigram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A bigram's hash from its words' hashes (uint64)."""
-    h = (first * _MULTIPLY ^ (first >> np.uint64(31))) + second
-    return (h ^ (h >> np.uint64(29))) * _MULTIPLY
-
-
-class _Grams:
-    """Distinct words and bigrams of a block, and where its words have them."""
-
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, at: np.ndarray):
-        self.words, self.at = words, at
-        first = np.zeros(len(at), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        self.second = np.flatnonzero(~first)  # positions that end a bigram
-        self.pairs, self.pair_at = np.unique(at[self.second - 1].astype(np.int64) * len(words) + at[self.second], return_inverse=True)
-        a, b = np.divmod(self.pairs, max(len(words), 1))
-        self.bigrams = bigram_hash(words[a], words[b])
-
-
-def _requests(shards: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, sizes, hashes in _blocks(batches):
-            words, at = np.unique(hashes, return_inverse=True)
-            g = _Grams(sizes, words, at)
-            for kind, (grams, where) in enumerate(((g.words, g.at), (g.bigrams, g.pair_at)), 1):
-                n = np.bincount(where, minlength=len(grams)).astype(np.int32)
-                shard = (grams % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                for s, rows in zip(range(shards), np.split(order, np.searchsorted(shard[order], np.arange(1, shards))), strict=True):
-                    if len(rows):
-                        yield _row(s, kind, block, _pack(grams[rows], n[rows]))
-
-    return run
-
-
-def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shards of a task: total counts, in the order in which each block asked."""
-    asked: dict[int, list] = {1: [], 2: []}
-    for batch in batches:
-        for key, kind, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            asked[kind].append((key, block, *_unpack(data)))
-    for kind, rows in asked.items():
-        if rows:
-            grams, where = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([r[3] for r in rows]), len(grams)).astype(np.int64)[where]
-            for (key, block, *_), part in zip(rows, np.split(total, np.cumsum([len(r[2]) for r in rows])[:-1]), strict=True):
-                yield _row(key, kind, block, _pack(part))
-
-
-def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, sizes, hashes in _blocks(batches):
-        words, at = np.unique(hashes, return_inverse=True)
-        yield _row(-1, 0, block, _pack(ids, sizes, words, at.astype(np.int32)))
-
-
-def _of_doc(doc: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
-    """For each position, how often its document has its n-gram."""
-    _, where, counts = np.unique(doc * n + gram, return_inverse=True, return_counts=True)
-    return counts[where]
-
-
-def score_block(sizes: np.ndarray, g: _Grams, unigrams: np.ndarray, bigrams: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log score, words that backed off) of each document, from corpus counts of the block's n-grams."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    rest = unigrams[g.at] - _of_doc(doc, g.at, len(g.words))
+        fresh = []
+        for b, *key in zip(*(batch.column(c).to_pylist() for c in ("block", "h1", "h2")), strict=True):
+            key = tuple(key)
+            fresh.append(key not in again)
+            again[key] = again.get(key, -1) + 1
+            block_of[key] = b
+        kept = batch.filter(pa.array(fresh, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:3]), pa.array([1] * len(kept), pa.int64()), kept.column("text")], names)
+        if len(again) > MEMORY:
+            yield rest()
+    yield rest()
+
+
+def _texts(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, Grams]:
+    """Keys, copies and n-grams of a block's texts, in order of their keys."""
+    copies: dict[tuple[int, int], int] = {}
+    texts: dict[tuple[int, int], str] = {}
+    for *key, n, text in zip(*(table.column(c).to_pylist() for c in ("h1", "h2", "copies", "text")), strict=True):
+        key = tuple(key)
+        copies[key] = copies.get(key, 0) + n
+        if text is not None:
+            texts[key] = text
+    keys, words = sorted(texts), WordHashes()
+    hashes = [words.of(texts[k]) for k in keys]
+    grams = Grams(np.array([len(h) for h in hashes], np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
+    return keys, np.array([copies[k] for k in keys], np.int64), grams
+
+
+def _counted(g: Grams, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a block's words and bigrams, copies counted each."""
+    weight = np.repeat(copies, g.sizes)
+    return (np.bincount(at, weight[where], n).astype(np.int64) for at, where, n in ((g.at, slice(None), len(g.words)), (g.pair_at, g.second, len(g.bigrams))))
+
+
+def _explode(key: tuple, table: pa.Table) -> pa.Table:
+    """(gram, block, n) of the distinct words and bigrams of a block."""
+    _, copies, g = _texts(table)
+    n = np.concatenate([*_counted(g, copies)])
+    grams = np.concatenate([g.words, g.bigrams]).view(np.int64)
+    return pa.table({"gram": pa.array(grams), "block": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "n": pa.array(n)})
+
+
+def _add(own: np.ndarray, grams: np.ndarray, asked: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``own`` counts of ``grams``, replaced by the corpus's where it has others."""
+    if not len(grams) or not len(asked):
+        return own
+    order = np.argsort(grams)
+    at = np.minimum(np.searchsorted(grams, asked, sorter=order), len(grams) - 1)
+    hit = grams[order[at]] == asked
+    own = own.copy()
+    own[order[at[hit]]] = total[hit]
+    return own
+
+
+def text_scores(g: Grams, unigrams: np.ndarray, bigrams: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log score, words that backed off) of each text, from corpus counts of the words and bigrams."""
+    rest = unigrams[g.at] - g.of_doc(g.doc, g.at, len(g.words))
     logs = np.log(np.maximum(rest, 1) / total)
-    second = g.second
-    others = bigrams[g.pair_at] - _of_doc(doc[second], g.pair_at, len(g.bigrams))
+    second, doc = g.second, g.doc[g.second]
+    others = bigrams[g.pair_at] - g.of_doc(doc, g.pair_at, len(g.bigrams))
     seen = others > 0
     logs[second[~seen]] += np.log(BACKOFF)
     logs[second[seen]] = np.log(others[seen] / rest[second[seen] - 1])
-    backed = np.bincount(doc[second[~seen]], minlength=len(sizes))
-    return np.bincount(doc, logs, len(sizes)), backed
-
-
-def _scored(shards: int, total: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("key", "kind", "data")), strict=True))
-        streams = [d for _, k, d in rows if k == 0]  # blocks of equal content share their name and their answers
-        ids, sizes, words, at = _unpack(streams[0])
-        g = _Grams(sizes, words, at.astype(np.int64))
-        counts = {}
-        for kind, grams in ((1, g.words), (2, g.bigrams)):
-            shard, counts[kind] = (grams % np.uint64(shards)).astype(np.int64), np.zeros(len(grams), np.int64)
-            order = np.argsort(shard, kind="stable")
-            starts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for key, k, data in rows:
-                if k == kind:
-                    counts[kind][order[starts[key] : starts[key + 1]]] = _unpack(data)[0]
-        logs, backed = score_block(sizes, g, counts[1], counts[2], total)
-        mean = np.where(sizes > 0, logs / np.maximum(sizes, 1), 0.0)
-        columns = [pa.array(ids), pa.array(sizes), pa.array(backed.astype(np.int64)), pa.array(np.round(logs, 3) + 0.0), pa.array(np.round(mean, 6) + 0.0)]
-        out = pa.table(columns, ["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"])
-        return pa.concat_tables([out] * len(streams))
+    return np.bincount(g.doc, logs, len(g.sizes)), np.bincount(doc[~seen], minlength=len(g.sizes))
+
+
+def _score(words: int):
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, copies, g = _texts(texts)
+        asked, total = counts.column("gram").to_numpy().view(np.uint64), counts.column("total").to_numpy()
+        unigrams, bigrams = (_add(own, grams, asked, total) for own, grams in zip(_counted(g, copies), (g.words, g.bigrams), strict=True))
+        logs, backed = text_scores(g, unigrams, bigrams, words)
+        mean = np.where(g.sizes > 0, logs / np.maximum(g.sizes, 1), 0.0)
+        h1, h2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+        columns = [h1, h2, pa.array(g.sizes), pa.array(backed.astype(np.int64)), pa.array(np.round(logs, 3) + 0.0), pa.array(np.round(mean, 6) + 0.0)]
+        return pa.table(columns, ["h1", "h2", "n_words", "n_backoff", "log_score", "mean_log_score"])
 
     return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, mean_log_score of every document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
     words = F.expr(r"coalesce(size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')), 0)")
     total = rows.agg(F.sum(words)).first()[0] or 0
-    shards = max(LEAST_SHARDS, total // SHARD_WORDS)
-    answers = rows.mapInArrow(_requests(shards), _SCHEMA).repartition(shards, "key").mapInArrow(_answers, _SCHEMA)
-    both = answers.union(rows.mapInArrow(_streams, _SCHEMA))
-    return both.groupBy("block").applyInArrow(
-        _scored(shards, max(total, 1)), "doc_id bigint, n_words bigint, n_backoff bigint, log_score double, mean_log_score double"
+    blocks = total // BLOCK_WORDS + 1
+    parts = max(LEAST_PARTITIONS, blocks)
+    placed = rows.select(F.pmod("h1", F.lit(blocks)).alias("block"), "h1", "h2", "text")
+    texts = placed.mapInArrow(_once, "block bigint, h1 bigint, h2 bigint, copies bigint, text string").repartition(parts, "block")
+    grams = texts.groupBy("block").applyInArrow(_explode, "gram bigint, block bigint, n bigint").repartition(parts, "gram")
+    counts = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > n").select("block", "gram", "total")
+    scored = texts.groupBy("block").cogroup(counts.repartition(parts, "block").groupBy("block")).applyInArrow(
+        _score(max(total, 1)), "h1 bigint, h2 bigint, n_words bigint, n_backoff bigint, log_score double, mean_log_score double"
     )
+    return rows.select("doc_id", "h1", "h2").join(scored, ["h1", "h2"]).select("doc_id", "n_words", "n_backoff", "log_score", "mean_log_score")
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import decontaminate, langid, lm_scoring, packing, pii, quality_lm, quality_rules, registry, simhash, token_counts, url_filter
+from lodestar.llm import decontaminate, langid, lm_scoring, ngrams, packing, pii, quality_lm, quality_rules, registry, simhash, token_counts, url_filter
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -291,12 +292,69 @@ def test_kneser_ney_sums_to_one(spark):
     model = quality_lm.train(trusted)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in b"a b c d".split()], np.uint64)
     for v in hashes:
-        pairs = quality_lm.bigram_hash(np.repeat(v, 4), hashes)
+        pairs = ngrams.bigram_hash(np.repeat(v, 4), hashes)
         p = quality_lm._look_up(model["bigram"], pairs, 0.0) + quality_lm._look_up(model["context"], np.array([v]), 1.0) * quality_lm._look_up(model["word"], hashes, model["floor"])
         unseen = quality_lm._look_up(model["context"], np.array([v]), 1.0)[0] * model["floor"]
         assert abs(p.sum() + unseen - 1) < 1e-9
 
 
+def test_perplexity_against_brute_force(spark):
+    """Interpolated modified Kneser-Ney worked out word by word from plain counts."""
+    rng = random.Random(9)
+    trusted = [" ".join(rng.choices("the cat dog sat on a mat and ran off quickly".split(), weights=range(11, 0, -1), k=60)) for _ in range(12)]
+    other = ["the cat sat on the zebra", "quickly quickly", "", None, "Dog", "on a mat and ran off the cat"]
+    bi: dict = {}
+    for t in trusted:
+        for v, w in zip(t.split(), t.split()[1:]):
+            bi[v, w] = bi.get((v, w), 0) + 1
+    before: dict = {}
+    for v, w in bi:
+        before.setdefault(w, set()).add(v)
+    spectrum = lambda cs: quality_lm.discounts(*(list(cs).count(k) for k in (1, 2, 3, 4)))
+    d, e = spectrum(bi.values()), spectrum(map(len, before.values()))
+    cut = lambda ds, c: ds[min(c, 3) - 1]
+    floor = sum(cut(e, len(x)) for x in before.values()) / len(bi) / (len(before) + 1)
+
+    def chance(v, w):
+        p = (len(before[w]) - cut(e, len(before[w]))) / len(bi) + floor if w in before else floor
+        after = {x: c for (y, x), c in bi.items() if y == v}
+        if not after:
+            return p
+        share = (after[w] - cut(d, after[w])) / sum(after.values()) if w in after else 0.0
+        return share + sum(cut(d, c) for c in after.values()) / sum(after.values()) * p
+
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    rows = spark.createDataFrame([(i if i else None, "xx", t) for i, t in enumerate(other + trusted)], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in quality_lm.perplexities(rows, model).collect()}
+    for i, t in enumerate(other + trusted):
+        ws = (t or "").lower().split()
+        r = got[i if i else None]
+        assert (r.n_words, r.lang) == (len(ws), "xx")
+        if ws:
+            want = math.exp(-sum(math.log(chance(v, w)) for v, w in zip([None, *ws], ws)) / len(ws))
+            assert abs(r.perplexity - want) < 1e-3 * want, t
+        else:
+            assert r.perplexity is None
+
+
+def test_quality_keeps_ids_and_languages(spark):
+    rows = spark.createDataFrame([(5, "one two three", "en"), (5, "vier fuenf", "de"), (None, "six", "en"), (-1, "six", None)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = sorted(((r.doc_id, r.lang, r.n_words) for r in quality_lm.classify(rows, labels).collect()), key=repr)
+    assert got == sorted([(5, "en", 3), (5, "de", 2), (None, "en", 1), (-1, None, 1)], key=repr)
+
+
+def test_samples_are_bounded(spark):
+    from lodestar.llm.common import sample_texts
+
+    rows = spark.range(4000).selectExpr("id % 3 AS lang", "IF(id % 2 = 0, 'same', concat('t', id)) AS text")
+    texts = [r.text for r in sample_texts(rows, 100).collect()]
+    assert len(texts) == len(set(texts)) == 100
+    by = [(r.lang, r.text) for r in sample_texts(rows, 50, "lang").collect()]
+    assert len(by) == len(set(by)) == 150 and {sum(x == k for x, _ in by) for k in range(3)} == {50}
+    assert sorted(t.text for t in sample_texts(rows.limit(3), 100).collect()) == sorted({r.text for r in rows.limit(3).collect()})
+
+
 def test_quality_classifier(spark, docs, odd):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = {r.doc_id: r for r in quality_lm.classify(docs, labels).collect()}
@@ -322,7 +380,11 @@ def test_quality_rejects_junk_of_small_tables(spark):
 
 
 def test_lm_scores_of_odd_input(odd, spark):
-    got = {r.doc_id: r for r in lm_scoring.score(odd).collect()}
+    null_id = odd.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("bigint"))
+    rows = lm_scoring.score(odd.union(null_id)).collect()
+    assert len(rows) == len(ODD) + 1 and sum(r.doc_id is None for r in rows) == 1
+    got = {r.doc_id: r for r in rows}
+    assert got[4] == got[4] and (got[4].n_words, got[None].log_score) == (1, got[4].log_score)
     assert got[1].n_words == got[2].n_words == 0 and got[1].log_score == 0
     assert got[6].n_words == 30000
     assert lm_scoring.score(odd.limit(0)).count() == 0

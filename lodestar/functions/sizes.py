@@ -1,8 +1,9 @@
 """Pack sizes in product titles, and unit prices.
 
-A title is read in order of trust: packs ("6X1.5L"), packs written backwards ("1.5L X6"), a plain number
-and unit ("500 Gr"), and only if none of these is there, a unit before its number ("Gr 100 x 4").  What one
-reading has used is blanked before the next.  Readings that name different quantities cancel out.
+A title is split once into tokens: numbers, words and single signs.  Everything else is a rule on places in
+that array: a unit with a number before it is a size ("500 g"), a times sign with a count on either side
+makes it a pack ("6 x 1.5 l", "1.5 l x 6"), and only a title without such a size is read the other way
+round, the unit before its number ("g 100 x 4").  Sizes that name different quantities cancel out.
 """
 
 from __future__ import annotations
@@ -22,66 +23,129 @@ UNITS = {
     "cl": ("cl", "volume", 10.0),
     "dl": ("dl", "volume", 100.0),
 }
+#: Words for pieces, and bounds of packs, of grams or millilitres, and of pieces (fixed values).
+PIECES = ("pcs", "pc", "pz", "kom", "cop")
 MAX_PACKS, MAX_TOTAL, MAX_PIECES = 200, 50_000, 5_000
-_UNIT = "(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
-_NUMBER = r"(\d{1,5}(?:[.,]\d{1,3})?)"
-#: (pattern, group of the count or 0, group of the number, group of the unit)
-_READINGS = (
-    (rf"(?<![\d.,])(\d{{1,3}})\s*[x*×]\s*{_NUMBER}\s*{_UNIT}(?![a-z0-9])", 1, 2, 3),
-    (rf"(?<![\d.,])()?{_NUMBER}\s*{_UNIT}\s*[x*×]\s*(\d{{1,3}})(?![\d.,])", 4, 2, 3),
-    (rf"(?<![\d.,])()?{_NUMBER}\s*{_UNIT}(?![a-z0-9])", 0, 2, 3),
-)
-_REVERSED = (
-    (rf"(?<![a-z0-9]){_UNIT}\.?\s*{_NUMBER}\s*[x*×]\s*(\d{{1,3}})(?![\d.,])", 3, 2, 1),
-    (rf"(?<![a-z0-9]){_UNIT}\.?\s*{_NUMBER}(?![\d.,]*\s*%)(?![a-z0-9])", 0, 2, 1),
-)
 
+#: A number, a word (which ends before an x that a digit follows), or one other sign.
+_TOKEN = r"([0-9]+(?:[.,][0-9]+)?|\p{L}+?(?=x[0-9])|\p{L}+|[^\s\p{L}0-9])"
 
-def is_sold_by_weight(title: Column) -> Column:
-    return F.coalesce(F.lower(title).rlike(r"(^|[\s(/])(kg\s*/|/\s*kg($|[^a-z0-9])|per\s*kg($|[^a-z0-9]))|(^|[\s(/.])plu[\s.:]*\d"), F.lit(False))
 
+def tokens(title: Column) -> Column:
+    """The numbers, words and signs of a title in order, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(_TOKEN), F.lit(1))
+
+
+def once(value: Column, rule) -> Column:
+    """``rule`` of a value that is worked out one time, however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
+def _number(token: Column) -> Column:
+    return F.replace(token, F.lit(","), F.lit(".")).try_cast("double")
+
+
+def _count(token: Column) -> Column:
+    """A whole number, else null."""
+    return F.when(token.rlike("^[0-9]{1,9}$"), token.cast("int"))
+
+
+def _is(token: Column, *words: str) -> Column:
+    return F.coalesce(token.isin(*words), F.lit(False))
+
+
+def _times(token: Column) -> Column:
+    return _is(token, "x", "*", "×")
+
+
+def _units() -> Column:
+    spec = lambda u: F.struct(*(F.lit(v).alias(k) for k, v in zip(("unit", "kind", "factor"), UNITS[u], strict=True)))
+    return F.create_map(*(x for u in UNITS for x in (F.lit(u), spec(u))))
+
+
+def _sizes(t: Column) -> Column:
+    """Every size that the tokens name: those with the number before its unit, or else those after it."""
+    places = F.filter(F.transform(t, lambda w, i: F.when(_is(w, *UNITS), i)), lambda i: i.isNotNull())
+
+    def size(i: Column, number: Column, packs: Column) -> Column:
+        spec, value = F.element_at(_units(), F.get(t, i)), _number(number)
+        return F.struct(
+            value.alias("value"), spec["unit"].alias("unit"), F.coalesce(packs, F.lit(1)).alias("count"), spec["kind"].alias("kind"),
+            F.round(value * spec["factor"] * F.coalesce(packs, F.lit(1)), 3).alias("total"),
+        )
 
-def _read(text: Column, reading) -> Column:
-    pattern, count, number, unit = reading
-    found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1))
+    def forward(i: Column) -> Column:
+        ahead = F.when(_times(F.get(t, i - 2)), _count(F.get(t, i - 3)))
+        behind = F.when(_times(F.get(t, i + 1)) & ~_is(F.get(t, i + 3), *UNITS), _count(F.get(t, i + 2)))
+        return size(i, F.get(t, i - 1), F.coalesce(ahead, behind))
 
-    def one(raw: Column) -> Column:
-        packs = F.regexp_extract(raw, pattern, count).cast("int") if count else F.lit(1)
-        value = F.replace(F.regexp_extract(raw, pattern, number), F.lit(","), F.lit(".")).cast("double")
-        name = F.regexp_extract(raw, pattern, unit)
-        spec = F.create_map(*(F.lit(x) for u, (_, _, f) in UNITS.items() for x in (u, f)))
-        kind = F.when(name.isin(*(u for u, s in UNITS.items() if s[1] == "mass")), "mass").otherwise("volume")
-        canon = F.create_map(*(F.lit(x) for u, (c, _, _) in UNITS.items() for x in (u, c)))
-        total = F.round(value * spec[name] * packs, 3)
-        return F.struct(value.alias("value"), canon[name].alias("unit"), packs.alias("count"), kind.alias("kind"), total.alias("total"))
+    def backward(i: Column) -> Column:
+        at = i + F.when(_is(F.get(t, i + 1), "."), 2).otherwise(1)
+        share = _is(F.get(t, at + 1), "%")
+        return size(i, F.when(~share, F.get(t, at)), F.when(_times(F.get(t, at + 1)), _count(F.get(t, at + 2))))
 
-    return F.filter(F.transform(found, one), lambda c: (c["total"] > 0) & (c["total"] <= MAX_TOTAL) & (c["count"] <= MAX_PACKS) & (c["count"] > 0))
+    fits = lambda s: (s["total"] > 0) & (s["total"] <= MAX_TOTAL) & s["count"].between(1, MAX_PACKS)
+    named = F.filter(F.transform(places, forward), lambda s: s["value"].isNotNull())
+    either = once(named, lambda f: F.when(F.size(f) > 0, f).otherwise(F.transform(places, backward)))
+    return F.filter(either, fits)
+
+
+def _by_weight(t: Column) -> Column:
+    def at(w: Column, i: Column) -> Column:
+        near = F.get(t, i + 1)
+        a_kilo = _is(w, "kg") & (_is(near, "/") | _is(F.get(t, i - 1), "/", "per"))
+        coded = _is(w, "plu") & (_number(near).isNotNull() | _is(near, ".", ":") & _number(F.get(t, i + 2)).isNotNull())
+        return a_kilo | coded
+
+    return F.exists(F.transform(t, at), lambda x: x)
+
+
+def is_sold_by_weight(title: Column) -> Column:
+    """Priced by the kilogram ("kg/", "per kg") or with a till code ("plu 12")."""
+    return once(tokens(title), _by_weight)
 
 
 def parse_size(title: Column) -> Column:
     """struct(value, unit, count, kind, total) of a title, or null; total is in grams or millilitres."""
-    text = F.lower(F.coalesce(title, F.lit("")))
-    parts, rest = [], text
-    for reading in _READINGS:
-        parts.append(_read(rest, reading))
-        rest = F.regexp_replace(rest, reading[0], " | ")
-    first = F.concat(*parts)
-    back, rest = [], text
-    for reading in _REVERSED:
-        back.append(_read(rest, reading))
-        rest = F.regexp_replace(rest, reading[0], " | ")
-    found = F.when(F.size(first) > 0, first).otherwise(F.concat(*back))
-    same = F.size(F.array_distinct(F.transform(found, lambda c: F.struct(c["kind"], c["total"])))) == 1
-    return F.when(same & ~is_sold_by_weight(title), F.get(found, F.lit(0)))
+
+    def rule(t: Column) -> Column:
+        agree = lambda s: F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["kind"], x["total"])))) == 1
+        return F.when(~_by_weight(t), once(_sizes(t), lambda s: F.when(agree(s), F.get(s, F.lit(0)))))
+
+    return once(tokens(title), rule)
 
 
 def piece_count(title: Column) -> Column:
     """Pieces in a pack ("10 pcs", "10/1"), at most MAX_PIECES; else null."""
-    text = F.lower(F.coalesce(title, F.lit("")))
-    spelled = F.regexp_extract(text, r"(?<![\d.,])(\d{1,4})\s*(?:pcs|pc|pz|kom|cop)($|[^a-z0-9])", 1)
-    slashed = F.regexp_extract(text, r"(?<![\d.,/])(\d{1,3})\s*/\s*1(?![\d.,])", 1)
-    n = F.coalesce(F.nullif(spelled, F.lit("")), F.nullif(slashed, F.lit(""))).cast("int")
-    return F.when((n > 0) & (n <= MAX_PIECES), n)
+
+    def rule(t: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            spelled = _is(F.get(t, i + 1), *PIECES)
+            slashed = _is(F.get(t, i + 1), "/") & _is(F.get(t, i + 2), "1") & ~_is(F.get(t, i - 1), "/")
+            return F.when(spelled | slashed, _count(w))
+
+        return F.get(F.filter(F.transform(t, at), lambda n: n.between(1, MAX_PIECES)), F.lit(0))
+
+    return once(tokens(title), rule)
+
+
+def match_name(name: Column) -> Column:
+    """A name by its tokens, so that pack counts, till codes, decimal commas and unit spacing make no difference."""
+
+    def rule(t: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            before, after = F.get(t, i - 1), F.get(t, i + 1)
+            till = _is(w, "plu") | _is(before, "plu") | _is(before, ".", ":") & _is(F.get(t, i - 2), "plu")
+            pack = _is(after, "/") & _is(F.get(t, i + 2), "1") | _is(w, "1") & _is(before, "/") & _count(F.get(t, i - 2)).isNotNull()
+            unit = F.element_at(_units(), F.coalesce(after, F.lit("g")))["unit"]
+            plain = F.replace(w, F.lit(","), F.lit("."))
+            number = F.when(_is(after, *UNITS), F.concat(plain, unit)).otherwise(plain)
+            glued = _is(w, *UNITS) & _number(before).isNotNull() & ~_is(F.get(t, i - 2), "plu")
+            return F.when(till | glued, None).when(_number(w).isNotNull(), F.when(~pack, number)).when(w.rlike("^[\\p{L}]"), w)
+
+        return F.array_join(F.transform(t, at), " ")
+
+    return once(tokens(name), rule)
 
 
 def format_size(size: Column) -> Column:

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđğş"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccdgs"
+#: Letters that no canonical decomposition takes apart, and what they fold to (fixed values).
+WHOLE = {"đ": "d", "ł": "l", "ø": "o", "ħ": "h", "ı": "i", "ŧ": "t", "ß": "s", "æ": "a", "œ": "o", "ð": "d", "þ": "t"}
+
+
+@functools.cache
+def accents() -> tuple[str, str]:
+    """(letters, what they fold to): every lower-case letter of the basic plane whose decomposition is one letter and marks."""
+    pairs = dict(WHOLE)
+    for code in range(0xC0, 0x10000):
+        letter = chr(code)
+        bare = [c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c)]
+        if unicodedata.decomposition(letter) and len(bare) == 1 and bare[0] != letter and letter == letter.lower():
+            pairs[letter] = WHOLE.get(bare[0], bare[0])
+    return "".join(pairs), "".join(pairs.values())
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(F.coalesce(value.cast("string"), F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without accents, whether they are part of a letter or marks after it."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(value.cast("string"), F.lit(""))), *accents()), r"\p{M}+", "")
 
 
 def key(value: Column, joiner: str = " ", keep: str = "") -> Column:
@@ -30,20 +44,6 @@ def tokens(value: Column, least: int = 1) -> Column:
     return F.array_distinct(F.filter(F.split(key(value), " "), lambda w: F.length(w) >= F.greatest(F.lit(least), F.lit(1))))
 
 
-def match_name(name: Column) -> Column:
-    """Names that differ in pack counts, till codes, decimal commas and unit spacing come out alike."""
-    out = F.lower(F.coalesce(name, F.lit("")))
-    for pattern, by in (
-        (r"plu[ .:]*[0-9]+", " "),
-        (r"([0-9]+)/1($|[^0-9])", " $2"),
-        (r"([0-9]),([0-9])", "$1.$2"),
-        (r"([0-9]) +(kg|gr|g|ml|cl|l)($|[^a-z])", "$1$2$3"),
-        (r"([0-9])gr($|[^a-z])", "$1g$2"),
-    ):
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9.]+", " "))
-
-
 def contains_words(long: Column, short: Column) -> Column:
     """Whether the words of ``short`` stand in ``long`` side by side; false if ``short`` has none."""
     return (key(short) != "") & F.concat(F.lit(" "), key(long), F.lit(" ")).contains(F.concat(F.lit(" "), key(short), F.lit(" ")))
@@ -55,9 +55,27 @@ def same_brand(a: Column, b: Column) -> Column:
     return F.coalesce((x != "") & (y != "") & (x.contains(y) | y.contains(x)), F.lit(False))
 
 
+#: Named character references that shop pages use, ampersand last (fixed values).
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_NUMERIC = r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"
+
+
+def _character(reference: Column) -> Column:
+    """The character of ``&#39;`` or ``&#x27;``; what is no character stays as it is."""
+    hexadecimal = F.regexp_extract(reference, "^&#[xX]([0-9A-Fa-f]+);$", 1)
+    code = F.coalesce(F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10), F.regexp_extract(reference, "^&#([0-9]+);$", 1)).try_cast("int")
+    high = code - 0x10000
+    pair = F.concat(F.hex(F.shiftright(high, 10) + 0xD800), F.hex(high.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.when(code > 0xFFFF, pair).otherwise(F.lpad(F.hex(code), 4, "0"))), "UTF-16BE")).otherwise(reference)
+
+
 def decode_entities(value: Column) -> Column:
-    """The named character references that shop pages use, ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """Numeric and hexadecimal character references, then the named ones that shop pages use; decoded once each."""
+    found = F.transform(F.regexp_extract_all(value, F.lit(_NUMERIC), F.lit(1)), _character)
+    parts = F.zip_with(F.split(value, _NUMERIC, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    value = F.when(value.contains("&#"), F.array_join(parts, "")).otherwise(value)
+    for name, char in REFERENCES:
         value = F.replace(value, F.lit(name), F.lit(char))
     return value
 

@@ -49,8 +49,11 @@ def collapse(rows: DataFrame, name: str, brand: str, order: str) -> DataFrame:
 
 
 def shadowed(rows: DataFrame, retailer: str, name: str, code: str, order: str) -> DataFrame:
-    """One row for each (retailer, name, code), cheapest first; then rows without a code go where a coded twin exists."""
-    window = Window.partitionBy(retailer, name, code).orderBy(*price_order(), order)
-    ranked = rows.withColumn("rank_", F.row_number().over(window)).where("rank_ = 1").drop("rank_")
-    coded = ranked.where(F.col(code).isNotNull()).select(retailer, name).distinct()
-    return ranked.where(F.col(code).isNotNull()).unionByName(ranked.where(F.col(code).isNull()).join(coded, [retailer, name], "left_anti"))
+    """One row for each (retailer, name, code), cheapest first; rows without a code go where a coded twin exists.
+
+    The cheapest are a partial aggregate; only one row a code is left when twins meet.
+    """
+    best = F.min_by(F.struct(*rows.columns), F.struct(*price_order(), F.col(order)))
+    one = rows.groupBy(F.col(retailer).alias("r_"), F.col(name).alias("n_"), F.col(code).alias("c_")).agg(best.alias("best"))
+    coded = F.bool_or(F.col("c_").isNotNull()).over(Window.partitionBy("r_", "n_"))
+    return one.withColumn("coded", coded).where("c_ IS NOT NULL OR NOT coded").select("best.*")

@@ -16,7 +16,9 @@ def upsert(base: DataFrame, incoming: DataFrame, reference: str = "EUR") -> Data
     b = base.select("id", F.struct(*[c for c in base.columns if c != "id"]).alias("b"))
     i = ok.select("id", F.struct(*[c for c in ok.columns if c != "id"]).alias("i"))
     taken = base.where("match_key IS NOT NULL").select("match_key").distinct().withColumn("taken", F.lit(True))
-    both = b.join(i, "id", "full").join(taken, F.col("i.match_key") == taken.match_key, "left")
+    # rows without a key get one of their own, which nothing matches, so they do not meet in one task
+    key = F.coalesce(F.concat(F.lit("key:"), "i.match_key"), F.concat(F.lit("id:"), "id"))
+    both = b.join(i, "id", "full").join(taken, key == F.concat(F.lit("key:"), taken.match_key), "left")
     moved = ~F.col("b.price").eqNullSafe(F.col("i.price"))
     outcome = (
         F.when(F.col("i").isNull(), "kept")

@@ -29,5 +29,6 @@ def stop_after(rows: DataFrame, probe: str, tier: str, enough: int) -> DataFrame
 
 
 def diversify(rows: DataFrame, group: list[str], order: list, per: str) -> DataFrame:
-    """At most one row of each ``per`` in a group: its first in ``order``."""
-    return top(rows, [*group, per], order, 1).drop("rank")
+    """At most one row of each ``per`` in a group, its first in ``order``; rows whose ``per`` is blank all stay."""
+    blank = F.trim(F.coalesce(F.col(per).cast("string"), F.lit(""))) == ""
+    return top(rows.where(~blank), [*group, per], order, 1).drop("rank").unionByName(rows.where(blank))

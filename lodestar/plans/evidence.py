@@ -81,24 +81,6 @@ _SPLIT = sql("product issuer offer", f"""+{_DENSE}, f AS (SELECT pid, arg_min(so
     SELECT pid, registered, made, coalesce(registered <> made, false) AS divergent, coalesce(made, registered) AS shown FROM r""")
 
 
-def trusted_local(spark, sf_dir):
-    """Products whose offers by every fourth source say local, without dissent among these, and that no issuer, code list or brand list vetoes.
-
-    Other sources are not read and words of non-local brands do not veto, as in its oracle; ``trusted_local_all`` does both.
-    """
-    marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
-    said = offers(spark, sf_dir).where("source % 4 = 0").groupBy("pid").agg(F.bool_and("local").alias("local")).where("local <=> true")
-    listed = flagged_brands(spark, sf_dir).select("brand").distinct()
-    codes = marked.where("pid % 97 = 0").select("code")
-    kept = marked.join(said, "pid", "left_semi").where("verdict <> 'FLAGGED'")
-    return kept.join(listed, "brand", "left_anti").join(codes, "code", "left_anti").select("pid", "brand", "verdict")
-
-
-_TRUSTED = sql("product issuer offer flag", f"""+{_DENSE}, m AS (SELECT p.pid, p.brand, {_VERDICT} AS verdict FROM product p LEFT JOIN dense ON number = substr(code, 1, 3)::INT),
-    s AS (SELECT pid FROM offer WHERE source % 4 = 0 GROUP BY 1 HAVING bool_and(local))
-    SELECT pid, brand, verdict FROM m WHERE pid IN (SELECT pid FROM s) AND verdict <> 'FLAGGED' AND brand NOT IN (SELECT brand FROM flag) AND pid % 97 <> 0""")
-
-
 def trusted(marked, said, listed, codes, nonlocal_):
     """Products (pid, code, name, brand, verdict) that an offer (pid, local) says are local and none denies, less five vetoes:
 
@@ -110,13 +92,19 @@ def trusted(marked, said, listed, codes, nonlocal_):
     return brands.without_words(kept, ["brand", "name"], nonlocal_).select("pid", "brand", "verdict")
 
 
-def trusted_local_all(spark, sf_dir):
+def trusted_local(spark, sf_dir):
     """Products whose offers by all sources say local without dissent and that nothing vetoes."""
     marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
     flagged = flagged_brands(spark, sf_dir)
     return trusted(marked, offers(spark, sf_dir).select("pid", "local"), flagged.select("brand").distinct(), marked.where("pid % 97 = 0").select("code"), flagged.select(F.col("alias").alias("phrase")))
 
 
+_TRUSTED = sql("product issuer offer flag", f"""+{_DENSE}, m AS (SELECT p.pid, p.brand, p.name, {_VERDICT} AS verdict FROM product p LEFT JOIN dense ON number = substr(code, 1, 3)::INT),
+    s AS (SELECT pid FROM offer GROUP BY 1 HAVING bool_and(local)), f AS (SELECT DISTINCT ' ' || trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) || ' ' AS phrase FROM flag)
+    SELECT pid, brand, verdict FROM m WHERE pid IN (SELECT pid FROM s) AND verdict IS DISTINCT FROM 'FLAGGED' AND brand NOT IN (SELECT brand FROM flag) AND pid % 97 <> 0
+    AND NOT EXISTS (SELECT 1 FROM f WHERE contains(' ' || trim(regexp_replace(lower(m.brand), '[^a-z0-9]+', ' ', 'g')) || ' ', phrase) OR contains(' ' || trim(regexp_replace(lower(m.name), '[^a-z0-9]+', ' ', 'g')) || ' ', phrase))""")
+
+
 def attribute_checklist(spark, sf_dir):
     """Wide tri-state attributes of a nation as rows, in order, with the region as source of the known ones."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -185,5 +173,5 @@ _DISTINCT = sql("product issuer flag", f"""+{_DENSE}, u AS (SELECT brand, 0 AS k
 
 QUERIES = {f.__name__: f for f in (witnessed_family, rejection_gate, origin_split, trusted_local, attribute_checklist, preflight_flags, case_tally, distinct_alternatives)}
 ORACLES = dict(zip(QUERIES, (_WITNESSED, _REJECTED, _SPLIT, _TRUSTED, _CHECKLIST, _PREFLIGHT, _CASES, _DISTINCT), strict=True))
-#: Without an oracle: tested against brute force.
-QUERIES["trusted_local_all"] = trusted_local_all
+QUERIES["trusted_local_all"] = trusted_local  # its earlier name
+ORACLES["trusted_local_all"] = _TRUSTED

@@ -38,7 +38,7 @@ _ANCHORED = """WITH RECURSIVE r AS (
 
 
 def feed_latest(spark, sf_dir):
-    """The newest five hundred events, at most fifty of a type."""
+    """The newest five hundred events."""
     rows = _events(spark, sf_dir).orderBy(F.desc("ts"), F.desc("event_id")).limit(500)
     return rows.select("event_id", "user_id", "event_type")
 

@@ -140,48 +140,45 @@ _TIERS = f"""WITH stance AS ({_STANCE}), product AS (SELECT * FROM ({sql('produc
     SELECT * FROM (SELECT pid, tier, row_number() OVER (PARTITION BY pid ORDER BY alt_price, alt) AS rank, alt FROM k WHERE tier = low) WHERE rank <= 3"""
 
 
-def tiered_candidates(spark, sf_dir):
-    """Shelves as probes: brands' cheapest products by four of the tags, most specific tag first, until eight are found.
+def tiered(rows):
+    """Candidates (probe, tier, tag, brand, price, pid) of products by every tag of their probe, until eight are found."""
+    words = rows.select("pid", "brand", "price", F.col("category").alias("probe"), F.posexplode(F.reverse(F.split("name", " "))).alias("tier", "tag"))
+    return resolve.stop_after(resolve.diversify(words, ["probe", "tier", "tag"], ["price", "pid"], "brand"), "probe", "tier", 8)
 
-    Other tags are left out, as in its oracle; ``tiered_candidates_all`` takes every tag.
-    """
-    rows = products(spark, sf_dir).select("pid", "brand", "price", "category", F.split("name", " ").alias("words"))
-    tagged = rows.select("pid", "brand", "price", F.posexplode(F.reverse("words")).alias("tier", "tag"), F.col("category").alias("probe"))
-    per = resolve.diversify(tagged, ["probe", "tier", "tag"], ["price", "pid"], "brand").where("tag IN ('ring', 'cold', 'hot', 'small')")
-    kept = resolve.stop_after(per, "probe", "tier", 8)
-    return kept.groupBy("probe", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("pid").alias("last"))
+
+def tiered_candidates(spark, sf_dir):
+    """Shelves as probes with the tags of their own products: brands' cheapest by tag, most specific tag first, until eight are found."""
+    return tiered(products(spark, sf_dir)).groupBy("probe", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("pid").alias("last"))
 
 
 _CANDIDATES = sql("product", """+t AS (SELECT category AS probe, pid, brand, price, unnest([string_split(name, ' ')[2], string_split(name, ' ')[1]]) AS tag, unnest([0, 1]) AS tier FROM product),
-    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe, tier, tag, brand ORDER BY price, pid) AS r FROM t) WHERE r = 1 AND tag IN ('ring', 'cold', 'hot', 'small')),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe, tier, tag, brand ORDER BY price, pid) AS r FROM t) WHERE r = 1),
     s AS (SELECT probe, tier, count(*) AS n, min(price) AS low, max(pid) AS last FROM d GROUP BY 1, 2)
     SELECT probe, tier, n, low, last FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY probe ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) WHERE before < 8""")
 
 
-def tiered(rows):
-    """Candidates (probe, tier, tag, brand, price, pid) of products by every tag of their probe, until eight are found."""
-    words = rows.select("pid", "brand", "price", F.col("category").alias("probe"), F.posexplode(F.reverse(F.split("name", " "))).alias("tier", "tag"))
-    return resolve.stop_after(resolve.diversify(words, ["probe", "tier", "tag"], ["price", "pid"], "brand"), "probe", "tier", 8)
+def overlap(rows):
+    """(pid, entry, n_entries): the first other brand that sells a product's name, and how many do.
 
-
-def tiered_candidates_all(spark, sf_dir):
-    """Shelves as probes with the tags of their own products: brands' cheapest by tag, most specific tag first, until eight are found."""
-    return tiered(products(spark, sf_dir)).groupBy("probe", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("pid").alias("last"))
+    A name keeps its two first brands and their number, which is all that any of its products asks for.
+    """
+    names = rows.where("name IS NOT NULL AND brand IS NOT NULL").groupBy("name").agg(F.collect_set("brand").alias("b"))
+    short = names.select("name", F.slice(F.array_sort("b"), 1, 2).alias("first"), F.size("b").alias("n"))
+    hits = rows.where("brand IS NOT NULL").join(short, "name").where("n > 1")
+    return hits.select("pid", F.when(F.col("brand") == F.col("first")[0], F.col("first")[1]).otherwise(F.col("first")[0]).alias("entry"), (F.col("n") - 1).cast("bigint").alias("n_entries"))
 
 
 def tag_overlap(spark, sf_dir):
-    """Families of products by the curated entries whose tags theirs meet: entry with most shared tags, then first."""
-    entries = products(spark, sf_dir).groupBy("brand").agg(F.sort_array(F.collect_set("name")).alias("names")).select("brand", F.explode(F.slice("names", 1, 3)).alias("tag"))
-    hits = products(spark, sf_dir).select("pid", F.col("name").alias("tag"), F.col("brand").alias("own")).join(entries, "tag").where("own <> brand")
-    return hits.groupBy("pid").agg(F.min("brand").alias("entry"), F.count(F.lit(1)).alias("n_entries"))
+    """Products by the brands whose entries share their name."""
+    return overlap(products(spark, sf_dir))
 
 
-_OVERLAP = sql("product", """+n AS (SELECT brand, list_sort(list(DISTINCT name))[1:3] AS names FROM product GROUP BY 1), e AS (SELECT brand, unnest(names) AS tag FROM n)
+_OVERLAP = sql("product", """+e AS (SELECT DISTINCT brand, name AS tag FROM product)
     SELECT pid, min(e.brand) AS entry, count(*) AS n_entries FROM product p JOIN e ON p.name = e.tag AND p.brand <> e.brand GROUP BY 1""")
 
 
 def retrieval_topk(spark, sf_dir):
-    """Conversation turns against the catalogue's names: weighted token overlap, a floor of 0.7 of the best, three hits."""
+    """Baskets (every fiftieth order is a query) against the catalogue's names: weighted token overlap, a floor of 0.7 of the best, three hits."""
     vocabulary = products(spark, sf_dir).groupBy("brand", "category").agg(F.max("name").alias("name"))
     keys = vocabulary.select(
         F.concat_ws("/", "brand", "category").alias("entry"),
@@ -215,5 +212,5 @@ _GROUPS = f"WITH stance AS ({_STANCE}), product AS (SELECT * FROM ({sql('product
 
 QUERIES = {f.__name__: f for f in (family_rules, brand_token_match, brand_phrase_match, origin_precedence, stance, family_alternatives, tier_resolution, tiered_candidates, tag_overlap, retrieval_topk, flagged_groups)}
 ORACLES = dict(zip(QUERIES, (_RULES, _TOKENS, _PHRASES, _ORIGIN, _STANCE, _ALTERNATIVES, _TIERS, _CANDIDATES, _OVERLAP, _RETRIEVAL, _GROUPS), strict=True))
-#: Without an oracle: tested against brute force.
-QUERIES["tiered_candidates_all"] = tiered_candidates_all
+QUERIES["tiered_candidates_all"] = tiered_candidates  # its earlier name
+ORACLES["tiered_candidates_all"] = _CANDIDATES

@@ -191,7 +191,7 @@ def match_keys(spark, sf_dir):
     """``gtin:`` keys where the code is valid, else ``name:`` slugs of the normal name."""
     rows = products(spark, sf_dir)
     coded = codes.is_valid(F.col("code")) & (F.col("pid") % 2 == 0)
-    key = F.when(coded, F.concat(F.lit("gtin:"), "code")).otherwise(F.concat(F.lit("name:"), text.slug(text.match_name(F.col("title")))))
+    key = F.when(coded, F.concat(F.lit("gtin:"), "code")).otherwise(F.concat(F.lit("name:"), text.slug(sizes.match_name(F.col("title")))))
     return rows.select(key.alias("match_key")).groupBy("match_key").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -32,6 +32,15 @@ def test_codes(spark, code, valid, prefix):
         ("500g twice 500 g", (500.0, "g", 1, "mass", 500.0)),
         ("Peaches kg/PLU.12", None),
         ("300x2kg", None),
+        ("Cola 0.33Lx6", (0.33, "l", 6, "volume", 1980.0)),
+        ("Juice 4 × 20 cl", (20.0, "cl", 4, "volume", 800.0)),
+        ("Tea 20 bags", None),
+        ("Sugar kg. 5", (5.0, "kg", 1, "mass", 5000.0)),
+        ("Spread gr 30% less", None),
+        ("Yoghurt 2*125gr + 250 g", (125.0, "g", 2, "mass", 250.0)),
+        ("Crème 200 ML", (200.0, "ml", 1, "volume", 200.0)),
+        ("Gel 500grams", None),
+        ("Rice 60 kg", None),
         ("", None),
     ],
 )
@@ -40,6 +49,26 @@ def test_sizes(spark, title, want):
     assert (tuple(got) if got else None) == want
 
 
+@pytest.mark.parametrize(("title", "by_weight", "pieces"), [("Ham per kg", True, None), ("Apples kg /", True, None), ("PLU: 4011 bananas", True, None), ("Kgb 2 kg", False, None), ("Eggs 10/1", False, 10), ("Caps 24 kom", False, 24), ("Pads 6000 pcs", False, None), ("1/1", False, 1), ("", False, None)])
+def test_pieces_and_weight(spark, title, by_weight, pieces):
+    assert one(spark, sizes.is_sold_by_weight, title) is by_weight
+    assert one(spark, sizes.piece_count, title) == pieces
+
+
+def test_match_names_agree(spark):
+    for a, b in (("Milk 0,5 L", "milk 0.5l"), ("Flour 500 gr", "FLOUR 500g"), ("Eggs 10/1 fresh", "eggs fresh"), ("Ham PLU.12", "ham"), ("Ham plu 4 kg/", "ham kg")):
+        assert one(spark, sizes.match_name, a) == one(spark, sizes.match_name, b)
+    assert one(spark, sizes.match_name, "Milk 1l") != one(spark, sizes.match_name, "Milk 2l")
+    assert one(spark, sizes.match_name, "") == ""
+
+
+def test_folds_every_accent(spark):
+    assert one(spark, text.key, "Dvořák Łódź Ő") == "dvorak lodz o"
+    assert one(spark, text.key, "Cafe\u0301 N\u0303u ệ ǭ ǿ") == "cafe nu e o o"
+    assert len(text.accents()[0]) == len(text.accents()[1]) > 400
+    assert one(spark, text.decode_entities, "caf&#233; &#x1F600; &#39;&#0;&#xD800; &amp;#39;") == "café \U0001f600 '&#0;&#xD800; &#39;"
+
+
 def test_text(spark):
     assert one(spark, text.key, "Crème-Brûlée  2L!") == "creme brulee 2l"
     assert one(spark, text.slug, "Ça va, Žan?") == "ca-va-zan"

@@ -1,7 +1,7 @@
 """Queries that read everything, against brute force on small tables."""
 
 from lodestar import registry
-from lodestar.operators import events
+from lodestar.operators import brands, events, resolve
 from lodestar.plans import evidence, matching, shelves
 
 DATA = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def test_trusted_local_counts_every_source(spark):
     phrases = spark.createDataFrame([("far away good tea",)], "phrase string")
     assert sorted(r.pid for r in evidence.trusted(marked, said, listed, codes, phrases).collect()) == [1, 5]
     whole = {r.l_partkey for r in spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_returnflag = 'N'").select("l_partkey").distinct().collect()}
-    assert not whole & {r.pid for r in registry.QUERIES["trusted_local_all"](spark, DATA).collect()}
+    assert not whole & {r.pid for r in registry.QUERIES["trusted_local"](spark, DATA).collect()}
 
 
 def test_whole_texts_are_keyed(spark):
@@ -44,7 +44,26 @@ def test_every_tag_gives_candidates(spark):
                 found = want[probe, tier]
                 rows.add((probe, tier, len(found), min(found)[0], max(i for _, i in found)))
                 n += len(found)
-    assert {tuple(r) for r in matching.tiered_candidates_all(spark, DATA).collect()} == rows
+    assert {tuple(r) for r in matching.tiered_candidates(spark, DATA).collect()} == rows
+
+
+def test_long_phrases_match(spark):
+    rows = spark.createDataFrame([(1, "soap by Procter and Gamble company ltd"), (2, "procter and gamble")], "pid long, title string")
+    aliases = spark.createDataFrame([("Procter and Gamble Company", "P", 1), ("soap", "S", 2)], "alias string, brand string, ord int")
+    assert sorted((r.pid, r.brand) for r in brands.phrase_match(rows, "pid", "title", aliases).collect()) == [(1, "P")]
+
+
+def test_blank_brands_all_stay(spark):
+    rows = spark.createDataFrame([(1, "a", 2), (1, "a", 1), (1, None, 3), (1, None, 4), (1, " ", 5)], "g int, brand string, o int")
+    assert sorted(r.o for r in resolve.diversify(rows, ["g"], ["o"], "brand").collect()) == [1, 3, 4, 5]
+
+
+def test_overlap_against_brute_force(spark):
+    rows = [(i, f"n{i % 4}", f"b{i * i % 7}" if i % 5 else None) for i in range(40)]
+    brands_of = {n: {b for _, x, b in rows if x == n and b} for _, n, _ in rows}
+    want = {(i, min(brands_of[n] - {b}), len(brands_of[n] - {b})) for i, n, b in rows if b and brands_of[n] - {b}}
+    got = {tuple(r) for r in matching.overlap(spark.createDataFrame(rows, "pid long, name string, brand string")).where("pid % 5 <> 0").collect()}
+    assert got == want
 
 
 def test_dedupe_collects_no_group(spark):

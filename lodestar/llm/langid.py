@@ -3,17 +3,19 @@
 Method.  Lower-cased texts become counts of hashed character 1- to 3-grams, weighted by TF-IDF.  A
 multinomial logistic regression is trained by follow-the-regularised-leader with an elastic-net penalty,
 which keeps it sparse, and its scores are calibrated by one temperature, fitted on a part of the sample
-that training leaves out.  The classifier is fitted on a bounded sample of labelled rows
-(``FIT_ROWS_PER_LANGUAGE``); every whole text of the table is predicted, where it lies, without a shuffle.
-
-Defined results: a null text and one without a letter are ``und`` with score 0, as is every text where
-there is nothing to learn from; repeated rows are each predicted; an empty table gives an empty result;
-training reads only ``text`` and ``lang`` (and ``doc_id`` to choose rows), prediction only ``text``.
+that training leaves out.  The classifier is fitted on a bounded sample of labelled rows: the languages of
+most rows (``MOST_LANGUAGES``; a dirty column may hold any number of values, which are never predicted) and
+``FIT_ROWS_PER_LANGUAGE`` distinct texts of each, by the text's hash.  Every whole text of the table is
+predicted, where it lies, without a shuffle.
+
+Defined results: a null text and one without a letter (Unicode category L) are ``und`` with score 0, as is
+every text where there is nothing to learn from; repeated rows are each predicted; a null id stays null,
+is not held out and takes no part in training; an empty table gives an empty result; training reads only
+``text`` and ``lang`` (and ``doc_id`` for the folds), prediction only ``text``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_batches
+from .common import documents, sample_texts, text_batches
 
 BITS, ORDERS = 16, 3
 FIT_ROWS_PER_LANGUAGE = 500
+MOST_LANGUAGES = 200
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: One row in so many of the sample fits the temperature alone.
 CALIBRATION = 5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -54,14 +56,12 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, terms, counts) of at most about FIT_ROWS_PER_LANGUAGE rows of each language, held-out rows excluded."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    """(language, terms, counts) of at most FIT_ROWS_PER_LANGUAGE texts of each language, held-out rows excluded."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2").select(F.col("lang").cast("string").alias("lang"), "text")
+    largest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not largest:
         return []
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_ROWS_PER_LANGUAGE / n))))
-    # rows are chosen by their text's hash: the same wherever they lie
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = sample_texts(known.where(F.col("lang").isin([r["lang"] for r in largest])), FIT_ROWS_PER_LANGUAGE, "lang")
     rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, terms array<int>, counts array<int>").toArrow()
     found = [(lang, np.array(t), np.array(c)) for lang, t, c in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)]
     return sorted((r for r in found if len(r[1])), key=lambda r: (int(r[1] @ r[2]), len(r[1]), r[0]))
@@ -111,7 +111,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> tupl
 
 
 def predict(languages: list[str], weights: np.ndarray, text: str | None) -> tuple[str, float]:
-    if not text or not languages or not _LETTER.search(text):
+    if not text or not languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     total, at, grams = np.zeros(len(languages)), 0, ngrams(text)
     for at in range(0, len(grams), 1 << 18):

@@ -9,8 +9,8 @@ the longest documents that fit; what is left fills new sequences, longest first.
 with a repeat count.  Spark ranks the pieces of each length, and a piece finds its sequence and offset
 from its rank.  Only the histogram and the plan reach the driver.
 
-Defined results: a null or empty text is the single token that ends documents; repeated rows are each
-packed; an empty table packs to nothing; only ``doc_id`` and ``text`` are read.
+Defined results: a null or empty text is the single token that ends documents; repeated rows and rows with
+a null or repeated id are each packed; an empty table packs to nothing; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

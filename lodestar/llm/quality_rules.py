@@ -9,7 +9,7 @@ Everything is computed inside the row: no text is exploded or shuffled, so neith
 document nor a hot source matters.  Windows of eight words are compared by their 64-bit hashes.
 
 Defined results: a null, empty or wordless text has zero measures and fails for its few words; repeated
-rows each get a row; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, and
+rows and rows with a null or repeated id each get a row; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, and
 ``clean`` keeps every other column as it is.
 """
 

@@ -4,13 +4,16 @@ Method.  Every document gets a 64-bit fingerprint.  Distinct fingerprints are pu
 tries, one for each 16-bit quarter led to the top.  Two fingerprints that differ in at most three bits
 agree in at least one quarter, so in one of the tries they share their node of depth 16.  From there
 pairs of nodes are walked down together: bits that differ along the two paths are added up, and a pair
-of subtrees is left as soon as the budget is exceeded.  Spark deals out the depth-16 nodes; each task
-walks its own.  A task returns a spanning forest of the links it found, never all pairs of a group, and
-the forests are joined by star contraction.
+of subtrees is left as soon as the budget is exceeded.  Spark deals out the depth-16 nodes in order; a task
+walks one after the other and holds no more than a few.  A node of more than ``HOT_NODE`` keys is left to
+its grandchildren: of the other 48 bits one twelve agree, so its keys go to four tries of depth 28, again
+one for each twelve led to the top.  A task returns a spanning forest of the links it found, never all
+pairs of a group, and the forests are joined by star contraction over fingerprints.
 
 Defined results: a null or wordless text has fingerprint 0, which links like any other; repeated rows
-each get a row; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, so other
-columns may have any name.
+each get a row; rows with a null id link like others, so they may join two groups, and a group of null ids
+alone has a null component; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, text_batches
+from .common import connected_components, documents, free_name, stage, text_batches
 
 SEED = 42
 MAX_BITS = 3
 QUARTERS = 4
+#: Keys of a depth-16 node that are walked as one; beyond, depth-28 nodes are walked.
+HOT_NODE = 1 << 20
+#: Keys that a task gathers before it walks the nodes that are complete.
+GATHERED = 1 << 18
 #: Node pairs that a task holds at once; more are put aside and walked later.
 FRONTIER = 1 << 20
 
@@ -53,14 +60,14 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches):
         found = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed bigint."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id bigint, fp bigint"
-    )
+    """(doc_id, h, fp): h is the text's hash, fp the fingerprint as a signed bigint."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, h bigint, fp bigint")
 
 
 def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,54 +143,91 @@ def trie_links(keys: np.ndarray, depth: int, budget: int, frontier: int = FRONTI
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b: representatives) among the (quarter, key, rep) rows of a task."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    quarter, key, rep = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in tables]) for i in range(3))
-    key = key.view(np.uint64)
-    for q in range(QUARTERS):
-        mine = quarter == q
-        order = np.argsort(key[mine], kind="stable")
-        keys, reps = key[mine][order], rep[mine][order]
-        parent = trie_links(keys, 64 // QUARTERS, MAX_BITS)
-        linked = parent != np.arange(len(parent))
-        if linked.any():
-            yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[parent[linked]])], ["a", "b"])
-
-
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b) links that join the near fingerprints of ``distinct`` (fp, rep), as a spanning forest per task."""
-    width = 64 // QUARTERS
-    turned = [
-        F.col("fp") if q == 0 else F.shiftleft("fp", width * q).bitwiseOR(F.shiftrightunsigned("fp", 64 - width * q))
-        for q in range(QUARTERS)
-    ]
-    rows = distinct.select(F.posexplode(F.array(*turned)).alias("quarter", "key"), "rep")
-    return rows.repartition("quarter", F.shiftrightunsigned("key", 64 - width)).mapInArrow(_walk, "a bigint, b bigint")
+    """Links (a, b: fingerprints) among the (lane, node, key, fp) rows of a task, which lie node by node."""
+
+    def walked(lane: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in np.split(np.arange(len(lane)), np.flatnonzero(np.diff(lane)) + 1):
+            if len(at):
+                order = at[np.argsort(key[at], kind="stable")]
+                parent = trie_links(key[order], _depth(int(lane[order[0]])), MAX_BITS)
+                linked = parent != np.arange(len(parent))
+                if linked.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[order[linked]]), pa.array(fp[order[parent[linked]]])], ["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("lane", "node", "key", "fp")))
+        if sum(len(h[0]) for h in held) >= GATHERED:
+            lane, node, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            last = np.flatnonzero((lane != lane[-1]) | (node != node[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from walked(lane[:cut], key[:cut].view(np.uint64), fp[:cut])
+            held = [(lane[cut:], node[cut:], key[cut:], fp[cut:])]
+    if held:
+        lane, _, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        yield from walked(lane, key.view(np.uint64), fp)
+
+
+WIDTH, PART = 64 // QUARTERS, 12
+
+
+def _depth(lane: int) -> int:
+    """Lanes 0, 5, 10, ... are the quarters' tries; the four after each are those of its hot nodes."""
+    return WIDTH if lane % 5 == 0 else WIDTH + PART
+
+
+def fingerprint_links(distinct: DataFrame, hot: int = HOT_NODE) -> DataFrame:
+    """(a, b) links that join the near fingerprints of ``distinct`` (fp), as a spanning forest per node."""
+    turned = [F.col("fp") if q == 0 else F.shiftleft("fp", WIDTH * q).bitwiseOR(F.shiftrightunsigned("fp", 64 - WIDTH * q)) for q in range(QUARTERS)]
+    node = F.shiftrightunsigned("key", 64 - WIDTH).alias("node")
+    rows = distinct.select(F.posexplode(F.array(*turned)).alias("quarter", "key"), "fp").select((5 * F.col("quarter")).alias("lane"), node, "key", "fp")
+    crowded = rows.groupBy("lane", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("lane", "node", F.lit(True).alias("hot"))
+    rows = rows.join(crowded, ["lane", "node"], "left")
+    low = F.lit((1 << 64 - WIDTH) - 1)
+    rest = F.col("key").bitwiseAND(low)
+    lanes = []
+    for j in range(4):
+        around = rest if j == 0 else F.shiftleft(rest, PART * j).bitwiseOR(F.shiftrightunsigned(rest, 64 - WIDTH - PART * j)).bitwiseAND(low)
+        key = F.col("key").bitwiseAND(F.lit(-1 - ((1 << 64 - WIDTH) - 1))).bitwiseOR(around)
+        lanes.append(F.struct((F.col("lane") + 1 + j).alias("lane"), F.shiftrightunsigned(key, 64 - WIDTH - PART).alias("node"), key.alias("key")))
+    whole = F.array(F.struct("lane", "node", "key"))
+    placed = rows.select(F.explode(F.when(F.col("hot"), F.array(*lanes)).otherwise(whole)).alias("x"), "fp").select("x.*", "fp")
+    return placed.repartition("lane", "node").sortWithinPartitions("lane", "node").mapInArrow(_walk, "a bigint, b bigint")
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, and (fp, root) of every fingerprint."""
+    found = stage(fingerprints(docs), "simhash")
+    distinct = stage(found.select("fp").distinct(), "simhash-distinct")
+    roots = connected_components(fingerprint_links(distinct))
+    return found, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable over links)."""
-    found = stage(fingerprints(docs), "simhash")
-    distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-distinct")
-    roots = connected_components(fingerprint_links(distinct))
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return found.join(named, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found, named = _components(docs)
+    ids = found.groupBy("fp").agg(F.min("doc_id").alias("low")).join(named, "fp")
+    lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
+    groups = ids.join(lowest, "root").select("fp", "component_id")
+    return found.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document of smallest id of each component, with all its columns; one row where an id is repeated."""
-    firsts = stage(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
-    once, more = firsts.where("count = 1").select("doc_id"), firsts.where("count > 1").select("doc_id")
-    single = docs.join(once, "doc_id", "left_semi")
-    repeated = docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(docs.columns)
+    """One document of each component, with all its columns: of smallest id, then of smallest text hash; null ids come last.
 
+    Different texts that share an id are judged each by itself.  Of rows that agree in id and text, one stays.
+    """
+    found, named = _components(docs)
+    rows = found.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("b"))
+    chosen = stage(first.select(F.col("b.doc_id").alias("id_"), F.col("b.h").alias("of_"), F.col("b.n").alias("n_")), "simhash-kept")
+    hidden = free_name(docs, "text_hash_")
+    marked = docs.withColumn(hidden, F.xxhash64(F.col("text").cast("string")))
+    same = lambda c: F.col("doc_id").cast("bigint").eqNullSafe(c["id_"]) & (F.col(hidden) == c["of_"])
+    once, more = chosen.where("n_ = 1"), chosen.where("n_ > 1")
+    repeated = marked.join(more, same(more), "left_semi").dropDuplicates(["doc_id", hidden])
+    return marked.join(once, same(once), "left_semi").unionByName(repeated).select(docs.columns)
 
-def op6_simhash(spark, sf_dir: str) -> DataFrame:
-    from .common import documents
 
+def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

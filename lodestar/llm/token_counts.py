@@ -5,10 +5,12 @@ node has a failure link and the number of tokens that following it pops, worked
 longest-match segmentation of a word then takes one pass over its bytes and builds no pieces.  Counts of
 words already seen by a worker are remembered, up to a bound.
 
-Every byte is a piece by itself, so every word can be segmented.  Words are runs of characters other than
+Every byte is a piece by itself in the given vocabularies, so every word can be segmented; with a vocabulary
+where one can't be, the query fails with an error.  Words are runs of characters other than
 ASCII white space; texts are lower-cased first.  Documents are counted where they lie, without a shuffle.
 
-Defined results: a null or empty text has no words and no tokens; repeated rows are each counted; an empty
+Defined results: a null or empty text has no words and no tokens; repeated rows and rows with a null or
+repeated id are each counted; an empty
 table gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -109,6 +111,8 @@ def _counts(path: str):
                         new = set(words)
                     for w in new:
                         known[w] = automaton.count(w)
+                        if known[w] < 0:
+                            raise ValueError(f"{path} has no pieces for {w!r}")
                     found = [known[w] for w in words]
                 n_words.append(len(words))
                 n_tokens.append(sum(found))

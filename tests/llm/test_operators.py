@@ -82,6 +82,41 @@ def test_simhash_components(spark, docs, odd):
     assert {r.doc_id: r.fingerprint for r in got} == {r.doc_id: f"{int(f):016x}" for r, f in zip(rows, fp, strict=True)}
 
 
+def test_hot_nodes_lose_no_link(spark):
+    """Fingerprints that share a quarter, walked as one node and as nodes of depth 28."""
+    rng = random.Random(12)
+    keys = set()
+    for _ in range(40):
+        x = 0xABCD << 48 | rng.getrandbits(48)
+        keys.add(x)
+        for _ in range(6):
+            y = x
+            for _ in range(rng.randint(1, 3)):
+                y ^= 1 << rng.randrange(64)
+            keys.add(y)
+    fp = np.array(sorted(keys), np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    want = simhash._hook(np.arange(len(fp)), i, j)
+    distinct = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
+    where = {int(x): n for n, x in enumerate(fp.view(np.int64))}
+    for hot in (10, 1 << 20):
+        links = [(where[r.a], where[r.b]) for r in simhash.fingerprint_links(distinct, hot).collect()]
+        a, b = (np.array(c, np.int64) for c in zip(*links))
+        assert np.array_equal(simhash._hook(np.arange(len(fp)), a, b), want)
+
+
+def test_null_ids_link_and_stay(spark):
+    base = [f"word{i}" for i in range(400)]
+    near = lambda k: " ".join([*base[:-k], *(f"x{k}{i}" for i in range(k))]) if k else " ".join(base)
+    fps = {k: simhash.fingerprint(near(k)) for k in range(60)}
+    a, b, c = next((a, b, c) for a in fps for b in fps for c in fps if 0 < (fps[a] ^ fps[b]).bit_count() <= 3 and 0 < (fps[b] ^ fps[c]).bit_count() <= 3 < (fps[a] ^ fps[c]).bit_count())
+    rows = spark.createDataFrame([(1, near(a)), (None, near(b)), (2, near(c)), (None, "alone alone alone here"), (7, "first text of seven"), (7, "quite another one of the same id")], "doc_id bigint, text string")
+    got = simhash.near_duplicates(rows).collect()
+    assert len(got) == 6 and {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2)} == {1: 1, 2: 1}
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(rows).collect())
+    assert kept == sorted([(1, near(a)), (0, "alone alone alone here"), (7, "first text of seven"), (7, "quite another one of the same id")])
+
+
 def test_fingerprint_by_hand():
     words = "The quick brown fox jumps".lower().split()
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(3)]
@@ -261,6 +296,44 @@ def test_language_id(spark, docs, odd):
     assert [strange[i] for i in (1, 2, 3)] == ["und"] * 3
 
 
+def test_language_prediction_against_brute_force(spark, docs):
+    """Scores worked out n-gram by n-gram from the trained weights."""
+    languages, weights = langid.train(langid.sample(docs))
+    mix, mask = langid._MIX, 0xFFFFFFFF
+
+    def score(text):
+        codes, total, n_grams = [ord(c) for c in text.lower()], np.zeros(len(languages)), 0
+        for n in range(1, langid.ORDERS + 1):
+            for at in range(len(codes) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h + codes[at + k]) * mix[k] & mask
+                    gram, h = h >> 32 - langid.BITS, h ^ h >> 15
+                total += weights[gram]
+                n_grams += 1
+        z = np.exp(total / n_grams - (total / n_grams).max())
+        return z / z.sum()
+
+    rows = docs.where("length(text) BETWEEN 1 AND 600").limit(40).collect()
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        if any(c.isalpha() for c in r.text):
+            p = score(r.text)
+            assert got[r.doc_id].lang_pred == languages[int(p.argmax())] and abs(got[r.doc_id].score - p.max()) < 1e-4
+
+
+def test_texts_without_letters_are_und(spark, docs):
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(90000 + i, t, "en") for i, t in enumerate(["²", "½", "①", "Ⅷ", "123 _ !", "\u0301"])] + [(None, "ein Satz", "de")], "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(rows).collect()}
+    assert all((got[90000 + i].lang_pred, got[90000 + i].score) == ("und", 0.0) for i in range(6))
+    assert got[None].held_out is False and got[None].lang_pred != "und"
+
+
+def test_languages_are_bounded(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('text number ', id) AS text", "IF(id < 1500, 'en', concat('l', id)) AS lang")
+    assert len({r[0] for r in langid.sample(rows)}) <= langid.MOST_LANGUAGES
+
+
 def subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

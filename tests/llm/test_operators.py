@@ -539,6 +539,37 @@ def test_url_intervals(spark):
     assert got == {1: (False, None, 0), 2: (True, "x.com", 1), 3: (True, "a.x.com", 2), 4: (False, None, 0), 5: (False, None, 0), 6: (False, None, 0)}
 
 
+def test_url_hosts_and_paths(spark):
+    rows = "('3.4', 'a', 'add', DATE'2024-01-01'), ('1.2.3.4', 'ip', 'add', DATE'2024-01-01'), ('X.com.', 'h', 'add', DATE'2024-01-01'), ('y.org/ads/', 'p', 'add', DATE'2024-01-01'), ('y.org/ads/big', 'q', 'add', DATE'2024-01-01'), ('" + ".".join(["l"] * 90) + ".deep', 'd', 'add', DATE'2024-01-01')"
+    entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(pattern, category, action, at)")
+    urls = ["http://9.2.3.4/", "http://1.2.3.4/", "http://x.com./", "http://y.org/ads", "http://y.org/ads/big/1?q#f", "http://y.org/adsx", "http://a.y.org/ads", "http://" + ".".join(["l"] * 95) + ".deep/", "http://[::1]:80/", ""]
+    captures = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)] + [(None, urls[2], "2024-02-01"), (2, urls[2], "2024-02-01")], "page_id bigint, url string, d string").selectExpr("page_id", "url", "cast(d AS date) AS fetched_on", "1 AS host", "2 AS pattern")
+    got = url_filter.judge(captures, entries).collect()
+    assert len(got) == 12 and sum(r.pattern == "x.com" for r in got) == 3
+    by = {r.page_id: (r.pattern, r.n_active) for r in got}
+    assert [by[i][1] for i in range(10)] == [0, 1, 1, 1, 2, 0, 0, 1, 0, 0]
+    assert (by[1][0], by[4][0]) == ("1.2.3.4", "y.org/ads/big")
+    assert url_filter.judge(captures.limit(0), entries).count() == 0 and not any(r.blocked for r in url_filter.judge(captures, entries.limit(0)).collect())
+
+
+def test_token_counts_of_odd_rows(spark, docs, odd):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    pieces = token_counts.vocabulary(path)
+    most = max(map(len, pieces))
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            at += next(k for k in range(min(most, len(word) - at), 0, -1) if word[at : at + k] in pieces)
+            n += 1
+        return n
+
+    rows = docs.select("doc_id", "text").where("length(text) < 3000").union(odd.select(F.col("doc_id") + 10000, "text")).withColumn("n_words", F.lit("clash"))
+    want = sorted((r.doc_id, len(ws := (r.text or "").lower().encode().split()), sum(map(greedy, ws))) for r in rows.collect())
+    assert sorted(tuple(r) for r in token_counts.token_counts(rows, path).collect()) == want
+    assert packing.pack(odd.withColumns({"length": F.lit("x"), "piece": F.lit(1)}), path).count() == len(ODD) + (30001 - 1) // 4096
+
+
 def test_pipeline(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "pii", "best_fit_packing"]
     quality, dedup, leaks, private, _ = (f for _, f in corpus_pipeline.STAGES)

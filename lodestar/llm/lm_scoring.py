@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +34,21 @@ from .ngrams import Grams, WordHashes
 
 BACKOFF = 0.4
 BLOCK_WORDS = 3_000_000
-LEAST_PARTITIONS = 16
+#: Partitions of n-grams for each block, and partitions of blocks at least.
+SHARDS_A_BLOCK, LEAST_PARTITIONS = 4, 16
 #: Texts that a task remembers having sent; it forgets all of them at this number.
 MEMORY = 500_000
 
 
 def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, h1, h2, copies, text): a text the first time it is met, and how often it came again, without its text."""
+    """(block, h1, h2, copies, text): a text, compressed, the first time it is met, and how often it came again, without its text."""
     names, again, block_of = ["block", "h1", "h2", "copies", "text"], {}, {}
+    press = zstandard.ZstdCompressor(level=3).compress
 
     def rest() -> pa.RecordBatch:
         found = [(block_of[k], *k, n) for k, n in again.items() if n]
         columns = zip(*found, strict=True) if found else [[]] * 4
-        out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(len(found), pa.string())], names)
+        out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(len(found), pa.binary())], names)
         again.clear()
         block_of.clear()
         return out
@@ -58,7 +61,8 @@ def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again[key] = again.get(key, -1) + 1
             block_of[key] = b
         kept = batch.filter(pa.array(fresh, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:3]), pa.array([1] * len(kept), pa.int64()), kept.column("text")], names)
+        pressed = pa.array([press(t.encode("utf-8", "surrogatepass")) for t in kept.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:3]), pa.array([1] * len(kept), pa.int64()), pressed], names)
         if len(again) > MEMORY:
             yield rest()
     yield rest()
@@ -67,14 +71,14 @@ def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, Grams]:
     """Keys, copies and n-grams of a block's texts, in order of their keys."""
     copies: dict[tuple[int, int], int] = {}
-    texts: dict[tuple[int, int], str] = {}
+    texts: dict[tuple[int, int], bytes] = {}
     for *key, n, text in zip(*(table.column(c).to_pylist() for c in ("h1", "h2", "copies", "text")), strict=True):
         key = tuple(key)
         copies[key] = copies.get(key, 0) + n
         if text is not None:
             texts[key] = text
-    keys, words = sorted(texts), WordHashes()
-    hashes = [words.of(texts[k]) for k in keys]
+    keys, words, expand = sorted(texts), WordHashes(), zstandard.ZstdDecompressor().decompress
+    hashes = [words.of(expand(texts[k]).decode("utf-8", "surrogatepass")) for k in keys]
     grams = Grams(np.array([len(h) for h in hashes], np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
     return keys, np.array([copies[k] for k in keys], np.int64), grams
 
@@ -92,12 +96,12 @@ def _explode(shards: int):
         _, copies, g = _texts(table)
         n = np.concatenate([*_counted(g, copies)])
         grams = np.concatenate([g.words, g.bigrams])
-        shard = (grams % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((n, shard))
+        shard = (grams % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
         named, start = np.unique(shard[order], return_index=True)
         ends = pa.array(np.r_[start, len(order)].astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (grams.view(np.int64), n)]
-        return pa.table([pa.array(named), pa.array(np.full(len(named), key[0].as_py(), np.int64)), *lists], ["shard", "block", "gram", "n"])
+        return pa.table([pa.array(named.astype(np.int64)), pa.array(np.full(len(named), key[0].as_py(), np.int64)), *lists], ["shard", "block", "gram", "n"])
 
     return run
 
@@ -116,10 +120,10 @@ def _add(own: np.ndarray, grams: np.ndarray, asked: np.ndarray, total: np.ndarra
 
 def text_scores(g: Grams, unigrams: np.ndarray, bigrams: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """(log score, words that backed off) of each text, from corpus counts of the words and bigrams."""
-    rest = unigrams[g.at] - g.of_doc(g.doc, g.at, len(g.words))
+    rest = unigrams[g.at] - g.of_doc(g.doc, g.at)
     logs = np.log(np.maximum(rest, 1) / total)
     second, doc = g.second, g.doc[g.second]
-    others = bigrams[g.pair_at] - g.of_doc(doc, g.pair_at, len(g.bigrams))
+    others = bigrams[g.pair_at] - g.of_doc(doc, g.pair_at)
     seen = others > 0
     logs[second[~seen]] += np.log(BACKOFF)
     logs[second[seen]] = np.log(others[seen] / rest[second[seen] - 1])
@@ -129,8 +133,8 @@ def text_scores(g: Grams, unigrams: np.ndarray, bigrams: np.ndarray, total: int)
 def _score(words: int):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         keys, copies, g = _texts(texts)
-        asked, total = counts.column("gram").to_numpy().view(np.uint64), counts.column("total").to_numpy()
-        unigrams, bigrams = (_add(own, grams, asked, total) for own, grams in zip(_counted(g, copies), (g.words, g.bigrams), strict=True))
+        asked, total = (pa.concat_arrays([x.flatten() for x in counts.column(c).chunks]).to_numpy() if len(counts) else np.zeros(0, np.int64) for c in ("gram", "total"))
+        unigrams, bigrams = (_add(own, grams, asked.view(np.uint64), total) for own, grams in zip(_counted(g, copies), (g.words, g.bigrams), strict=True))
         logs, backed = text_scores(g, unigrams, bigrams, words)
         mean = np.where(g.sizes > 0, logs / np.maximum(g.sizes, 1), 0.0)
         h1, h2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
@@ -148,14 +152,16 @@ def score(docs: DataFrame) -> DataFrame:
     words = F.expr(r"coalesce(size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')), 0)")
     total = rows.agg(F.sum(words)).first()[0] or 0
     blocks = total // BLOCK_WORDS + 1
-    parts = max(LEAST_PARTITIONS, blocks)
+    parts = max(LEAST_PARTITIONS, 2 * blocks)
+    shards = SHARDS_A_BLOCK * blocks
     placed = rows.select(F.pmod("h1", F.lit(blocks)).alias("block"), "h1", "h2", "text")
-    texts = placed.mapInArrow(_once, "block bigint, h1 bigint, h2 bigint, copies bigint, text string").repartition(parts, "block")
-    packed = texts.groupBy("block").applyInArrow(_explode(parts), "shard bigint, block bigint, gram array<bigint>, n array<bigint>")
+    texts = placed.mapInArrow(_once, "block bigint, h1 bigint, h2 bigint, copies bigint, text binary").repartition(parts, "block")
+    packed = texts.groupBy("block").applyInArrow(_explode(shards), "shard bigint, block bigint, gram array<bigint>, n array<bigint>")
     # an n-gram has one shard, so what is partitioned by shard is partitioned by n-gram
-    grams = packed.repartition(parts, "shard").select("shard", "block", F.inline(F.arrays_zip("gram", "n")))
-    counts = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "shard"))).where("total > n").select("block", "gram", "total")
-    scored = texts.groupBy("block").cogroup(counts.repartition(parts, "block").groupBy("block")).applyInArrow(
+    grams = packed.repartition(shards, "shard").select("shard", "block", F.inline(F.arrays_zip("gram", "n")))
+    counts = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "shard"))).where("total > n")
+    answers = counts.groupBy("shard", "block").agg(F.collect_list(F.struct("gram", "total")).alias("c")).select("block", F.col("c.gram").alias("gram"), F.col("c.total").alias("total"))
+    scored = texts.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(
         _score(max(total, 1)), "h1 bigint, h2 bigint, n_words bigint, n_backoff bigint, log_score double, mean_log_score double"
     )
     return rows.select("doc_id", "h1", "h2").join(scored, ["h1", "h2"]).select("doc_id", "n_words", "n_backoff", "log_score", "mean_log_score")

@@ -52,7 +52,11 @@ class Grams:
         self.bigrams = bigram_hash(self.words[a], self.words[b])
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
 
-    def of_doc(self, doc: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
-        """For each position, how often its text has its n-gram."""
-        _, where, counts = np.unique(doc * n + gram, return_inverse=True, return_counts=True)
-        return counts[where]
+    def of_doc(self, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """For each position, how often its text has its n-gram; ``doc``: the text of each position, in order."""
+        out = np.zeros(len(gram), np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            _, where, counts = np.unique(gram[s:e], return_inverse=True, return_counts=True)
+            out[s:e] = counts[where]
+        return out

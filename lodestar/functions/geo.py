@@ -11,4 +11,4 @@ EARTH_KM = 6371.0
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle kilometres; null where a coordinate is missing."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..sources.shared import stage
+from .rank import first_rows
 
 #: Degrees of a row of the grid that regions use.
 CELL = 0.05
@@ -46,29 +49,26 @@ def label_vote(rows: DataFrame, group: str, label: str) -> DataFrame:
 def greedy_merge(stores: DataFrame, block: list[str], km: float) -> DataFrame:
     """Entity resolution in input order: a store joins the first kept store of its block within ``km``.
 
-    Order matters, so a block is one group; ``block`` must keep groups small (chain and city).
+    Order matters: whether a store is kept hangs on the stores before it.  Pairs come from a grid; in every
+    round a store with a kept neighbour before it is merged, and one with none left to wait for is kept, until
+    all are decided.  No block is gathered anywhere, and what is decided is written between rounds.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        kept: list[tuple] = []
-        into = []
-        for r in pdf.sort_values("sid").itertuples():
-            found = r.sid
-            for sid, lat, lng in kept:
-                if not (pd.isna(lat) or pd.isna(r.lat)):
-                    dy, dx = math.radians(r.lat - lat), math.radians(r.lng - lng)
-                    a = math.sin(dy / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(r.lat)) * math.sin(dx / 2) ** 2
-                    if 2 * 6371.0 * math.asin(math.sqrt(min(a, 1.0))) <= km:
-                        found = sid
-                        break
-            if found == r.sid:
-                kept.append((r.sid, r.lat, r.lng))
-            into.append((r.sid, found))
-        return pd.DataFrame(into, columns=["sid", "merged_into"])
-
-    return stores.groupBy(*block).applyInPandas(run, "sid bigint, merged_into bigint")
+    pairs = stage(near_pairs(stores, km, block).select("a", "b"), "near")
+    nodes = stores.select("sid").distinct()
+    kept = stage(nodes.join(pairs.select(F.col("b").alias("sid")), "sid", "left_anti"), "kept")
+    gone = nodes.limit(0)
+    while True:
+        merged = pairs.join(kept.withColumnRenamed("sid", "a"), "a", "left_semi").select(F.col("b").alias("sid")).distinct()
+        gone = stage(gone.union(merged).distinct(), "gone")
+        decided = kept.union(gone)
+        waits = pairs.join(gone.withColumnRenamed("sid", "a"), "a", "left_anti").select(F.col("b").alias("sid")).distinct()
+        more = stage(nodes.join(decided, "sid", "left_anti").join(waits, "sid", "left_anti"), "more")
+        if more.isEmpty():
+            break
+        kept = stage(kept.union(more), "kept")
+    first = pairs.join(kept.withColumnRenamed("sid", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("first"))
+    into = first.join(kept.withColumnRenamed("sid", "b"), "b", "left_anti")
+    return nodes.join(into, nodes.sid == into.b, "left").select("sid", F.coalesce("first", "sid").alias("merged_into"))
 
 
 def resolve_stores(rows: DataFrame, known: DataFrame, km: float) -> DataFrame:
@@ -85,8 +85,40 @@ def resolve_stores(rows: DataFrame, known: DataFrame, km: float) -> DataFrame:
     return rows.select("rid").join(first, "rid", "left").select("rid", "b.sid", "b.level")
 
 
-def nearest(points: DataFrame, stores: DataFrame, same: list[str], most: int) -> DataFrame:
-    """The ``most`` nearest stores of each point among those that agree in ``same``; stores off the map last."""
-    pairs = points.join(stores, same).withColumn("km", F.round(haversine_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), 6))
-    place = Window.partitionBy("point").orderBy(F.col("km").asc_nulls_last(), "sid")
-    return pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+def _cells(size: float, lat: str, lng: str) -> list:
+    return [F.floor(F.col(lat) / size).alias("cy"), F.floor(F.col(lng) / size).alias("cx")]
+
+
+def nearest(points: DataFrame, stores: DataFrame, same: list[str], most: int, start: float = 0.2) -> DataFrame:
+    """The ``most`` nearest stores of each point among those that agree in ``same``; stores off the map last.
+
+    Points meet the stores of their own and the neighbouring cells of a grid, by equality.  A point that has
+    enough stores no farther than a cell is wide is done; the others go on with cells eight times as wide.
+    """
+    columns = [*points.columns, *(c for c in stores.columns if c not in points.columns)]
+    by_km, placed = [F.col("km").asc_nulls_last(), "sid"], stores.where("lat IS NOT NULL AND lng IS NOT NULL")
+    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
+    left, size, found = points.where("lat0 IS NOT NULL AND lng0 IS NOT NULL"), start, []
+    while True:
+        around = left.select("*", *_cells(size, "lat0", "lng0")).withColumn("d", F.explode(steps))
+        around = around.withColumns({"cy": F.col("cy") + F.col("d.y"), "cx": F.col("cx") + F.col("d.x")}).drop("d")
+        hits = around.join(placed.select("*", *_cells(size, "lat", "lng")), [*same, "cy", "cx"])
+        km = F.round(haversine_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), 6)
+        top = stage(first_rows(hits.select(*columns, km.alias("km")), ["point"], by_km, most, "place"), "near")
+        last = size >= 360
+        sure = top.groupBy("point").agg(F.count_if(F.lit(last) | (F.col("km") <= size * KM_A_DEGREE)).alias("n")).where(F.col("n") >= (1 if last else most))
+        found.append(top.join(sure, "point", "left_semi"))
+        left = stage(left.join(sure, "point", "left_anti"), "left")
+        if last or left.isEmpty():
+            break
+        size = min(8 * size, 360.0)
+    near = functools.reduce(DataFrame.unionByName, found)
+    # whoever has too few gets the first stores of the block that no distance is known to
+    full = near.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    short = points.join(full, "point", "left_anti")
+    unplaced = first_rows(stores.where("lat IS NULL OR lng IS NULL"), same, ["sid"], most, "r_").drop("r_")
+    blind = first_rows(stores, same, ["sid"], most, "r_").drop("r_")
+    nowhere = "lat0 IS NULL OR lng0 IS NULL"
+    rest = short.where(f"NOT ({nowhere})").join(unplaced, same).unionByName(short.where(nowhere).join(blind, same))
+    every = near.drop("place").unionByName(rest.select(*columns, F.lit(None).cast("double").alias("km")))
+    return first_rows(every, ["point"], by_km, most, "place")

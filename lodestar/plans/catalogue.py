@@ -139,19 +139,19 @@ _PROFILE = sql("offer", """+t AS (SELECT count(*) AS total, count(price) AS a, c
 
 def price_quantiles(spark, sf_dir):
     """Exact floor-index quantiles of offer prices in each shelf."""
-    rows = offers(spark, sf_dir).join(products(spark, sf_dir).select("pid", "category"), "pid").select("category", F.round("price", 0).alias("price"))
+    rows = offers(spark, sf_dir).join(products(spark, sf_dir).select("pid", "category"), "pid").select("category", "price")
     return gates.floor_quantiles(rows, ["category"], "price", [0.1, 0.5, 0.9, 0.99])
 
 
-_QUANTILES = sql("product offer", """+s AS (SELECT category, list_sort(list(round(o.price, 0))) AS v FROM offer o JOIN product USING (pid) WHERE o.price IS NOT NULL GROUP BY 1)
+_QUANTILES = sql("product offer", """+s AS (SELECT category, list_sort(list(o.price)) AS v FROM offer o JOIN product USING (pid) WHERE o.price IS NOT NULL GROUP BY 1)
     SELECT category, len(v) AS n, v[floor(len(v) * 0.1)::INT + 1] AS q_10, v[floor(len(v) * 0.5)::INT + 1] AS q_50, v[floor(len(v) * 0.9)::INT + 1] AS q_90, v[floor(len(v) * 0.99)::INT + 1] AS q_99 FROM s""")
 
 
 def price_gates(spark, sf_dir):
     """Pass or fail of the price-distribution and size gates."""
-    rows = offers(spark, sf_dir).select(F.lit(1).alias("all"), F.round("price", 0).alias("price"))
+    rows = offers(spark, sf_dir).select(F.lit(1).alias("all"), "price")
     total = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("price") > 2000).alias("dear"), F.count("price").alias("priced"))
-    q = gates.floor_quantiles(rows, ["all"], "price", [0.5, 0.9]).join(total)
+    q = gates.floor_quantiles(rows, ["all"], "price", [0.5, 0.9]).join(total.withColumn("all", F.lit(1)), "all")
     share = F.round(F.col("dear") / F.col("priced"), 6)
     return gates.as_rows(
         q,
@@ -164,7 +164,7 @@ def price_gates(spark, sf_dir):
     )
 
 
-_GATES = sql("offer", """+s AS (SELECT list_sort(list(round(price, 0)) FILTER (WHERE price IS NOT NULL)) AS v, count(*) AS n, count(*) FILTER (WHERE round(price, 0) > 2000) AS dear, count(price) AS priced FROM offer),
+_GATES = sql("offer", """+s AS (SELECT list_sort(list(price) FILTER (WHERE price IS NOT NULL)) AS v, count(*) AS n, count(*) FILTER (WHERE price > 2000) AS dear, count(price) AS priced FROM offer),
     f AS (SELECT v[floor(len(v) * 0.5)::INT + 1] AS q50, v[floor(len(v) * 0.9)::INT + 1] AS q90, n, round(dear::DOUBLE / priced, 6) AS share FROM s)
     SELECT 'median' AS gate, q50 BETWEEN 300 AND 20000 AS ok, q50::DOUBLE AS detail FROM f UNION ALL SELECT 'p90', q90 <= 2000, q90 FROM f UNION ALL SELECT 'share_dear', share <= 0.02, share FROM f UNION ALL SELECT 'row_floor', n >= 1000, n FROM f""")
 

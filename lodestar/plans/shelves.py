@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, sizes, text
-from ..functions.hashing import mix32_sql
+from ..functions.hashing import mix32, mix32_sql, text_hash, text_hash_sql
 from ..operators import rank, resolve
 from ..sources.catalogue import products, sql, table
 
@@ -29,7 +28,7 @@ _ROBIN = sql("product", """+u AS (SELECT *, round(round(price / [9000, 500, 1000
 
 def seeded_band_shuffle(spark, sf_dir):
     """The forty dearest products of each shelf in the day's order, the rest as they stand."""
-    return rank.shuffle_band(products(spark, sf_dir), "category", [F.desc("price"), "pid"], "pid", 40, SEED).select("pid", "category", "place")
+    return rank.shuffle_band(products(spark, sf_dir), "category", -F.col("price"), [F.desc("price"), "pid"], "pid", 40, SEED).select("pid", "category", "place")
 
 
 _BAND = sql("product", f"""+n AS (SELECT pid, category, row_number() OVER (PARTITION BY category ORDER BY price DESC, pid) AS n FROM product)
@@ -48,20 +47,21 @@ _QUOTA = sql("product", f"""SELECT pid, category, {mix32_sql(str(SEED + 1), 'pid
 
 
 def stride_sample(spark, sf_dir):
-    return rank.stride(products(spark, sf_dir), "category", ["pid"], 13).select("pid", "category")
+    return rank.stride(products(spark, sf_dir), "category", "pid", 13).select("pid", "category")
 
 
 _STRIDE = sql("product", "SELECT pid, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pid) AS n FROM product) WHERE (n - 1) % 13 = 0")
 
 
 def firm_diversify(spark, sf_dir):
-    """Products in seeded order inside each brand; place is the depth, then the brand's own seeded order."""
-    rows = rank.shuffle_band(products(spark, sf_dir), "brand", ["pid"], "pid", 1 << 30, SEED).withColumnRenamed("place", "depth")
-    return rows.where("depth <= 3").withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("brand"))).select("pid", "brand", "depth", "place")
+    """Three products of each brand in seeded order, brands in an order of their own, brand after brand; ``place`` among those of a depth."""
+    rows = rank.first_rows(products(spark, sf_dir), ["brand"], [mix32(F.lit(SEED), F.col("pid")), "pid"], 3, "depth")
+    firm = text_hash(SEED, F.col("brand"))
+    return rank.numbered(rows, ["depth"], firm, [firm, "brand"], "place").select("pid", "brand", "depth", "place")
 
 
 _FIRMS = sql("product", f"""+d AS (SELECT pid, brand, row_number() OVER (PARTITION BY brand ORDER BY {mix32_sql(str(SEED), 'pid')}, pid) AS depth FROM product)
-    SELECT pid, brand, depth, row_number() OVER (PARTITION BY depth ORDER BY brand) AS place FROM d WHERE depth <= 3""")
+    SELECT pid, brand, depth, row_number() OVER (PARTITION BY depth ORDER BY {text_hash_sql(SEED, 'brand')}, brand) AS place FROM d WHERE depth <= 3""")
 
 
 def free_text_filter(spark, sf_dir):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import places
 from ..sources.catalogue import sql, stores, table
 
-_KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2), 1.0)))"
+_HALF = "(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))"
+# null without a coordinate: least() would pass over the null and put such stores at the other end of the earth
+_KM = f"2 * 6371.0::DOUBLE * asin(sqrt(CASE WHEN {_HALF} > 1 THEN 1.0 ELSE {_HALF} END))"
 
 
 def store_nearest(spark, sf_dir):
@@ -96,5 +98,15 @@ def store_greedy_merge(spark, sf_dir):
     return places.greedy_merge(stores(spark, sf_dir).select("sid", "chain", "lat", "lng"), ["chain"], 30.0)
 
 
+# store after store: those kept so far, and whether one of them is near
+_GREEDY = sql("store", f"""+o AS (SELECT *, row_number() OVER (ORDER BY sid) AS i FROM store),
+    e AS (SELECT a.sid AS a, b.sid AS b FROM store a JOIN store b ON a.chain = b.chain AND a.sid < b.sid WHERE {_KM.format(a='a', b='b')} <= 30.0),
+    n AS (SELECT o.i, o.sid, coalesce((SELECT list(e.a) FROM e WHERE e.b = o.sid), []) AS near FROM o),
+    r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+        UNION ALL SELECT n.i, CASE WHEN len(list_intersect(kept, near)) > 0 THEN kept ELSE list_append(kept, sid) END FROM r JOIN n ON n.i = r.i + 1),
+    k AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1)
+    SELECT sid, CASE WHEN list_contains(kept, sid) THEN sid ELSE list_min(list_intersect(kept, near)) END AS merged_into FROM n, k""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {f.__name__: f for f in (store_nearest, store_radius_pairs, point_in_polygon, store_label_vote, store_groups, store_resolution, store_greedy_merge)}
-ORACLES = dict(zip(QUERIES, (_NEAREST, _PAIRS, _POLYGON, _VOTE, _STORE_GROUPS, _RESOLUTION), strict=False))
+ORACLES = dict(zip(QUERIES, (_NEAREST, _PAIRS, _POLYGON, _VOTE, _STORE_GROUPS, _RESOLUTION, _GREEDY), strict=True))

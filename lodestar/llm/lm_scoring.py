@@ -78,9 +78,10 @@ def _texts(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, Grams]:
         if text is not None:
             texts[key] = text
     keys, words, expand = sorted(texts), WordHashes(), zstandard.ZstdDecompressor().decompress
-    hashes = [words.of(expand(texts[k]).decode("utf-8", "surrogatepass")) for k in keys]
-    grams = Grams(np.array([len(h) for h in hashes], np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
-    return keys, np.array([copies[k] for k in keys], np.int64), grams
+    hashes = [words.of(expand(texts.pop(k)).decode("utf-8", "surrogatepass")) for k in keys]
+    sizes, joined = np.array([len(h) for h in hashes], np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    del hashes, words
+    return keys, np.array([copies[k] for k in keys], np.int64), Grams(sizes, joined)
 
 
 def _counted(g: Grams, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,9 @@ def _explode(shards: int):
         n = np.concatenate([*_counted(g, copies)])
         grams = np.concatenate([g.words, g.bigrams])
         shard = (grams % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
+        # equal counts side by side take little room
+        order = np.argsort(np.minimum(n, 32767).astype(np.int16), kind="stable")
+        order = order[np.argsort(shard[order], kind="stable")]
         named, start = np.unique(shard[order], return_index=True)
         ends = pa.array(np.r_[start, len(order)].astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (grams.view(np.int64), n)]
@@ -133,6 +136,7 @@ def text_scores(g: Grams, unigrams: np.ndarray, bigrams: np.ndarray, total: int)
 def _score(words: int):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         keys, copies, g = _texts(texts)
+        del texts
         asked, total = (pa.concat_arrays([x.flatten() for x in counts.column(c).chunks]).to_numpy() if len(counts) else np.zeros(0, np.int64) for c in ("gram", "total"))
         unigrams, bigrams = (_add(own, grams, asked.view(np.uint64), total) for own, grams in zip(_counted(g, copies), (g.words, g.bigrams), strict=True))
         logs, backed = text_scores(g, unigrams, bigrams, words)
@@ -160,7 +164,7 @@ def score(docs: DataFrame) -> DataFrame:
     # an n-gram has one shard, so what is partitioned by shard is partitioned by n-gram
     grams = packed.repartition(shards, "shard").select("shard", "block", F.inline(F.arrays_zip("gram", "n")))
     counts = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "shard"))).where("total > n")
-    answers = counts.groupBy("shard", "block").agg(F.collect_list(F.struct("gram", "total")).alias("c")).select("block", F.col("c.gram").alias("gram"), F.col("c.total").alias("total"))
+    answers = counts.sortWithinPartitions("total").groupBy("shard", "block").agg(F.collect_list(F.struct("gram", "total")).alias("c")).select("block", F.col("c.gram").alias("gram"), F.col("c.total").alias("total"))
     scored = texts.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(
         _score(max(total, 1)), "h1 bigint, h2 bigint, n_words bigint, n_backoff bigint, log_score double, mean_log_score double"
     )

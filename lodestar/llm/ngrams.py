@@ -42,15 +42,22 @@ class Grams:
 
     def __init__(self, sizes: np.ndarray, hashes: np.ndarray):
         self.sizes = sizes
-        self.words, self.at = np.unique(hashes, return_inverse=True)
+        self.words, at = np.unique(hashes, return_inverse=True)
+        self.at = at.astype(np.int32)
+        del at
         first = np.zeros(len(hashes), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        self.second = np.flatnonzero(~first)  # positions that end a bigram
+        self.second = np.flatnonzero(~first).astype(np.int32)  # positions that end a bigram
         n = max(len(self.words), 1)
-        self.pairs, self.pair_at = np.unique(self.at[self.second - 1].astype(np.int64) * n + self.at[self.second], return_inverse=True)
+        pair = self.at[self.second - 1].astype(np.int64)
+        pair *= n
+        pair += self.at[self.second]
+        self.pairs, at = np.unique(pair, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        del at, pair
         a, b = np.divmod(self.pairs, n)
         self.bigrams = bigram_hash(self.words[a], self.words[b])
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def of_doc(self, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
         """For each position, how often its text has its n-gram; ``doc``: the text of each position, in order."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import is_valid
+
 
 def upsert(base: DataFrame, incoming: DataFrame, reference: str = "EUR") -> DataFrame:
     """One row an id with ``outcome``; both sides have id, match_key, price, currency, name and unique ids.
@@ -39,8 +41,60 @@ def upsert(base: DataFrame, incoming: DataFrame, reference: str = "EUR") -> Data
     )
 
 
-def survivors(merged: DataFrame) -> DataFrame:
-    return merged.where("outcome NOT IN ('skipped_currency', 'skipped_duplicate')")
+#: Fields that a re-read of the same listing may update, and fields that no merge rewrites (fixed values).
+VOLATILE = ("name", "category", "price", "currency", "price_note", "image", "url", "quantity", "quantity_source")
+FROZEN = ("source", "source_label", "match_key", "barcode", "barcode_source", "local", "local_evidence", "brand", "brand_source")
+
+
+def full_upsert(base: DataFrame, incoming: DataFrame, order: str, reference: str = "EUR", refresh: bool = True) -> DataFrame:
+    """Every row of ``base`` and ``incoming`` with ``outcome`` and the names of its ``changed`` fields.
+
+    Both sides have id and all fields of ``VOLATILE`` and ``FROZEN``; ids of ``base`` are unique, of rows of
+    ``incoming`` with one id the first by ``order`` counts.  Another currency than the reference is refused.  An id
+    match is the same listing read again: volatile fields take what is new, a blank is no news, and a missing
+    code may be filled by a valid one.  A new id is imported unless its match key is taken, by ``base`` or by a
+    row before it.  Where a row is skipped, its fields are null.
+    """
+    fields = [*VOLATILE, *FROZEN]
+    first = incoming.where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(*fields, order), order).alias("i"))
+    both = base.select("id", F.struct(*fields).alias("b")).join(first, "id", "full")
+    ok = F.coalesce(F.col("i.currency") == reference, F.lit(True))
+    fresh = both.where(F.col("b").isNull() & ok & F.col("i.match_key").isNotNull())
+    taken = base.select("match_key").where("match_key IS NOT NULL").distinct()
+    # among new rows of one key the first comes in
+    leads = fresh.groupBy(F.col("i.match_key").alias("match_key")).agg(F.min(F.struct(F.col(f"i.{order}").alias("o"), "id")).alias("l"))
+    free = leads.join(taken, "match_key", "left_anti").select(F.col("l.id").alias("id"), F.lit(True).alias("lead"))
+    both = both.join(free, "id", "left")
+    news = lambda f: F.col(f"i.{f}").isNotNull() & (F.col(f"i.{f}").cast("string") != "")
+    moved = {f: news(f) & ~F.col(f"i.{f}").eqNullSafe(F.col(f"b.{f}")) for f in VOLATILE}
+    gained = (F.coalesce("b.barcode", F.lit("")) == "") & F.coalesce(is_valid(F.col("i.barcode")), F.lit(False))
+    moved |= {"barcode": gained, "barcode_source": gained & news("barcode_source")}
+    reread = F.col("b").isNotNull() & F.col("i").isNotNull() & ok & F.lit(refresh)
+    changed = F.when(reread, F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in moved.items() if f != "barcode_source")))).otherwise(F.array().cast("array<string>"))
+    outcome = (
+        F.when(F.col("i").isNull(), "kept")
+        .when(~ok, "skipped_currency")
+        .when(F.col("b").isNull(), F.when(F.col("i.match_key").isNull() | F.col("lead"), "imported").otherwise("skipped_duplicate"))
+        .when(~F.lit(refresh), "skipped_same")
+        .when(F.size("changed") > 0, "refreshed")
+        .otherwise("unchanged")
+    )
+    rows = both.withColumn("changed", changed).withColumn("outcome", outcome).withColumn("imported", F.col("outcome") == "imported")
+    value = lambda f: F.when(F.col("imported"), F.col(f"i.{f}")).when(reread & moved.get(f, F.lit(False)), F.col(f"i.{f}")).otherwise(F.col(f"b.{f}"))
+    missing = reread & F.col("b.price").isNotNull() & F.col("i.price").isNull()
+    return rows.select("id", "outcome", "changed", missing.alias("price_missing"), F.col("b.price").alias("old_price"), *(value(f).alias(f) for f in fields))
+
+
+def upsert_counters(merged: DataFrame) -> DataFrame:
+    """(counter, n): rows by outcome, fields by name that moved, and prices that were missing and kept."""
+    names = F.concat(F.array(F.concat(F.lit("row:"), "outcome")), F.transform("changed", lambda f: F.concat(F.lit("field:"), f)), F.when(F.col("price_missing"), F.array(F.lit("price:kept_old"))).otherwise(F.array().cast("array<string>")))
+    return merged.select(F.explode(names).alias("counter")).groupBy("counter").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prune(rows: DataFrame, keep: Column, label: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and (label, n) of those that go."""
+    kept = F.coalesce(keep, F.lit(False))
+    return rows.where(kept), rows.where(~kept).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def change_log(merged: DataFrame) -> DataFrame:

@@ -88,6 +88,70 @@ def catalogue_merge(spark, sf_dir):
 _MERGE = sql("offer", f"+{_STATE} SELECT id, outcome, CASE WHEN outcome IN ('refreshed', 'imported') THEN ip ELSE bp END AS price, bp AS old_price, coalesce(bn, CASE WHEN outcome IN ('refreshed', 'imported') THEN nn END) AS name, coalesce(bm, CASE WHEN outcome IN ('refreshed', 'imported') THEN im END) AS match_key FROM m")
 
 
+def _listings(spark, sf_dir):
+    """Base and re-read of the same listings with all fields; some codes missing or wrong, some fields blank or other."""
+    base, late = _states(spark, sf_dir)
+    n = F.length("id") + F.substring_index("id", ":", -1).cast("bigint")
+    other = lambda k: n % k == 0
+
+    def full(df, fresh: bool):
+        pid = F.substring_index("id", ":", -1).cast("bigint")
+        code = codes.with_check_digit(F.lpad(pid.cast("string"), 12, "3"))
+        barcode = F.when(pid % 4 == 1, code).when(pid % 4 == 2, F.lit("123")) if fresh else F.when(pid % 4 == 3, code).when(pid % 8 == 1, F.lit(""))
+        text_of = lambda f, k: F.concat(F.lit(f), F.when(other(k) & F.lit(fresh), F.lit(" new")).otherwise(F.lit("")))
+        return df.select(
+            "id", "price", "currency", "match_key", text_of("name", 5).alias("name"), text_of("shelf", 7).alias("category"), F.when(~other(3), F.lit("note")).alias("price_note"),
+            F.when(other(2) & F.lit(fresh), F.lit("")).otherwise(F.lit("image")).alias("image"), text_of("url", 11).alias("url"), F.when(other(4) if fresh else ~other(4), F.lit("1 kg")).alias("quantity"), F.lit("title").alias("quantity_source"),
+            F.substring_index("id", ":", 1).alias("source"), F.lit("label").alias("source_label"), barcode.alias("barcode"), F.lit("shop" if fresh else None).cast("string").alias("barcode_source"),
+            F.lit(fresh).alias("local"), F.lit("seen").alias("local_evidence"), F.lit("B" if fresh else "A").alias("brand"), F.lit("own").alias("brand_source"), F.col("id").alias("ord"),
+        )
+
+    return full(base, False), full(late, True)
+
+
+def catalogue_upsert(spark, sf_dir):
+    """Listings read again: nine fields refreshed, the others frozen, codes gained, new rows once a key."""
+    merged = merge.full_upsert(*_listings(spark, sf_dir), "ord")
+    shown = ["name", "category", "price", "currency", "price_note", "image", "url", "quantity", "barcode", "barcode_source", "local", "brand"]
+    return merged.select("id", "outcome", F.array_join("changed", ",").alias("changed"), "price_missing", *shown)
+
+
+def _full_sql() -> str:
+    pid = "string_split(id, ':')[2]::BIGINT"
+    n = f"(length(id) + {pid})"
+    body = f"lpad(({pid})::VARCHAR, 12, '3')"
+    check = f"((10 - list_sum(list_transform(range(1, 13), lambda i: substr({body}, i, 1)::INT * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)::INT::VARCHAR"
+    side = lambda fresh: f"""SELECT id, price, {"currency" if fresh else "'EUR' AS currency"}, match_key, 'name' || {f"CASE WHEN {n} % 5 = 0 THEN ' new' ELSE '' END" if fresh else "''"} AS name,
+        'shelf' || {f"CASE WHEN {n} % 7 = 0 THEN ' new' ELSE '' END" if fresh else "''"} AS category, CASE WHEN {n} % 3 <> 0 THEN 'note' END AS price_note,
+        {f"CASE WHEN {n} % 2 = 0 THEN '' ELSE 'image' END" if fresh else "'image'"} AS image, 'url' || {f"CASE WHEN {n} % 11 = 0 THEN ' new' ELSE '' END" if fresh else "''"} AS url,
+        CASE WHEN {n} % 4 {"=" if fresh else "<>"} 0 THEN '1 kg' END AS quantity,
+        {f"CASE {pid} % 4 WHEN 1 THEN {body} || {check} WHEN 2 THEN '123' END" if fresh else f"CASE WHEN {pid} % 4 = 3 THEN {body} || {check} WHEN {pid} % 8 = 1 THEN '' END"} AS barcode FROM k WHERE n = 1 AND {"late" if fresh else "NOT late"}"""
+    news = lambda f: f"(i.{f} IS NOT NULL AND i.{f}::VARCHAR <> '' AND i.{f} IS DISTINCT FROM b.{f})"
+    moved = {f: news(f) for f in ("name", "category", "price", "currency", "price_note", "image", "url", "quantity")}
+    gained = "(coalesce(b.barcode, '') = '' AND length(i.barcode) = 13)"
+    listed = ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in (moved | {"barcode": gained}).items())
+    return f"""+{_STATE.split("b AS (SELECT * FROM k")[0].rstrip().rstrip(',')}, fb AS ({side(False)}), fi AS ({side(True)}),
+    lead AS (SELECT min(fi.id) AS id FROM fi WHERE id NOT IN (SELECT id FROM fb) AND coalesce(currency = 'EUR', true) AND match_key IS NOT NULL AND match_key NOT IN (SELECT match_key FROM fb WHERE match_key IS NOT NULL) GROUP BY match_key),
+    w AS (SELECT coalesce(b.id, i.id) AS id, b.id IS NOT NULL AND i.id IS NOT NULL AND coalesce(i.currency = 'EUR', true) AS reread, b.id IS NULL AS fresh, i.id IS NULL AS old, coalesce(i.currency = 'EUR', true) AS ok,
+        list_filter([{listed}], lambda x: x IS NOT NULL) AS moved, b.price IS NOT NULL AND i.price IS NULL AS missing, i.match_key AS i_key, {gained} AS m_barcode,
+        {", ".join(f"{c} AS m_{f}, b.{f} AS b_{f}, i.{f} AS i_{f}" for f, c in moved.items())}, b.barcode AS b_barcode, i.barcode AS i_barcode FROM fb b FULL JOIN fi i ON b.id = i.id),
+    x AS (SELECT *, CASE WHEN old THEN 'kept' WHEN NOT ok THEN 'skipped_currency' WHEN fresh THEN CASE WHEN i_key IS NULL OR id IN (SELECT id FROM lead) THEN 'imported' ELSE 'skipped_duplicate' END WHEN len(moved) > 0 THEN 'refreshed' ELSE 'unchanged' END AS outcome FROM w)"""
+
+
+_UPSERT_ROWS = _full_sql()
+_UPSERT = sql("offer", f"""{_UPSERT_ROWS} SELECT id, outcome, CASE WHEN reread THEN array_to_string(moved, ',') ELSE '' END AS changed, reread AND missing AS price_missing,
+    {", ".join(f"CASE WHEN outcome = 'imported' OR reread AND m_{f} THEN i_{f} ELSE b_{f} END AS {f}" for f in ("name", "category", "price", "currency", "price_note", "image", "url", "quantity", "barcode"))},
+    CASE WHEN outcome = 'imported' OR reread AND m_barcode THEN 'shop' END AS barcode_source,
+    CASE WHEN outcome = 'imported' THEN true WHEN NOT fresh THEN false END AS local, CASE WHEN outcome = 'imported' THEN 'B' WHEN NOT fresh THEN 'A' END AS brand FROM x""")
+
+
+def upsert_counters(spark, sf_dir):
+    return merge.upsert_counters(merge.full_upsert(*_listings(spark, sf_dir), "ord"))
+
+
+_UPSERT_COUNTS = sql("offer", f"""{_UPSERT_ROWS} SELECT counter, count(*) AS n FROM (SELECT 'row:' || outcome AS counter FROM x UNION ALL SELECT 'field:' || unnest(moved) FROM x WHERE reread UNION ALL SELECT 'price:kept_old' FROM x WHERE reread AND missing) GROUP BY 1""")
+
+
 def merge_change_log(spark, sf_dir):
     return merge.change_log(merge.upsert(*_states(spark, sf_dir))).select("id", "old_price", "price", (F.round("pct", 0) + 0.0).alias("pct"))
 
@@ -206,5 +270,5 @@ def unseen_sources(spark, sf_dir):
 
 _UNSEEN = "SELECT DISTINCT l_suppkey AS source, l_partkey AS pid FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01'"
 
-QUERIES = {f.__name__: f for f in (dedupe_cheapest, collapse_same, keep_first_offer, retailer_shadow, catalogue_merge, merge_change_log, merge_counters, catalogue_diff, source_delta, price_history, recently_moved, backfill_quantity, size_parse, size_coverage, code_integrity, match_keys, unseen_sources)}
-ORACLES = dict(zip(QUERIES, (_CHEAPEST, _COLLAPSE, _FIRST, _SHADOW, _MERGE, _LOG, sql("offer", f"+{_STATE} SELECT outcome, count(*) AS n FROM m GROUP BY 1"), _DIFF, _DELTA, _HISTORY, _MOVED, _BACKFILL, _SIZE, _SIZE_COVERAGE, _INTEGRITY, _KEYS, _UNSEEN), strict=True))
+QUERIES = {f.__name__: f for f in (dedupe_cheapest, collapse_same, keep_first_offer, retailer_shadow, catalogue_merge, merge_change_log, merge_counters, catalogue_diff, source_delta, price_history, recently_moved, backfill_quantity, size_parse, size_coverage, code_integrity, match_keys, unseen_sources, catalogue_upsert, upsert_counters)}
+ORACLES = dict(zip(QUERIES, (_CHEAPEST, _COLLAPSE, _FIRST, _SHADOW, _MERGE, _LOG, sql("offer", f"+{_STATE} SELECT outcome, count(*) AS n FROM m GROUP BY 1"), _DIFF, _DELTA, _HISTORY, _MOVED, _BACKFILL, _SIZE, _SIZE_COVERAGE, _INTEGRITY, _KEYS, _UNSEEN, _UPSERT, _UPSERT_COUNTS), strict=True))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, evidence, feed, matching, refresh, shelves, stores
+from .plans import catalogue, evidence, feed, matching, origins, refresh, shelves, stores
 
-_MODULES = (catalogue, refresh, matching, evidence, shelves, stores, feed)
+_MODULES = (catalogue, refresh, matching, evidence, origins, shelves, stores, feed)
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 #: Unit spellings: canonical unit, kind, and grams or millilitres in one (fixed values).
 UNITS = {
     "kg": ("kg", "mass", 1000.0),
@@ -36,11 +38,6 @@ def tokens(title: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(_TOKEN), F.lit(1))
 
 
-def once(value: Column, rule) -> Column:
-    """``rule`` of a value that is worked out one time, however often the rule names it."""
-    return F.get(F.transform(F.array(value), rule), F.lit(0))
-
-
 def _number(token: Column) -> Column:
     return F.replace(token, F.lit(","), F.lit(".")).try_cast("double")
 

@@ -33,7 +33,7 @@ from .common import documents, text_batches
 from .ngrams import Grams, WordHashes
 
 BACKOFF = 0.4
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
 #: Partitions of n-grams for each block, and partitions of blocks at least.
 SHARDS_A_BLOCK, LEAST_PARTITIONS = 4, 16
 #: Texts that a task remembers having sent; it forgets all of them at this number.

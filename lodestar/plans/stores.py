@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import places
+from ..operators import branches, places
 from ..sources.catalogue import sql, stores, table
 
 _HALF = "(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))"
@@ -108,5 +108,113 @@ _GREEDY = sql("store", f"""+o AS (SELECT *, row_number() OVER (ORDER BY sid) AS
     SELECT sid, CASE WHEN list_contains(kept, sid) THEN sid ELSE list_min(list_intersect(kept, near)) END AS merged_into FROM n, k""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-QUERIES = {f.__name__: f for f in (store_nearest, store_radius_pairs, point_in_polygon, store_label_vote, store_groups, store_resolution, store_greedy_merge)}
-ORACLES = dict(zip(QUERIES, (_NEAREST, _PAIRS, _POLYGON, _VOTE, _STORE_GROUPS, _RESOLUTION, _GREEDY), strict=True))
+def _records(spark, sf_dir):
+    """Store records with brand-led chains, phones that some share, addresses, and cities that some lack."""
+    return stores(spark, sf_dir).selectExpr(
+        "sid", "concat(element_at(array('Alfa', 'Beta', 'Gama', 'Delta', 'Zeta'), cast(sid % 5 AS int) + 1), IF(sid % 2 = 0, ' Market', '')) AS chain",
+        "concat(element_at(array('Alfa', 'Beta', 'Gama', 'Delta', 'Zeta'), cast(sid % 5 AS int) + 1), ' Shop', IF(sid % 3 = 0, concat(' corner', sid % 7), '')) AS name",
+        "IF(sid % 4 = 0, concat('+1 ', sid DIV 10), null) AS phone", "IF(sid % 6 = 5, null, concat('Street word', sid % 9, ' lane', sid % 4, ' ', sid % 13)) AS address",
+        "IF(sid % 7 = 6, null, concat('Town ', city)) AS city", "lat", "lng",
+    )
+
+
+def _branch_reports(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS rid", "concat(element_at(array('Alfa', 'Beta', 'Gama', 'Delta', 'Zeta', 'Eta'), cast(c_custkey % 6 AS int) + 1), ' Market', IF(c_custkey % 4 = 1, concat(' corner', c_custkey % 7), '')) AS name",
+        "IF(c_custkey % 5 = 0, concat('1-', c_custkey % 40), null) AS phone", "IF(c_custkey % 3 = 0, concat('word', c_custkey % 9, ' lane', c_custkey % 4, ' Rd ', c_custkey % 13), null) AS address",
+        "IF(c_custkey % 2 = 0, concat('Town ', c_nationkey), null) AS city", "IF(c_custkey % 8 = 7, 42.0D + (c_custkey * 37 % 1000) / 1000.0D, null) AS lat", "IF(c_custkey % 8 = 7, 20.5D + (c_custkey * 53 % 1000) / 1000.0D, null) AS lng",
+        "c_custkey % 17 = 0 AS mall",
+    )
+
+
+def store_cascade(spark, sf_dir):
+    """The store record that each report means, by phone, place, address, name, or as the only one; with method and confidence."""
+    return branches.resolve(_branch_reports(spark, sf_dir), _records(spark, sf_dir), F.coalesce((F.col("sid") % 3) == 0, F.lit(False)))
+
+
+_K = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_RECORDS = f"""record AS (SELECT sid, ['alfa', 'beta', 'gama', 'delta', 'zeta'][(sid % 5)::INT + 1] AS brand, ['alfa', 'beta', 'gama', 'delta', 'zeta'][(sid % 5)::INT + 1] || CASE WHEN sid % 2 = 0 THEN ' market' ELSE '' END AS chain,
+        ['alfa', 'beta', 'gama', 'delta', 'zeta'][(sid % 5)::INT + 1] || ' shop' || CASE WHEN sid % 3 = 0 THEN ' corner' || (sid % 7) ELSE '' END AS called, CASE WHEN sid % 4 = 0 THEN '1' || (sid // 10) END AS phone,
+        CASE WHEN sid % 6 = 5 THEN '' ELSE 'street word' || (sid % 9) || ' lane' || (sid % 4) || ' ' || (sid % 13) || ' ' END AS address, CASE WHEN sid % 7 = 6 THEN '' ELSE 'town ' || city END AS city, lat, lng, sid % 3 = 0 AS regional FROM store),
+    s AS (SELECT *, address || called AS held FROM record),
+    r AS (SELECT c_custkey AS rid, ['alfa', 'beta', 'gama', 'delta', 'zeta', 'eta'][(c_custkey % 6)::INT + 1] AS brand, CASE WHEN c_custkey % 4 = 1 THEN ['corner' || (c_custkey % 7)] ELSE [] END AS extra,
+        CASE WHEN c_custkey % 5 = 0 THEN '1' || (c_custkey % 40) END AS phone, CASE WHEN c_custkey % 3 = 0 THEN ['word' || (c_custkey % 9), 'lane' || (c_custkey % 4), (c_custkey % 13)::VARCHAR] ELSE [] END AS words,
+        CASE WHEN c_custkey % 2 = 0 THEN 'town ' || c_nationkey ELSE '' END AS city, CASE WHEN c_custkey % 8 = 7 THEN 42.0::DOUBLE + (c_custkey * 37 % 1000) / 1000.0::DOUBLE END AS lat, CASE WHEN c_custkey % 8 = 7 THEN 20.5::DOUBLE + (c_custkey * 53 % 1000) / 1000.0::DOUBLE END AS lng, c_custkey % 17 = 0 AS mall FROM customer),
+    p AS (SELECT r.*, s.sid, s.chain, s.called, s.held, s.regional, r.phone = s.phone AS rung, len(list_intersect(r.words, string_split(s.held, ' '))) AS hit, s.city AS at_city,
+        r.city <> '' AND s.city <> '' AND r.city <> s.city AND NOT contains(' ' || s.held || ' ', ' ' || r.city || ' ') AS clash, {_KM.format(a='r', b='s')} AS km FROM r JOIN s ON r.brand = s.brand),
+    a AS (SELECT *, hit > 0 AND (hit = len(words) OR hit >= 2 AND hit >= 0.6 * len(words)) AS agrees, list_filter(list_concat(['market'], extra), lambda w: NOT list_contains(['market', brand], w)) AS telling FROM p),
+    ph AS (SELECT rid, count(*) AS n, min(sid) AS sid, count(*) FILTER (WHERE agrees) AS m, min(sid) FILTER (WHERE agrees) AS asid FROM a WHERE rung GROUP BY 1),
+    lv AS (SELECT rid, 1 AS level, CASE WHEN n = 1 THEN sid WHEN m = 1 THEN asid END AS sid, CASE WHEN n = 1 THEN 'phone' WHEN m = 1 THEN 'phone+address' ELSE 'ambiguous' END AS method, CASE WHEN n = 1 OR m = 1 THEN 'high' END AS confidence FROM ph
+        UNION ALL SELECT rid, 3, arg_min(sid, (km, sid)), 'near', 'high' FROM a WHERE km <= 0.15 GROUP BY 1
+        UNION ALL SELECT rid, 4, CASE WHEN count(*) = 1 THEN min(sid) END, CASE WHEN count(*) = 1 THEN 'chain+address' ELSE 'ambiguous' END, CASE WHEN count(*) = 1 THEN 'high' END FROM a WHERE NOT mall AND agrees AND NOT clash GROUP BY 1
+        UNION ALL SELECT rid, 5, min(sid), 'name', 'medium' FROM a WHERE NOT mall AND len(telling) > 0 AND len(list_filter(telling, lambda w: NOT list_contains(string_split(called, ' '), w))) = 0 AND NOT clash GROUP BY 1 HAVING count(*) = 1
+        UNION ALL SELECT rid, 6, min(sid), 'sole in region', 'low' FROM (SELECT *, count(*) OVER (PARTITION BY rid) AS n FROM a WHERE NOT mall AND regional) WHERE {{sole}} GROUP BY 1 HAVING count(*) = 1
+        UNION ALL SELECT rid, 7, min(sid), 'sole in city', 'low' FROM a WHERE NOT mall AND city <> '' AND city = at_city GROUP BY 1 HAVING count(*) = 1),
+    b AS (SELECT rid, arg_min({{{{'s': sid, 'm': method, 'c': confidence}}}}, level) AS b FROM lv GROUP BY 1), n AS (SELECT brand, count(*) AS n_all FROM s GROUP BY 1)"""
+_CASCADE = sql("store", f"+{_RECORDS.format(sole='NOT clash')} SELECT r.rid, b.b.s AS sid, coalesce(b.b.m, CASE WHEN mall OR lat IS NOT NULL OR coalesce(n_all < 2, true) THEN 'new' ELSE 'unresolved' END) AS method, b.b.c AS confidence FROM r LEFT JOIN b USING (rid) LEFT JOIN n USING (brand)")
+
+
+def chain_renames(spark, sf_dir):
+    """Chains written in several ways under one name, with how many stores were renamed."""
+    shown = F.expr("concat(IF(sid % 3 = 0, upper(chain), chain), IF(sid % 5 = 0, '.', ''))")
+    rows = stores(spark, sf_dir).withColumn("chain", shown)
+    return branches.renames(branches.canonical_chains(rows, stores(spark, sf_dir).select(F.col("chain").alias("alias"), F.initcap("chain").alias("canonical")).distinct()))
+
+
+_RENAMES = sql("store", """SELECT chain, canonical, count(*) AS n FROM (SELECT CASE WHEN sid % 3 = 0 THEN upper(chain) ELSE chain END || CASE WHEN sid % 5 = 0 THEN '.' ELSE '' END AS chain, 'C' || substr(chain, 2) AS canonical FROM store) WHERE chain <> canonical GROUP BY 1, 2""")
+
+
+def merged_records(spark, sf_dir):
+    """Records of one chain and city as one, every field from the first that has it."""
+    rows = _records(spark, sf_dir).join(stores(spark, sf_dir).select("sid", F.concat_ws("/", "chain", F.col("city").cast("string")).alias("into")), "sid")
+    return branches.merge_fields(rows, "into", "sid", ["sid", "phone", "address", "city", "lat"])
+
+
+_MERGED = sql("store", f"""+w AS (SELECT x.sid, x.chain || '/' || x.city AS into_, CASE WHEN x.sid % 4 = 0 THEN '+1 ' || (x.sid // 10) END AS phone, CASE WHEN x.sid % 6 <> 5 THEN 'Street word' || (x.sid % 9) || ' lane' || (x.sid % 4) || ' ' || (x.sid % 13) END AS address, CASE WHEN x.sid % 7 <> 6 THEN 'Town ' || x.city END AS city, x.lat FROM store x)
+    SELECT into_ AS into, min(sid) AS sid, arg_min(phone, sid) FILTER (WHERE phone IS NOT NULL) AS phone, arg_min(address, sid) FILTER (WHERE address IS NOT NULL) AS address, arg_min(city, sid) FILTER (WHERE city IS NOT NULL) AS city, arg_min(lat, sid) FILTER (WHERE lat IS NOT NULL) AS lat, count(*) AS n_merged FROM w GROUP BY 1""")
+
+
+def official_lists(spark, sf_dir):
+    """Records of a weaker source less those of listed chains, and listed stores that got their place from them."""
+    rows = stores(spark, sf_dir)
+    weak, listed = rows.where("sid % 2 = 0"), rows.where("sid % 2 = 1 AND chain IN ('chain 1', 'chain 2', 'chain 3', 'chain 4')").withColumns({"lat": F.when(F.col("sid") % 3 != 0, F.col("lat")), "lng": F.when(F.col("sid") % 3 != 0, F.col("lng"))})
+    both = weak.unionByName(rows.where("chain = 'chain 5' AND sid % 4 = 1")).unionByName(rows.where("chain = 'chain 1'").withColumn("sid", F.col("sid") + 1000000))
+    kept, placed = branches.without_listed(both, listed, ["chain", "city"])
+    return kept.select("sid", F.lit("kept").alias("status"), "lat").unionByName(placed.select("sid", F.when(F.col("moved"), "placed").otherwise("listed").alias("status"), "lat"))
+
+
+_LISTED = sql("store", """+l AS (SELECT sid, chain, city, CASE WHEN sid % 3 <> 0 THEN lat END AS lat FROM store WHERE sid % 2 = 1 AND chain IN ('chain 1', 'chain 2', 'chain 3', 'chain 4')),
+    w AS (SELECT sid, chain, city, lat FROM store WHERE sid % 2 = 0 UNION ALL SELECT sid, chain, city, lat FROM store WHERE chain = 'chain 5' AND sid % 4 = 1 UNION ALL SELECT sid + 1000000, chain, city, lat FROM store WHERE chain = 'chain 1'),
+    o AS (SELECT chain, city, min(lat) AS lat FROM w WHERE chain IN (SELECT chain FROM l) AND lat IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1)
+    SELECT sid, 'kept' AS status, lat FROM w WHERE chain NOT IN (SELECT chain FROM l)
+    UNION ALL SELECT sid, CASE WHEN l.lat IS NULL AND o.lat IS NOT NULL THEN 'placed' ELSE 'listed' END, coalesce(l.lat, o.lat) FROM l LEFT JOIN o USING (chain, city)""")
+
+
+def owner_fields(spark, sf_dir):
+    """What owners gave for stores: fields that were missing, and fields where they say otherwise."""
+    given = stores(spark, sf_dir).where("sid % 3 <> 1").selectExpr("sid", "concat('+1 ', sid DIV 10) AS phone", "IF(sid % 2 = 0, 'elsewhere', '') AS address", "concat('Town ', city) AS city")
+    out = branches.supplied(_records(spark, sf_dir), given, ["phone", "address", "city"])
+    return out.select("sid", "phone", "address", F.array_join("given", ",").alias("given"), F.array_join("disputed", ",").alias("disputed"))
+
+
+_OWNED = sql("store", """+w AS (SELECT sid, sid % 3 <> 1 AS g, CASE WHEN sid % 4 = 0 THEN '+1 ' || (sid // 10) END AS phone, CASE WHEN sid % 6 <> 5 THEN 'Street word' || (sid % 9) || ' lane' || (sid % 4) || ' ' || (sid % 13) END AS address, CASE WHEN sid % 7 <> 6 THEN 'Town ' || city END AS city FROM store)
+    SELECT sid, coalesce(phone, CASE WHEN g THEN '+1 ' || (sid // 10) END) AS phone, coalesce(address, CASE WHEN g THEN CASE WHEN sid % 2 = 0 THEN 'elsewhere' ELSE '' END END) AS address,
+    concat_ws(',', CASE WHEN g AND phone IS NULL THEN 'phone' END, CASE WHEN g AND address IS NULL AND sid % 2 = 0 THEN 'address' END, CASE WHEN g AND city IS NULL THEN 'city' END) AS given,
+    concat_ws(',', CASE WHEN g AND address IS NOT NULL AND sid % 2 = 0 THEN 'address' END) AS disputed FROM w""")
+
+
+def stocking_stores(spark, sf_dir):
+    """How many stores stock a product, by the chains of its source or else by the venue it names."""
+    chains = stores(spark, sf_dir).where("sid % 2 = 0").select(F.col("sid").alias("source"), "chain")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_partkey") % 10).alias("source"), F.expr("IF(p_partkey % 3 = 0, upper(concat('Chain-', p_partkey % 12)), null)").alias("venue"))
+    hits = branches.stocking(rows, stores(spark, sf_dir), chains)
+    return hits.groupBy("pid", "claim").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first"))
+
+
+_STOCKING = sql("store", """+p AS (SELECT p_partkey AS pid, p_partkey % 10 AS source, CASE WHEN p_partkey % 3 = 0 THEN 'chain ' || (p_partkey % 12) END AS venue FROM part),
+    c AS (SELECT DISTINCT p.pid, t.sid FROM p JOIN store s ON s.sid = p.source AND s.sid % 2 = 0 JOIN store t ON t.chain = s.chain),
+    v AS (SELECT pid, sid FROM p JOIN store ON chain = venue WHERE pid NOT IN (SELECT pid FROM c))
+    SELECT pid, 'chain' AS claim, count(*) AS n, min(sid) AS "first" FROM c GROUP BY 1 UNION ALL SELECT pid, 'venue', count(*), min(sid) FROM v GROUP BY 1""")
+
+QUERIES = {f.__name__: f for f in (store_nearest, store_radius_pairs, point_in_polygon, store_label_vote, store_groups, store_resolution, store_greedy_merge, store_cascade, chain_renames, merged_records, official_lists, owner_fields, stocking_stores)}
+ORACLES = dict(zip(QUERIES, (_NEAREST, _PAIRS, _POLYGON, _VOTE, _STORE_GROUPS, _RESOLUTION, _GREEDY, _CASCADE, _RENAMES, _MERGED, _LISTED, _OWNED, _STOCKING), strict=True))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, evidence, feed, forms, matching, origins, pairings, refresh, shelves, stores
+from .plans import catalogue, evidence, feed, forms, judging, matching, origins, pairings, refresh, shelves, stores
 
-_MODULES = (catalogue, refresh, matching, evidence, origins, pairings, shelves, stores, forms, feed)
+_MODULES = (catalogue, refresh, matching, evidence, origins, pairings, shelves, stores, forms, judging, feed)
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}

@@ -36,7 +36,7 @@ def decode_short(code: Column, lat0: Column, lng0: Column, box: tuple[float, flo
         value = F.floor(near) + inside
         return F.when(near + 0.5 < value, value - 1).when(near - 0.5 > value, value + 1).otherwise(value)
 
-    lat, lng = F.round(whole(lat0, part(1, 3, 6)), 6), F.round(whole(lng0, part(2, 4, 7)), 6)
+    lat, lng = F.round(whole(lat0, part(1, 3, 6)), 7), F.round(whole(lng0, part(2, 4, 7)), 7)
     outside = ~(lat.between(box[0], box[1]) & lng.between(box[2], box[3]))
     fault = F.when(~good, "malformed").when(outside, "outside").when(haversine_km(lat0, lng0, lat, lng) > most_km, "far")
     return F.struct(F.when(fault.isNull(), lat).alias("lat"), F.when(fault.isNull(), lng).alias("lng"), fault.alias("fault"))

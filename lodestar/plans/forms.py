@@ -79,8 +79,9 @@ def location_codes(spark, sf_dir):
     return rows.select("sid", location.decode_short(short, F.lit(42.66), F.lit(21.16), (42.2, 42.95, 20.55, 21.45), 45.0).alias("p")).select("sid", "p.lat", "p.lng", "p.fault")
 
 
-_CENTRE = "round((floor(({0} + 0.00003) * 8000) + 0.5) / 8000.0::DOUBLE, 6)"
-_LOCATIONS = sql("store", f"""+c AS (SELECT sid, {_CENTRE.format("lat")} AS lat, {_CENTRE.format("lng")} AS lng FROM store WHERE lat IS NOT NULL),
+# of a short code the place nearest to the reference is meant, so what lies over half a degree off comes out a degree away
+_CENTRE = "round((floor(({0} + 0.00003) * 8000) + 0.5) / 8000.0::DOUBLE + CASE WHEN {0} < {1} - 0.5 THEN 1 WHEN {0} > {1} + 0.5 THEN -1 ELSE 0 END, 7)"
+_LOCATIONS = sql("store", f"""+c AS (SELECT sid, {_CENTRE.format("lat", 42.66)} AS lat, {_CENTRE.format("lng", 21.16)} AS lng FROM store WHERE lat IS NOT NULL),
     d AS (SELECT *, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - 42.66) / 2), 2) + cos(radians(42.66)) * cos(radians(lat)) * pow(sin(radians(lng - 21.16) / 2), 2))) AS km FROM c),
     f AS (SELECT *, CASE WHEN sid % 10 = 9 THEN 'malformed' WHEN NOT (lat BETWEEN 42.2 AND 42.95 AND lng BETWEEN 20.55 AND 21.45) THEN 'outside' WHEN km > 45 THEN 'far' END AS fault FROM d)
     SELECT sid, CASE WHEN fault IS NULL THEN lat END AS lat, CASE WHEN fault IS NULL THEN lng END AS lng, fault FROM f""")

@@ -61,7 +61,7 @@ def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     largest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not largest:
         return []
-    chosen = sample_texts(known.where(F.col("lang").isin([r["lang"] for r in largest])), FIT_ROWS_PER_LANGUAGE, "lang")
+    chosen = sample_texts(known, FIT_ROWS_PER_LANGUAGE, "lang", {r["lang"]: r["count"] for r in largest})
     rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, terms array<int>, counts array<int>").toArrow()
     found = [(lang, np.array(t), np.array(c)) for lang, t, c in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)]
     return sorted((r for r in found if len(r[1])), key=lambda r: (int(r[1] @ r[2]), len(r[1]), r[0]))

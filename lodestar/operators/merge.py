@@ -115,6 +115,18 @@ def history(points: DataFrame, most: int, order: list) -> DataFrame:
     return points.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("n") <= most)
 
 
+def moves(points: DataFrame, order: list, most: int, ids: int) -> DataFrame:
+    """The newest ``most`` price changes (id, at, price, before) of the ``ids`` that moved last; re-reads of one price are none.
+
+    Points of an id are put in ``order``; the newest change of every id picks the ids.
+    """
+    steps = points.where("price IS NOT NULL").withColumn("before", F.lag("price").over(Window.partitionBy("id").orderBy(*order)))
+    changed = steps.where("before IS NOT NULL AND before <> price")
+    last = changed.groupBy("id").agg(F.max("at").alias("last_")).orderBy(F.desc("last_"), "id").limit(ids).drop("last_")
+    newest = [c.desc() if not isinstance(c, str) else F.desc(c) for c in order]
+    return changed.join(last, "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*newest))).where(F.col("n") <= most)
+
+
 def backfill(rows: DataFrame, column: str, source: str) -> DataFrame:
     """Missing values of ``column`` from ``source``, with where each came from."""
     label = F.when(F.col(column).isNotNull(), "own").when(F.col(source).isNotNull(), "derived")

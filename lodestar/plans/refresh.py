@@ -189,6 +189,17 @@ def price_history(spark, sf_dir):
 _HISTORY = sql("offer", "SELECT pid AS id, n, at_::DATE AS day, price FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY at_ DESC, oid) AS n FROM offer WHERE price IS NOT NULL) WHERE n <= 8")
 
 
+def price_moves(spark, sf_dir):
+    """Up to eight price changes of the five hundred listings that moved last."""
+    points = offers(spark, sf_dir).select(F.concat_ws(":", "source", "pid").alias("id"), "at", "price", "oid")
+    return merge.moves(points, ["at", "oid"], 8, 500).select("id", "n", F.to_date("at").alias("day"), "before", "price")
+
+
+_MOVES = sql("offer", """+p AS (SELECT source || ':' || pid AS id, at_, price, oid, lag(price) OVER (PARTITION BY source, pid ORDER BY at_, oid) AS before FROM offer WHERE price IS NOT NULL),
+    c AS (SELECT * FROM p WHERE before IS NOT NULL AND before <> price), l AS (SELECT id FROM c GROUP BY 1 ORDER BY max(at_) DESC, id LIMIT 500)
+    SELECT id, n, at_::DATE AS day, before, price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_ DESC, oid DESC) AS n FROM c WHERE id IN (SELECT id FROM l)) WHERE n <= 8""")
+
+
 def recently_moved(spark, sf_dir):
     """The fifty products whose price was seen last, with how many prices each has."""
     seen = offers(spark, sf_dir).where("price IS NOT NULL").groupBy("pid").agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -270,5 +281,5 @@ def unseen_sources(spark, sf_dir):
 
 _UNSEEN = "SELECT DISTINCT l_suppkey AS source, l_partkey AS pid FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01'"
 
-QUERIES = {f.__name__: f for f in (dedupe_cheapest, collapse_same, keep_first_offer, retailer_shadow, catalogue_merge, merge_change_log, merge_counters, catalogue_diff, source_delta, price_history, recently_moved, backfill_quantity, size_parse, size_coverage, code_integrity, match_keys, unseen_sources, catalogue_upsert, upsert_counters)}
-ORACLES = dict(zip(QUERIES, (_CHEAPEST, _COLLAPSE, _FIRST, _SHADOW, _MERGE, _LOG, sql("offer", f"+{_STATE} SELECT outcome, count(*) AS n FROM m GROUP BY 1"), _DIFF, _DELTA, _HISTORY, _MOVED, _BACKFILL, _SIZE, _SIZE_COVERAGE, _INTEGRITY, _KEYS, _UNSEEN, _UPSERT, _UPSERT_COUNTS), strict=True))
+QUERIES = {f.__name__: f for f in (dedupe_cheapest, collapse_same, keep_first_offer, retailer_shadow, catalogue_merge, merge_change_log, merge_counters, catalogue_diff, source_delta, price_history, recently_moved, backfill_quantity, size_parse, size_coverage, code_integrity, match_keys, unseen_sources, catalogue_upsert, upsert_counters, price_moves)}
+ORACLES = dict(zip(QUERIES, (_CHEAPEST, _COLLAPSE, _FIRST, _SHADOW, _MERGE, _LOG, sql("offer", f"+{_STATE} SELECT outcome, count(*) AS n FROM m GROUP BY 1"), _DIFF, _DELTA, _HISTORY, _MOVED, _BACKFILL, _SIZE, _SIZE_COVERAGE, _INTEGRITY, _KEYS, _UNSEEN, _UPSERT, _UPSERT_COUNTS, _MOVES), strict=True))

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.forms import chain_key, street_key
-from ..functions.geo import haversine_km
 from .brands import longest_of, word_runs
-from .places import KM_A_DEGREE
+from .places import within
 
 #: A report lies at the nearest record of its brand within so many kilometres.
 NEAR_KM = 0.15
@@ -74,12 +73,7 @@ def resolve(reports: DataFrame, records: DataFrame, region: Column) -> DataFrame
     shared = by_phone.join(first, "rid", "left_anti")
     narrowed = shared.groupBy("rid").agg(F.collect_set(F.when(agrees, F.col("sid"))).alias("a")).select("rid", F.lit(2).alias("level"), F.when(F.size("a") == 1, F.col("a")[0]).alias("sid"), F.when(F.size("a") == 1, "phone+address").otherwise("ambiguous").alias("method"), F.when(F.size("a") == 1, "high").alias("confidence"))
 
-    size = 2 * NEAR_KM / KM_A_DEGREE
-    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
-    around = r.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("d", F.explode(steps)).select("rid", "brand", "lat", "lng", (F.floor(F.col("lat") / size) + F.col("d.y")).alias("cy"), (F.floor(F.col("lng") / size) + F.col("d.x")).alias("cx"))
-    placed = s.where("la IS NOT NULL AND na IS NOT NULL").select("sid", "brand", "la", "na", F.floor(F.col("la") / size).alias("cy"), F.floor(F.col("na") / size).alias("cx"))
-    km = haversine_km(F.col("lat"), F.col("lng"), F.col("la"), F.col("na"))
-    close = around.join(placed, ["brand", "cy", "cx"]).withColumn("km", km).where(F.col("km") <= NEAR_KM)
+    close = within(r, s, ["brand"], NEAR_KM)
     near = close.groupBy("rid").agg(F.min_by("sid", F.struct("km", "sid")).alias("sid")).select("rid", F.lit(3).alias("level"), "sid", F.lit("near").alias("method"), F.lit("high").alias("confidence"))
 
     shops = r.where("NOT mall AND brand IS NOT NULL")

@@ -71,17 +71,31 @@ def greedy_merge(stores: DataFrame, block: list[str], km: float) -> DataFrame:
     return nodes.join(into, nodes.sid == into.b, "left").select("sid", F.coalesce("first", "sid").alias("merged_into"))
 
 
+def within(rows: DataFrame, known: DataFrame, same: list[str], km: float) -> DataFrame:
+    """(rid, sid, km) of rows (rid, lat, lng) and known places (sid, la, na) that agree in ``same`` and lie within ``km``, by grid cells."""
+    size = km / KM_A_DEGREE
+    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
+    around = rows.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("d", F.explode(steps))
+    around = around.select(*same, "rid", "lat", "lng", (F.floor(F.col("lat") / size) + F.col("d.y")).alias("cy"), (F.floor(F.col("lng") / size) + F.col("d.x")).alias("cx"))
+    placed = known.where("la IS NOT NULL AND na IS NOT NULL").select(*same, "sid", "la", "na", F.floor(F.col("la") / size).alias("cy"), F.floor(F.col("na") / size).alias("cx"))
+    distance = haversine_km(F.col("lat"), F.col("lng"), F.col("la"), F.col("na"))
+    return around.join(placed, [*same, "cy", "cx"]).select("rid", "sid", distance.alias("km")).where(F.col("km") <= km)
+
+
 def resolve_stores(rows: DataFrame, known: DataFrame, km: float) -> DataFrame:
-    """Rows (rid, phone, chain, city, lat, lng) against known stores by the first level that has exactly one hit."""
+    """Rows (rid, phone, chain, city, lat, lng) against known stores by the first level that has exactly one hit.
+
+    Distances meet in grid cells; for the last level only chains with one store in a city are joined.
+    """
+    phones = known.where("phone IS NOT NULL").groupBy("phone").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1")
+    near = within(rows, known.select("chain", "city", "sid", F.col("lat").alias("la"), F.col("lng").alias("na")), ["chain", "city"], km)
+    alone = known.groupBy("chain", "city").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1")
     levels = [
-        rows.join(known.select("phone", "sid"), "phone").select("rid", "sid", F.lit(1).alias("level")),
-        rows.join(known.select("chain", "city", "sid", F.col("lat").alias("la"), F.col("lng").alias("na")), ["chain", "city"])
-        .where(haversine_km(F.col("lat"), F.col("lng"), F.col("la"), F.col("na")) <= km)
-        .select("rid", "sid", F.lit(2).alias("level")),
-        rows.join(known.select("chain", "city", "sid"), ["chain", "city"]).select("rid", "sid", F.lit(3).alias("level")),
+        rows.join(phones, "phone").select("rid", "sid", F.lit(1).alias("level")),
+        near.groupBy("rid").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1").select("rid", "sid", F.lit(2).alias("level")),
+        rows.join(alone, ["chain", "city"]).select("rid", "sid", F.lit(3).alias("level")),
     ]
-    hits = levels[0].union(levels[1]).union(levels[2]).groupBy("rid", "level").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid"))
-    first = hits.where("n = 1").groupBy("rid").agg(F.min_by(F.struct("sid", "level"), "level").alias("b"))
+    first = functools.reduce(DataFrame.unionByName, levels).groupBy("rid").agg(F.min_by(F.struct("sid", "level"), "level").alias("b"))
     return rows.select("rid").join(first, "rid", "left").select("rid", "b.sid", "b.level")
 
 

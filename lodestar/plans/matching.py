@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import brands, dedupe, issuer, resolve
 from ..sources.catalogue import flagged_brands, issuers, offers, products, sql, table
+from ..sources.shared import stage
 from .catalogue import _DENSE, _VERDICT
 
 #: Words that name a family, in order: the first that stands in a title decides (fixed values).
@@ -92,9 +93,9 @@ _STANCE = sql("product issuer flag offer", f"""+{_DENSE}, m AS (SELECT p.*, {_VE
 
 
 def _pool(spark, sf_dir):
-    """The products that may be offered as alternatives: not flagged, one for each (family, brand), cheapest."""
-    rows = stance(spark, sf_dir).join(products(spark, sf_dir), "pid").withColumn("family", family(F.col("name")))
-    return rows
+    """Products with stance and family, written once, as probes and candidates both come from them."""
+    rows = stance(spark, sf_dir).select("pid", "stance").join(products(spark, sf_dir), "pid")
+    return stage(rows.select("pid", "stance", "brand", "category", "price", family(F.col("name")).alias("family")), "pool")
 
 
 def _per_family(rows):

@@ -137,5 +137,32 @@ def feed_dedupe_stream(spark, sf_dir):
     return spark.read.parquet(f"{run}/out")
 
 
-QUERIES = {f.__name__: f for f in (feed_rate_limit, feed_dedupe_anchored, feed_latest, history_state, history_totals, throttle_sliding, feed_validation, feed_public, event_props, turn_guard, feed_dedupe_stream)}
-ORACLES = dict(zip(QUERIES, (_RATE, _ANCHORED, "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", _STATE, _TOTALS, _THROTTLE, _VALIDATION, _PUBLIC, _PROPS, _GUARD, _ANCHORED), strict=True))
+def feed_minutes(spark, sf_dir):
+    """Events of each type and minute, by the function that the stream uses."""
+    return stream.minute_counts_stream(_events(spark, sf_dir))
+
+
+_MINUTES = "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def feed_ingest(spark, sf_dir):
+    """What becomes of every entry: its first fault, over the rate, inside the window of an earlier one, or kept among the newest."""
+    rows = _entries(spark, sf_dir).withColumn("fault", ev.entry_fault(F.col("code"), F.col("owner"), F.col("note")))
+    valid = ev.rate_limited(rows.where("fault IS NULL"), "owner", "ts", ["event_id"], 1, 3)
+    first = ev.anchored_dedupe(valid.where("allowed"), ["owner", "code"], "ts", "event_id", 86_400 * 3).select("event_id")
+    kept = valid.select("event_id", "ts").join(first, "event_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", F.lit(True).alias("kept"))
+    status = valid.select("event_id", "allowed").join(first.withColumn("first", F.lit(True)), "event_id", "left").join(kept, "event_id", "left")
+    outcome = F.when(F.col("fault").isNotNull(), F.col("fault")).when(~F.col("allowed"), "rate").when(F.col("first").isNull(), "window").when(F.col("kept").isNull(), "old").otherwise("kept")
+    return rows.join(status, "event_id", "left").select("event_id", outcome.alias("outcome"))
+
+
+_INGEST = """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_id % 9 AS code, CASE WHEN event_id % 9 > 5 THEN 'code' WHEN user_id % 10 = 0 THEN 'owner' WHEN event_id % 6 < 2 THEN 'note' END AS fault FROM events),
+    v AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AND row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 3 AS allowed FROM e WHERE fault IS NULL),
+    a AS (SELECT * FROM v WHERE allowed),
+    r AS (SELECT user_id, code, min(ts) AS ts FROM a GROUP BY 1, 2 UNION ALL SELECT r.user_id, r.code, (SELECT min(a.ts) FROM a WHERE a.user_id = r.user_id AND a.code = r.code AND a.ts >= r.ts + INTERVAL 259200 SECOND) FROM r WHERE r.ts IS NOT NULL),
+    f AS (SELECT a.event_id, row_number() OVER (ORDER BY a.ts DESC, a.event_id DESC) AS place FROM r JOIN a USING (user_id, code, ts))
+    SELECT e.event_id, coalesce(e.fault, CASE WHEN NOT v.allowed THEN 'rate' WHEN f.event_id IS NULL THEN 'window' WHEN place > 500 THEN 'old' ELSE 'kept' END) AS outcome FROM e LEFT JOIN v USING (event_id) LEFT JOIN f ON f.event_id = e.event_id"""
+
+
+QUERIES = {f.__name__: f for f in (feed_rate_limit, feed_dedupe_anchored, feed_latest, history_state, history_totals, throttle_sliding, feed_validation, feed_public, event_props, turn_guard, feed_dedupe_stream, feed_minutes, feed_ingest)}
+ORACLES = dict(zip(QUERIES, (_RATE, _ANCHORED, "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", _STATE, _TOTALS, _THROTTLE, _VALIDATION, _PUBLIC, _PROPS, _GUARD, _ANCHORED, _MINUTES, _INGEST), strict=True))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import codes, sizes, text
 from lodestar.operators import dedupe, events, gates, issuer, merge
+from lodestar.streaming import feed as stream
 
 
 def one(spark, column, *values):
@@ -69,6 +70,22 @@ def test_folds_every_accent(spark):
     assert one(spark, text.decode_entities, "caf&#233; &#x1F600; &#39;&#0;&#xD800; &amp;#39;") == "café \U0001f600 '&#0;&#xD800; &#39;"
 
 
+def test_thirteen_digits(spark):
+    assert [one(spark, codes.thirteen, c) for c in ("96385074", "036000291452", "14006381333938")] == ["0000096385074", "0036000291452", "4006381333938"]
+
+
+def test_streams(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id * 3) AS ts", "IF(id % 2 = 0, 'a', 'b') AS event_type", "IF(id % 3 = 0, '40063813', 'x') AS code", "'user1' AS owner", "'fine' AS note")
+    rows.write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, df in (("minutes", stream.minute_counts_stream(source())), ("valid", stream.valid_stream(source()))):
+        df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    want = {tuple(r) for r in stream.minute_counts_stream(rows).collect()}
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "minutes")).collect()}
+    assert got and got <= want  # the last minutes wait for late events
+    assert spark.read.parquet(str(tmp_path / "valid")).count() == 200
+
+
 def test_text(spark):
     assert one(spark, text.key, "Crème-Brûlée  2L!") == "creme brulee 2l"
     assert one(spark, text.slug, "Ça va, Žan?") == "ca-va-zan"

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, and on odd input."""
 
+import collections
 import hashlib
 import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import duckdb
@@ -616,6 +618,82 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in rows} == final and final <= verdicts
 
 
+def clean_by_brute_force(text):
+    """What the quality rules leave of a text, or None, line by line and window by window."""
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    windows = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
+    many = {w for w, n in collections.Counter(windows).items() if n > 1}
+    repeated = {p for i, w in enumerate(windows) if w in many for p in range(i, i + 8)}
+    if len(ws) < 20 or 100 * len(repeated) > 30 * len(ws):
+        return None
+    good, left = [], 0
+    for line in (text or "").split("\n"):
+        n = len([w for w in re.split(r"[\x20\x09-\x0D]+", line) if w])
+        if not n:
+            continue
+        symbols, letters = len(re.findall(quality_rules.SYMBOLS, line)), [c for c in line if unicodedata.category(c)[0] == "L"]
+        upper, marked = sum(unicodedata.category(c) == "Lu" for c in letters), re.search(quality_rules.SENTENCE_MARKS, line)
+        if symbols >= 3 and 10 * symbols > 3 * n or len(letters) >= 10 and 2 * upper > len(letters) or not marked or n <= 30 and re.search(quality_rules.BOILERPLATE, line.lower()):
+            continue
+        good.append(line)
+        left += n
+    return "\n".join(good) if 100 * (len(ws) - left) <= 50 * len(ws) else None
+
+
+def redacted_by_brute_force(text, weights):
+    out, at = "", 0
+    spans = [s.split(":") for s in [*base_spans(text), *loose_spans(text, weights)]]
+    for s, e, k in sorted((int(s), -int(e), pii.KINDS.index(k)) for k, s, e in spans):
+        if s >= at:
+            out += text[at:s] + f"<{pii.KINDS[k]}>"
+        at = max(at, -e)
+    return out + text[at:]
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    """Every stage worked out in plain Python over the whole table, odd rows and planted ones included."""
+    from tokenizers import Tokenizer
+
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rng = random.Random(21)
+    pool = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 9))) for _ in range(3000)]
+    bodies = ["\n".join(" ".join(rng.choices(pool, k=14)) + "." for _ in range(12)) for _ in range(9)]
+    body = bodies.__getitem__
+    item = benchmark.first().text
+    odd = [*[(i, t) for i, t, _ in ODD], (None, body(1)), (None, body(1)), (None, body(2) + "\nMail me at some.one@mail.org or call 212-555-0187."), (5, body(3)), (5, body(4)), (6000, body(5)), (6001, body(5)), (6002, f"{body(6)}\n{item}\n{body(7)}"), (6003, f"{body(8)}\nHOME MENU LOGIN\nAll rights reserved.")]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string").selectExpr("*", "'xx' AS lang", "null AS source", "cast(length(text) AS bigint) AS n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+
+    kept = [(r.doc_id, t) for r in rows.select("doc_id", "text").collect() if (t := clean_by_brute_force(r.text)) is not None]
+    fp = np.array([simhash.fingerprint(t) for _, t in kept], np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
+    parent = simhash._hook(np.arange(len(fp)), i, j)
+    first = {}
+    h = {t: k for t, k in spark.createDataFrame([(t,) for _, t in kept], "t string").select("t", F.xxhash64("t")).collect()}
+    for (d, t), p in zip(kept, parent.tolist(), strict=True):
+        key = (d is None, d or 0, h[t])
+        first[p] = min(first.get(p, (key, d, t)), (key, d, t), key=lambda x: x[0])
+    items = {r.item_id: decontaminate.words(r.text) for r in benchmark.collect()}
+    replies = {r.item_id: decontaminate.answer(r.text) for r in benchmark.collect()}
+    clean = [(d, t) for _, d, t in first.values() if not held_by_brute_force(items, replies, decontaminate.words(t))]
+    assert len(clean) < len(first) < len(kept) < rows.count()
+    weights = pii.fit(pii.candidates(spark.createDataFrame(clean, "doc_id bigint, text string")))
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), []
+    for d, t in clean:
+        ids = np.array([*tokenizer.encode(redacted_by_brute_force(t, weights), add_special_tokens=False).ids, 1], "<u4")
+        want += [(d, k // 4096, k, min(4096, len(ids) - k), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
+    assert got == sorted(want, key=repr)
+    own = sum(d == 5 for d, _ in clean)
+    assert sum(d is None for d, *_ in got) == 2 and own >= 2 and len({t for d, t in clean if d == 5}) == own
+
+    none = tmp_path / "none"
+    rows.limit(0).write.parquet(str(none / "documents.parquet"))
+    benchmark.limit(0).write.parquet(str(none / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_empty_table(spark, docs, tmp_path):
     none = docs.limit(0)
     benchmark, labels = spark.read.parquet(f"{DATA}/benchmark.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")

@@ -31,7 +31,8 @@ MIN_SYMBOLS = 3
 MIN_SHOUTED_LETTERS = 10
 NAVIGATION_WORDS = 5
 BOILERPLATE_WORDS = 30
-SENTENCE_MARKS = "[.!?:;,…]"
+#: Marks of sentences in Latin, Arabic, Indic and East Asian writing.
+SENTENCE_MARKS = "[.!?:;,…。！？：；，、؟،؛۔।]"
 BOILERPLATE = (
     "all rights reserved|licensed under|released under|copyright|terms of (use|service)|privacy policy|"
     "cookie|javascript|subscribe to|sign (in|up)|log ?in|click here"

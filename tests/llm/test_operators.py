@@ -561,6 +561,8 @@ def test_quality_rules(spark, odd):
     fine = spark.createDataFrame([(1, body)], "doc_id bigint, text string")
     r = quality_rules.quality_rules(fine).first()
     assert (r.lines_removed, r.kept) == (2, True)
+    arabic = spark.createDataFrame([(2, "\n".join(" ".join(f"كلمة{7 * i + j}" for j in range(8)) + "؟" for i in range(6)))], "doc_id bigint, text string")
+    assert quality_rules.quality_rules(arabic).first().kept
     assert quality_rules.clean(odd).columns == odd.columns and quality_rules.clean(odd).count() == 0
     assert quality_rules.clean(fine).first().text == "\n".join(lines)
 

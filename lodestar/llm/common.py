@@ -50,21 +50,26 @@ def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator
             yield batch.slice(at, rows)
 
 
-def sample_texts(docs: DataFrame, most: int, by: str | None = None, sizes: dict | None = None) -> DataFrame:
+def sample_texts(docs: DataFrame, most: int, by: str | None = None, values: list | None = None) -> DataFrame:
     """At most ``most`` distinct non-null texts (of each value of ``by``): those of least 64-bit hash.
 
-    A text is in or out by itself, whatever ids its rows have and however many there are.  Counts set the
-    share of the hash range that is looked at, at twice what is wanted; a rank then sets the bound.
-    ``sizes``: rows of each value of ``by`` that is sampled; the caller bounds how many there are.
+    A text is in or out by itself, whatever ids its rows have and however many there are.  Approximate counts
+    of distinct texts (to 2 %) set the share of the hash range that is looked at, at twice what is wanted; a
+    rank then sets the bound.  ``values``: those of ``by`` that are sampled; the caller bounds how many there are.
     """
     text = F.col("text").cast("string")
     rows = docs.where("text IS NOT NULL").select(*([by] if by else []), text.alias("text"), F.xxhash64(text).alias("h_"))
+    distinct = F.approx_count_distinct("h_", 0.02).alias("n")
     # the hash as a number from 0 to 1
     place = (F.col("h_").cast("double") + 2.0**63) / 2.0**64
     if not by:
-        near = rows.where(place * F.lit(rows.count()) <= 2 * most).dropDuplicates(["h_"])
+        near = rows.where(place * F.lit(rows.agg(distinct).first()["n"]) <= 2 * most).dropDuplicates(["h_"])
         return near.orderBy("h_").limit(most)
-    size = F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[F.col(by)]
+    rows = rows.where(F.col(by).isin(values))
+    sizes = rows.groupBy(by).agg(distinct).collect()
+    if not sizes:
+        return rows
+    size = F.create_map(*(F.lit(x) for r in sizes for x in (r[by], r["n"])))[F.col(by)]
     near = rows.where(place * size <= 2 * most).dropDuplicates([by, "h_"])
     rank = F.row_number().over(Window.partitionBy(by).orderBy("h_"))
     return near.withColumn("r_", rank).where(F.col("r_") <= most).select(by, "text", "h_")

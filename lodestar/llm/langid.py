@@ -5,7 +5,8 @@ multinomial logistic regression is trained by follow-the-regularised-leader with
 which keeps it sparse, and its scores are calibrated by one temperature, fitted on a part of the sample
 that training leaves out.  The classifier is fitted on a bounded sample of labelled rows: the languages of
 most rows (``MOST_LANGUAGES``; a dirty column may hold any number of values, which are never predicted) and
-``FIT_ROWS_PER_LANGUAGE`` distinct texts of each, by the text's hash.  Every whole text of the table is
+``FIT_ROWS_PER_LANGUAGE`` distinct texts of each, by the text's hash, as long as the languages' shares of
+``FIT_TERMS`` n-gram counts last: that bounds what the driver holds, however long the texts.  Every whole text of the table is
 predicted, where it lies, without a shuffle.
 
 Defined results: a null text and one without a letter (Unicode category L) are ``und`` with score 0, as is
@@ -20,14 +21,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, sample_texts, text_batches
+from .common import documents, sample_texts, stage, text_batches
 
 BITS, ORDERS = 16, 3
 FIT_ROWS_PER_LANGUAGE = 500
 MOST_LANGUAGES = 200
+#: Distinct n-grams of all texts of the sample, dealt equally among its languages.
+FIT_TERMS = 12_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: One row in so many of the sample fits the temperature alone.
@@ -52,7 +55,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.unique(ngrams(t), return_counts=True) for t in batch.column("text").to_pylist()]
         terms = pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32()))
         counts = pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), terms, counts], ["lang", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h_"), terms, counts], ["lang", "h_", "terms", "counts"])
 
 
 def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -61,10 +64,19 @@ def sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     largest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not largest:
         return []
-    chosen = sample_texts(known, FIT_ROWS_PER_LANGUAGE, "lang", {r["lang"]: r["count"] for r in largest})
-    rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, terms array<int>, counts array<int>").toArrow()
-    found = [(lang, np.array(t), np.array(c)) for lang, t, c in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)]
-    return sorted((r for r in found if len(r[1])), key=lambda r: (int(r[1] @ r[2]), len(r[1]), r[0]))
+    languages = [r["lang"] for r in largest]
+    chosen = sample_texts(known, FIT_ROWS_PER_LANGUAGE, "lang", languages)
+    counted = stage(chosen.mapInArrow(_counted, "lang string, h_ bigint, terms array<int>, counts array<int>"), "language-sample")
+    upto = F.sum(F.size("terms")).over(Window.partitionBy("lang").orderBy("h_"))
+    within = counted.select("lang", "h_", (upto - F.size("terms")).alias("before")).where(F.col("before") < FIT_TERMS // len(languages))
+    rows = counted.join(within, ["lang", "h_"], "left_semi").where("size(terms) > 0").select("lang", "terms", "counts").toArrow().combine_chunks()
+    found = []
+    for batch in rows.to_batches():
+        terms, counts = (batch.column(c) for c in ("terms", "counts"))
+        cuts = terms.offsets.to_numpy()
+        t, c = terms.values.to_numpy(), counts.values.to_numpy()
+        found += [(lang, t[s:e], c[s:e]) for lang, s, e in zip(batch.column("lang").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    return sorted(found, key=lambda r: (int(r[1].astype(np.int64) @ r[2]), len(r[1]), r[0]))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -123,11 +135,12 @@ def predict(languages: list[str], weights: np.ndarray, text: str | None) -> tupl
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
-    languages, weights = train(found) if (found := sample(docs)) else ([], np.zeros((1 << BITS, 0), np.float32))
+    # at most MOST_LANGUAGES weights for each of 65,536 n-grams
+    model = docs.sparkSession.sparkContext.broadcast(train(found) if (found := sample(docs)) else ([], np.zeros((1 << BITS, 0), np.float32)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            got = [predict(languages, weights, t) for t in batch.column("text").to_pylist()]
+            got = [predict(*model.value, t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -1,7 +1,12 @@
 """Line-first quality rules, in DataFrame expressions only.
 
-Method.  Every line that holds a word is judged by itself: by its punctuation, as navigation, as
-boilerplate, as symbol noise and as shouting.  Lines that fail are removed, and a document that loses
+Method.  Every line that holds a word is judged: as symbol noise, as shouting and as boilerplate by itself; as
+navigation and for want of punctuation together with the lines right above and below it.  A line without a
+sentence mark is like a link if it is short, in title case, or cut by separators; such a line fails as
+navigation unless it runs on from, or into, a line of prose beside it.  A longer line without a mark fails for want
+of punctuation only if neither neighbour has a mark and no sentence runs across the line break, so prose
+that is wrapped at a fixed width stays.  Scripts that write sentences without marks (Thai, Lao, Tibetan, Burmese,
+Khmer) are exempt from both.  Lines that fail are removed, and a document that loses
 more than ``MAX_LOST_PERCENT`` of its words to that is rejected, as is one that fails the base measures
 (too few words, or too many words in repeated windows).  All measures are taken over the whole text.
 
@@ -31,11 +36,17 @@ MIN_SYMBOLS = 3
 MIN_SHOUTED_LETTERS = 10
 NAVIGATION_WORDS = 5
 BOILERPLATE_WORDS = 30
-#: Marks of sentences in Latin, Arabic, Indic and East Asian writing.
-SENTENCE_MARKS = "[.!?:;,…。！？：；，、؟،؛۔।]"
+LINK_TITLE_WORDS, LINK_LIST_WORDS = 10, 30
+#: Marks inside and at the end of sentences: Unicode's sentence terminals of scripts in use, and commas and the like.
+SENTENCE_MARKS = "[.!?:;,…‼‽⁇-⁉。！？：；，、．｡։՝՜؟،؛۔܀-܂߹।॥၊။።-፨᙮᠂᠃᠉᥄᥅᭚᭛᭞᭟᰻᰼᱾᱿꓾꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝-꩟꫰꫱꯫។៕།༎]"
+#: Scripts whose sentences need no mark: Thai, Lao, Tibetan, Burmese, Khmer.
+UNMARKED_SCRIPTS = "[\u0e00-\u109f\u1780-\u17ff]"
+SEPARATORS = "[|»›→•·]| [/>–-] "
 BOILERPLATE = (
     "all rights reserved|licensed under|released under|copyright|terms of (use|service)|privacy policy|"
-    "cookie|javascript|subscribe to|sign (in|up)|log ?in|click here"
+    "cookie|javascript|subscribe to|sign (in|up)|log ?in|click here|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|tous droits réservés|politique de confidentialité|mentions légales|"
+    "todos los derechos reservados|política de privacidad|aviso legal|tutti i diritti riservati|informativa sulla privacy"
 )
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -55,25 +66,34 @@ def _without(text: str, pattern: str) -> str:
     return f"length({text}) - length(regexp_replace({text}, {_sql_text(pattern)}, ''))"
 
 
-def line_verdicts(lines: str) -> str:
-    """SQL: for each line (struct of its words w, symbols s, upper u, letters a, flags) whether it stays."""
-    return f"""transform({lines}, l -> named_struct(
-        'line', l,
-        'w', size({_words('l')}),
-        's', {_without('l', SYMBOLS + '+')},
-        'u', {_without('l', '[\\p{Lu}]+')},
-        'a', {_without('l', '[\\p{L}]+')},
-        'marked', l rlike {_sql_text(SENTENCE_MARKS)},
-        'boiler', lower(l) rlike {_sql_text(BOILERPLATE)}))"""
-
-
-def stays(e: str) -> str:
-    """SQL: whether the judged line ``e`` passes every rule."""
+def line_features(l: str, word: str, count: str, gone: str) -> dict[str, str]:
+    """SQL for what the rules look at in a line ``l``; ``word``, ``count``, ``gone``: patterns and forms of an engine."""
+    return {
+        "w": count.format(l),
+        "s": gone.format(l, SYMBOLS),
+        "u": gone.format(l, "\\p{Lu}"),
+        "a": gone.format(l, "\\p{L}"),
+        "marked": word.format(l, SENTENCE_MARKS),
+        "bare": word.format(l, UNMARKED_SCRIPTS),
+        "cut": word.format(l, SEPARATORS),
+        "lower": word.format(l, "(^|[\\x20\\x09-\\x0D])\\p{Ll}"),
+        "starts": word.format(l, "^[^\\p{L}]*[\\p{Ll}\\p{Lo}]"),
+        "boiler": word.format(f"lower({l})", BOILERPLATE),
+    }
+
+
+def stays(e: str, p: str, n: str) -> str:
+    """SQL: whether the line ``e``, with ``p`` right above and ``n`` right below it (null: none), passes every rule."""
+    link = lambda x: f"""(NOT {x}.marked AND NOT {x}.bare AND ({x}.w <= {NAVIGATION_WORDS} OR ({x}.cut AND {x}.w <= {LINK_LIST_WORDS})
+        OR (NOT {x}.lower AND {x}.u > 0 AND {x}.w <= {LINK_TITLE_WORDS})))"""
+    prose = lambda x: f"coalesce({x}.w > {NAVIGATION_WORDS} AND NOT {link(x)}, false)"
+    flows = f"(({prose(p)} AND {e}.starts) OR ({prose(n)} AND coalesce({n}.starts, false)))"
     noise = f"({e}.s >= {MIN_SYMBOLS} AND 10 * {e}.s > {MAX_SYMBOLS_PER_10_WORDS} * {e}.w)"
     shout = f"({e}.a >= {MIN_SHOUTED_LETTERS} AND 2 * {e}.u > {e}.a)"
     boiler = f"({e}.boiler AND {e}.w <= {BOILERPLATE_WORDS})"
-    navigation = f"(NOT {e}.marked AND {e}.w <= {NAVIGATION_WORDS})"
-    unpunctuated = f"(NOT {e}.marked AND {e}.w > {NAVIGATION_WORDS})"
+    navigation = f"({link(e)} AND NOT {flows})"
+    beside = f"(coalesce({p}.marked, false) OR coalesce({n}.marked, false) OR {flows})"
+    unpunctuated = f"(NOT {e}.marked AND NOT {e}.bare AND NOT {link(e)} AND NOT {beside})"
     return f"NOT ({noise} OR {shout} OR {boiler} OR {navigation} OR {unpunctuated})"
 
 
@@ -88,13 +108,19 @@ def _repeated(win: str) -> str:
 
 def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
     """``docs`` with its measures and ``clean_text`` under a struct column ``hidden``."""
+    worded = f"l rlike {_sql_text('[^' + _WS[1:-2] + ']')}"
+    found = line_features("l", "{0} rlike '{1}'", f"IF({worded}, size({_words('l')}), 0)", "length({0}) - length(regexp_replace({0}, '{1}+', ''))")
+    features = ", ".join(f"'{k}', {v if k == 'w' else v.replace(chr(92), chr(92) * 2)}" for k, v in found.items())
+    # the lines above and below; a line without a word is none
+    beside = lambda at: f"IF(get({hidden}.lines, {at}).w > 0, get({hidden}.lines, {at}), NULL)"
+    passes = f"get(transform(array(named_struct('p', {beside('i - 1')}, 'n', {beside('i + 1')})), b -> {stays('e', 'b.p', 'b.n')}), 0)"
     text = docs.withColumn(hidden, F.expr("named_struct('text', coalesce(cast(text AS string), ''))"))
     text = text.withColumn(
         hidden,
         F.expr(
             f"""named_struct('text', {hidden}.text,
             'words', CASE WHEN btrim({hidden}.text, '{_TRIM}') = '' THEN array() ELSE {_words(hidden + '.text')} END,
-            'lines', filter(split({hidden}.text, '\\n'), l -> l rlike {_sql_text('[^\\x20\\x09-\\x0D]')}))"""
+            'lines', split({hidden}.text, '\\n'))"""
         ),
     )
     text = text.withColumn(
@@ -103,11 +129,11 @@ def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
             f"""named_struct('n_words', size({hidden}.words),
             'word_chars', length(array_join({hidden}.words, '')),
             'n_symbols', {_without(hidden + '.text', SYMBOLS + '+')},
-            'n_dup_lines', size({hidden}.lines) - size(array_distinct({hidden}.lines)),
+            'n_dup_lines', size(filter({hidden}.lines, l -> {worded})) - size(array_distinct(filter({hidden}.lines, l -> {worded}))),
             'windows', CASE WHEN size({hidden}.words) > {WINDOW}
                 THEN transform(sequence(1, size({hidden}.words) - {WINDOW - 1}), i -> xxhash64(slice({hidden}.words, i, {WINDOW})))
                 ELSE array() END,
-            'lines', {line_verdicts(hidden + '.lines')})"""
+            'lines', transform({hidden}.lines, l -> named_struct('line', l, {features})))"""
         ),
     )
     text = text.withColumn(
@@ -115,8 +141,8 @@ def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
         F.expr(
             f"""named_struct('n_words', {hidden}.n_words, 'word_chars', {hidden}.word_chars, 'n_symbols', {hidden}.n_symbols,
             'n_dup_lines', {hidden}.n_dup_lines, 'n_repeat_words', {_repeated(hidden + '.windows')},
-            'n_lines', size({hidden}.lines),
-            'good', filter({hidden}.lines, e -> {stays('e')}))"""
+            'n_lines', size(filter({hidden}.lines, e -> e.w > 0)),
+            'good', filter({hidden}.lines, (e, i) -> e.w > 0 AND {passes}))"""
         ),
     )
     text = text.withColumn(
@@ -164,13 +190,11 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+_ORACLE_FEATURES = line_features(
+    "line", "regexp_matches({0}, '{1}')", f"len(list_filter(regexp_split_to_array({{0}}, '{_WS}'), lambda x: x <> ''))", "length({0}) - length(regexp_replace({0}, '{1}', '', 'g'))"
+)
 _ORACLE_LINE = f"""
-    SELECT doc_id, line, ord, len(list_filter(regexp_split_to_array(line, '{_WS}'), lambda x: x <> '')) AS w,
-           length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS s,
-           length(line) - length(regexp_replace(line, '\\p{{Lu}}', '', 'g')) AS u,
-           length(line) - length(regexp_replace(line, '\\p{{L}}', '', 'g')) AS a,
-           regexp_matches(line, '{SENTENCE_MARKS}') AS marked,
-           regexp_matches(lower(line), '{BOILERPLATE}') AS boiler
+    SELECT doc_id, line, ord, {", ".join(f"{v} AS {k}" for k, v in _ORACLE_FEATURES.items())}
     FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS ord FROM d)
     WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')"""
 
@@ -180,10 +204,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS ws FROM d),
 judged AS ({_ORACLE_LINE}),
 by_line AS (
-    SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
-           sum(CASE WHEN {stays('judged')} THEN 0 ELSE 1 END)::BIGINT AS lines_removed,
-           sum(CASE WHEN {stays('judged')} THEN 0 ELSE w END)::BIGINT AS words_lost
-    FROM judged GROUP BY doc_id),
+    SELECT e.doc_id, count(*) - count(DISTINCT e.line) AS n_dup_lines,
+           sum(CASE WHEN {stays("e", "p", "n")} THEN 0 ELSE 1 END)::BIGINT AS lines_removed,
+           sum(CASE WHEN {stays("e", "p", "n")} THEN 0 ELSE e.w END)::BIGINT AS words_lost
+    FROM judged e LEFT JOIN judged p ON p.doc_id = e.doc_id AND p.ord = e.ord - 1 LEFT JOIN judged n ON n.doc_id = e.doc_id AND n.ord = e.ord + 1
+    GROUP BY e.doc_id),
 windows AS (
     SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM words WHERE len(ws) >= {WINDOW})),

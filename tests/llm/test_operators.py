@@ -44,7 +44,7 @@ def texts(docs):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DATA)
     want = con.sql(registry.ORACLES[name])
@@ -512,9 +512,67 @@ def test_samples_are_bounded(spark):
     rows = spark.range(4000).selectExpr("id % 3 AS lang", "IF(id % 2 = 0, 'same', concat('t', id)) AS text")
     texts = [r.text for r in sample_texts(rows, 100).collect()]
     assert len(texts) == len(set(texts)) == 100
-    by = [(r.lang, r.text) for r in sample_texts(rows, 50, "lang", {0: 1334, 1: 1333, 2: 1333}).collect()]
+    by = [(r.lang, r.text) for r in sample_texts(rows, 50, "lang", [0, 1, 2]).collect()]
     assert len(by) == len(set(by)) == 150 and {sum(x == k for x, _ in by) for k in range(3)} == {50}
     assert sorted(t.text for t in sample_texts(rows.limit(3), 100).collect()) == sorted({r.text for r in rows.limit(3).collect()})
+    assert sample_texts(rows, 50, "lang", [7]).collect() == []
+
+
+@pytest.mark.parametrize("copies, distinct", [(100_000, 1000), (500_000, 1001)])
+def test_samples_of_much_repeated_texts(spark, copies, distinct):
+    """One text holds nearly all rows, in a language and in the table."""
+    from lodestar.llm.common import sample_texts
+
+    rows = spark.range(copies + distinct).selectExpr("IF(id < 300 OR id >= 700 + 300, 'a', 'b') AS lang", f"IF(id >= {distinct}, 'same', concat('text number ', id)) AS text")
+    assert sample_texts(rows, 500).count() == 500
+    by = sample_texts(rows, 500, "lang", ["a", "b"]).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in by} == {"a": 301 + max(0, distinct - 1000), "b": 500}
+
+
+def test_language_sample_is_bounded_in_terms(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_TERMS", 60_000)
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('l', id % 20) AS lang", "array_join(transform(sequence(1, 400), i -> md5(concat(id, ':', i))), ' ') AS text")
+    found = langid.sample(rows)
+    by = collections.Counter()
+    for lang, terms, _ in found:
+        by[lang] += len(terms)
+    assert len(by) == 20 and max(by.values()) < 60_000 // 20 + max(len(t) for _, t, _ in found)
+
+
+def test_training_against_a_plain_loop():
+    """Follow-the-regularised-leader worked out coordinate by coordinate."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        lang = "ab"[k % 2]
+        terms = sorted(rng.sample(range(0, 40) if lang == "a" else range(25, 65), 9))
+        rows.append((lang, np.array(terms, np.int32), np.array([rng.randint(1, 4) for _ in terms], np.int32)))
+    languages, weights = langid.train(rows)
+    df = collections.Counter(t for _, terms, _ in rows for t in terms.tolist())
+    idf = {t: math.log((len(rows) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    data = [("ab".index(lang), {t: c / cs.sum() * idf[t] for t, c in zip(ts.tolist(), cs.tolist(), strict=True)}) for lang, ts, cs in rows]
+    norm = sum(math.sqrt(sum(v * v for v in x.values())) for _, x in data) / len(data)
+    data = [(y, {t: v / norm for t, v in x.items()}) for y, x in data]
+    order = np.random.default_rng(1).permutation(len(data)).tolist()
+    z, n, w = collections.Counter(), collections.Counter(), {}
+    weight = lambda t, y: 0.0 if abs(z[t, y]) <= langid.L1 else -(z[t, y] - math.copysign(langid.L1, z[t, y])) / ((langid.BETA + math.sqrt(n[t, y])) / langid.ALPHA + langid.L2)
+    for _ in range(langid.EPOCHS):
+        for k, i in enumerate(order):
+            if k % langid.CALIBRATION == 0:
+                continue
+            y, x = data[i]
+            w = {(t, c): weight(t, c) for t in x for c in (0, 1)}
+            scores = [math.exp(sum(v * w[t, c] for t, v in x.items())) for c in (0, 1)]
+            for t, v in x.items():
+                for c in (0, 1):
+                    g = v * (scores[c] / sum(scores) - (c == y))
+                    z[t, c] += g - (math.sqrt(n[t, c] + g * g) - math.sqrt(n[t, c])) / langid.ALPHA * w[t, c]
+                    n[t, c] += g * g
+    plain = np.array([[weight(t, c) * idf[t] / norm for c in (0, 1)] for t in sorted(idf)])
+    got = weights[sorted(idf)]
+    # the trained weights are these, divided by one temperature
+    ratio = got[np.abs(plain) > 1e-9] / plain[np.abs(plain) > 1e-9]
+    assert languages == ["a", "b"] and np.ptp(ratio) < 1e-4 * ratio.mean() and np.abs(got[np.abs(plain) <= 1e-9]).max(initial=0) < 1e-6
 
 
 def test_quality_classifier(spark, docs, odd):
@@ -567,6 +625,37 @@ def test_quality_rules(spark, odd):
     assert quality_rules.clean(fine).first().text == "\n".join(lines)
 
 
+@pytest.mark.parametrize(
+    "text, lost",
+    [
+        # English prose wrapped at a fixed width, most of whose lines end without a mark
+        ("The committee met for the first time in the spring of that year\nand agreed on a plan that each of the members could take home\nto discuss with the people who had sent them there in the first\n"
+         "place. Nobody expected what came next because the river rose\nhigher than it had in forty years and the bridge was lost.", 0),
+        ("ประโยคนี้ไม่มีเครื่องหมาย วรรคตอน เลย แต่ เป็น ร้อยแก้ว ที่ ดี\nอีก บรรทัด หนึ่ง ของ ข้อความ ยาว ๆ ที่ ควร เก็บ ไว้ ทั้งหมด", 0),
+        ("ቃል " * 12 + "።\n" + "ቃል " * 12 + "።", 0),
+        ("Բառ " * 12 + "։\n" + "բառ " * 12 + "։", 0),
+        ("First a sentence that is quite long and ends well.\nHome\nabout us\ncontact\nA second sentence that is quite long and ends well.", 4),
+        ("First a sentence that is quite long and ends well.\nNews | Sport | Weather | Travel | Culture | Shop | More\nA second sentence that is long and ends well.", 13),
+        ("First a sentence that is quite long and ends well.\nLatest Headlines From All Our Local Offices\nA second sentence that is long and ends well.", 7),
+        ("\n\n".join(["no mark and no neighbour beside this one line of words"] * 2), 22),
+    ],
+)
+def test_lines_are_judged_with_their_neighbours(spark, text, lost):
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert quality_rules.quality_rules(rows).first().words_lost == lost
+    assert len(text.split()) - sum(n for _, n in lines_kept_by_brute_force(text)) == lost
+
+
+def test_line_rules_against_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["Home", "about us", "a | b | c", "Top Ten Things", "the river rose and", "Nobody came to see", "it. Then", "", " ", "ครับ", "login", "$$$", "END OF ALL", "x y z w v u", "é É", "9 9"]
+    texts = ["\n".join(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for r in quality_rules.quality_rules(rows).collect():
+        t = texts[r.doc_id]
+        assert r.words_lost == r.n_words - sum(n for _, n in lines_kept_by_brute_force(t)), t
+
+
 def test_url_intervals(spark):
     rows = "('x.com', 'spam', 'add', DATE'2024-01-10'), ('x.com', 'spam', 'remove', DATE'2024-02-01'), ('a.x.com', 'ads', 'add', DATE'2024-01-15')"
     entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(pattern, category, action, at)")
@@ -629,19 +718,38 @@ def clean_by_brute_force(text):
     if len(ws) < 20 or 100 * len(repeated) > 30 * len(ws):
         return None
     good, left = [], 0
-    for line in (text or "").split("\n"):
-        n = len([w for w in re.split(r"[\x20\x09-\x0D]+", line) if w])
-        if not n:
-            continue
-        symbols, letters = len(re.findall(quality_rules.SYMBOLS, line)), [c for c in line if unicodedata.category(c)[0] == "L"]
-        upper, marked = sum(unicodedata.category(c) == "Lu" for c in letters), re.search(quality_rules.SENTENCE_MARKS, line)
-        if symbols >= 3 and 10 * symbols > 3 * n or len(letters) >= 10 and 2 * upper > len(letters) or not marked or n <= 30 and re.search(quality_rules.BOILERPLATE, line.lower()):
-            continue
+    for line, n in lines_kept_by_brute_force(text or ""):
         good.append(line)
         left += n
     return "\n".join(good) if 100 * (len(ws) - left) <= 50 * len(ws) else None
 
 
+def lines_kept_by_brute_force(text):
+    lines = []
+    for line in text.split("\n"):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+        letters = [c for c in line if unicodedata.category(c)[0] == "L"]
+        upper = sum(unicodedata.category(c) == "Lu" for c in letters)
+        mark, bare = re.search(quality_rules.SENTENCE_MARKS, line), re.search("[\u0e00-\u109f\u1780-\u17ff]", line)
+        title = upper and not any(unicodedata.category(w[0]) == "Ll" for w in words)
+        link = not mark and not bare and (len(words) <= 5 or re.search(quality_rules.SEPARATORS, line) and len(words) <= 30 or title and len(words) <= 10)
+        starts = letters and unicodedata.category(letters[0]) in ("Ll", "Lo")
+        lines.append((line, words, letters, upper, mark, bare, link, starts))
+    for i, (line, words, letters, upper, mark, bare, link, starts) in enumerate(lines):
+        if not words:
+            continue
+        above, below = (lines[k] if 0 <= k < len(lines) and lines[k][1] else None for k in (i - 1, i + 1))
+        prose = lambda x: x and len(x[1]) > 5 and not x[6]
+        flows = prose(above) and starts or prose(below) and below[7]
+        symbols = len(re.findall(quality_rules.SYMBOLS, line))
+        marks_beside = above and above[4] or below and below[4] or flows
+        if symbols >= 3 and 10 * symbols > 3 * len(words) or len(letters) >= 10 and 2 * upper > len(letters) or len(words) <= 30 and re.search(quality_rules.BOILERPLATE, line.lower()):
+            continue
+        if link and not flows or not mark and not bare and not link and not marks_beside:
+            continue
+        yield line, len(words)
+
+
 def redacted_by_brute_force(text, weights):
     out, at = "", 0
     spans = [s.split(":") for s in [*base_spans(text), *loose_spans(text, weights)]]

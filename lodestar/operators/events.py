@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,18 +72,3 @@ def state(rows: DataFrame, key: list[str], at: str) -> DataFrame:
 def pseudonym(owner: Column, salt: Column) -> Column:
     """Six hexadecimal digits that name an owner within a month."""
     return F.substr(F.sha2(F.concat_ws(":", owner, salt), 256), F.lit(1), F.lit(6))
-
-
-def keep_window_openers(key: tuple, batches: Iterator[pd.DataFrame], group_state, seconds: int) -> Iterator[pd.DataFrame]:
-    """The streaming form of ``anchored_dedupe`` for one key: state is the time of the last kept row, in microseconds."""
-    last = group_state.get[0] if group_state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    kept = []
-    for r in rows.itertuples():
-        t = r.ts.value // 1000
-        if last is None or t - last >= seconds * 1_000_000:
-            last = t
-            kept.append(r.event_id)
-    if last is not None:
-        group_state.update((last,))
-    yield rows[rows.event_id.isin(kept)][["user_id", "event_type", "event_id"]]

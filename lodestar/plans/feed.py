@@ -10,6 +10,7 @@ from ..functions.hashing import day_seed
 from ..operators import events as ev
 from ..sources.catalogue import table
 from ..streaming import feed as stream
+from ..streaming.replay import durable
 
 
 def _events(spark, sf_dir):
@@ -122,21 +123,61 @@ _GUARD = """WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(te
     SELECT conv_id, turn, len(stray) AS n_stray, array_to_string(stray, ',') AS stray FROM s"""
 
 
-def feed_dedupe_stream(spark, sf_dir):
-    """The anchored dedupe as a stream over the events' file, run until the input is used up."""
+#: How late an event may be, and how long after the last one a run closes the stream: longer than any window in use.
+LATE, CLOSE = "1 hour", "10 days"
+
+
+def run_stream(spark, sf_dir, rule):
+    """What ``rule`` makes of the events' file read as a stream, with a last mark behind it that closes the stream."""
     from ..sources.shared import shared_dir
 
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    durable(spark)
     run = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    query = (
-        stream.anchored_dedupe_stream(source.select("event_id", "ts", "user_id", "event_type"), 86_400)
-        .writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start()
-    )
+    columns = ["event_id", "ts", "user_id", "event_type"]
+    rows = table(spark, sf_dir, "events").select(*columns)
+    end = rows.agg((F.max(F.col("ts").cast("timestamp")) + F.expr(f"INTERVAL {LATE}") + F.expr(f"INTERVAL {CLOSE}")).alias("ts"))
+    end.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("event_type")).write.parquet(f"{run}/end")
+    read = lambda path, schema: spark.readStream.schema(schema).parquet(path).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    source = read(f"{sf_dir}/events.parquet*", rows.schema).union(read(f"{run}/end", spark.read.parquet(f"{run}/end").schema))
+    # the mark moves the watermark and is left out after that
+    marked = source.withWatermark("ts", LATE).where((F.col("event_id") >= 0) | F.col("ts").isNull())
+    query = rule(marked).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{run}/out")
 
 
+def feed_dedupe_stream(spark, sf_dir):
+    """The anchored dedupe as a stream over the events' file, run until the input is used up."""
+    return run_stream(spark, sf_dir, lambda rows: stream.anchored_dedupe_stream(rows, 86_400)).select("user_id", "event_type", "event_id")
+
+
+def feed_rate_limit_stream(spark, sf_dir):
+    """The feed's limits as a stream: users by how many of their events pass."""
+    rows = run_stream(spark, sf_dir, lambda rows: stream.rate_limited_stream(rows, "user_id", 1, 3))
+    return rows.groupBy("user_id").agg(F.count_if("allowed").alias("n_allowed"), F.count_if(~F.col("allowed")).alias("n_refused"))
+
+
+def throttle_sliding_stream(spark, sf_dir):
+    """The sliding throttle as a stream: the events that are too many."""
+    return run_stream(spark, sf_dir, lambda rows: stream.throttled_stream(rows, "user_id", 21_600, 3)).where("throttled").select("event_id", "user_id", "recent")
+
+
+def limited_dedupe_stream(spark, sf_dir):
+    """An intake in one stream: events within their user's limits that open a window of their user."""
+
+    def both(rows):
+        kept = stream.rate_limited_stream(rows, "user_id", 2, 4)
+        return stream.replayed(kept.where("allowed"), ["user_id"], "ts", "event_id", stream.Anchored(21_600))
+
+    return run_stream(spark, sf_dir, both).select("user_id", "event_id")
+
+
+_BOTH = """WITH RECURSIVE a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS m, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS d FROM events) WHERE m <= 2 AND d <= 4),
+    r AS (SELECT user_id, min(ts) AS ts FROM a GROUP BY 1
+    UNION ALL SELECT r.user_id, (SELECT min(a.ts) FROM a WHERE a.user_id = r.user_id AND a.ts >= r.ts + INTERVAL 21600 SECOND) FROM r WHERE r.ts IS NOT NULL)
+    SELECT a.user_id, a.event_id FROM r JOIN a USING (user_id, ts)"""
+
+
 def feed_minutes(spark, sf_dir):
     """Events of each type and minute, by the function that the stream uses."""
     return stream.minute_counts_stream(_events(spark, sf_dir))
@@ -164,5 +205,5 @@ _INGEST = """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_id % 9 AS
     SELECT e.event_id, coalesce(e.fault, CASE WHEN NOT v.allowed THEN 'rate' WHEN f.event_id IS NULL THEN 'window' WHEN place > 500 THEN 'old' ELSE 'kept' END) AS outcome FROM e LEFT JOIN v USING (event_id) LEFT JOIN f ON f.event_id = e.event_id"""
 
 
-QUERIES = {f.__name__: f for f in (feed_rate_limit, feed_dedupe_anchored, feed_latest, history_state, history_totals, throttle_sliding, feed_validation, feed_public, event_props, turn_guard, feed_dedupe_stream, feed_minutes, feed_ingest)}
-ORACLES = dict(zip(QUERIES, (_RATE, _ANCHORED, "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", _STATE, _TOTALS, _THROTTLE, _VALIDATION, _PUBLIC, _PROPS, _GUARD, _ANCHORED, _MINUTES, _INGEST), strict=True))
+QUERIES = {f.__name__: f for f in (feed_rate_limit, feed_dedupe_anchored, feed_latest, history_state, history_totals, throttle_sliding, feed_validation, feed_public, event_props, turn_guard, feed_dedupe_stream, feed_rate_limit_stream, throttle_sliding_stream, limited_dedupe_stream, feed_minutes, feed_ingest)}
+ORACLES = dict(zip(QUERIES, (_RATE, _ANCHORED, "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", _STATE, _TOTALS, _THROTTLE, _VALIDATION, _PUBLIC, _PROPS, _GUARD, _ANCHORED, _RATE, _THROTTLE, _BOTH, _MINUTES, _INGEST), strict=True))

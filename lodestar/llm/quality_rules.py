@@ -20,6 +20,8 @@ rows and rows with a null or repeated id each get a row; an empty table gives an
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ SENTENCE_MARKS = "[.!?:;,…‼‽⁇-⁉。！？：；，、．｡։՝՜؟،؛
 #: Scripts whose sentences need no mark: Thai, Lao, Tibetan, Burmese, Khmer.
 UNMARKED_SCRIPTS = "[\u0e00-\u109f\u1780-\u17ff]"
 SEPARATORS = "[|»›→•·]| [/>–-] "
+#: Fewest capitals of a line that shouts: more than half of MIN_SHOUTED_LETTERS.
+MIN_SHOUTED = MIN_SHOUTED_LETTERS // 2 + 1
 BOILERPLATE = (
     "all rights reserved|licensed under|released under|copyright|terms of (use|service)|privacy policy|"
     "cookie|javascript|subscribe to|sign (in|up)|log ?in|click here|"
@@ -53,6 +57,16 @@ _WS = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 
 
+def phrases(pattern: str = BOILERPLATE) -> list[str]:
+    """The fixed phrases that a pattern of alternatives, groups of alternatives and optional blanks stands for."""
+    found = []
+    for one in re.split(r"\|(?![^(]*\))", pattern):
+        head, _, rest = one.partition("(")
+        forms = [head + x + rest.partition(")")[2] for x in rest.partition(")")[0].split("|")] if rest else [one]
+        found += [f for x in forms for f in ({x.replace(" ?", " "), x.replace(" ?", "")} if " ?" in x else [x])]
+    return sorted(found)
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -110,10 +124,20 @@ def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
     """``docs`` with its measures and ``clean_text`` under a struct column ``hidden``."""
     worded = f"l rlike {_sql_text('[^' + _WS[1:-2] + ']')}"
     found = line_features("l", "{0} rlike '{1}'", f"IF({worded}, size({_words('l')}), 0)", "length({0}) - length(regexp_replace({0}, '{1}+', ''))")
-    features = ", ".join(f"'{k}', {v if k == 'w' else v.replace(chr(92), chr(92) * 2)}" for k, v in found.items())
+    found = {k: v if k == "w" else v.replace(chr(92), chr(92) * 2) for k, v in found.items()}
+    # symbols and phrases need no pattern; letters count only where capitals do, and what follows only in lines without a mark
+    found["s"] = f"length(l) - length(translate(l, {_sql_text(SYMBOLS[1:-1])}, ''))"
+    found["boiler"] = " OR ".join(f"contains(lower(l), {_sql_text(p)})" for p in phrases())
+    early = ", ".join(f"'{k}', {found[k]}" for k in ("w", "s", "u", "marked", "boiler", "starts"))
+    late = ", ".join(f"'{k}', IF(x.marked, false, {found[k].replace('l rlike', 'x.line rlike')})" for k in ("bare", "cut", "lower"))
+    letters = f"IF(x.u >= {MIN_SHOUTED}, {found['a'].replace('(l)', '(x.line)').replace('(l,', '(x.line,')}, 0)"
+    features = f"transform({hidden}.lines, l -> named_struct('line', l, {early}))"
+    kept = ", ".join(f"'{k}', x.{k}" for k in ("line", "w", "s", "u", "marked", "boiler", "starts"))
+    features = f"transform({features}, x -> named_struct({kept}, {late}, 'a', {letters}))"
     # the lines above and below; a line without a word is none
     beside = lambda at: f"IF(get({hidden}.lines, {at}).w > 0, get({hidden}.lines, {at}), NULL)"
-    passes = f"get(transform(array(named_struct('p', {beside('i - 1')}, 'n', {beside('i + 1')})), b -> {stays('e', 'b.p', 'b.n')}), 0)"
+    plain = f"e.marked AND e.s < {MIN_SYMBOLS} AND e.u < {MIN_SHOUTED} AND NOT e.boiler"
+    passes = f"IF({plain}, true, get(transform(array(named_struct('p', {beside('i - 1')}, 'n', {beside('i + 1')})), b -> {stays('e', 'b.p', 'b.n')}), 0))"
     text = docs.withColumn(hidden, F.expr("named_struct('text', coalesce(cast(text AS string), ''))"))
     text = text.withColumn(
         hidden,
@@ -133,7 +157,7 @@ def measure(docs: DataFrame, hidden: str = "quality_") -> DataFrame:
             'windows', CASE WHEN size({hidden}.words) > {WINDOW}
                 THEN transform(sequence(1, size({hidden}.words) - {WINDOW - 1}), i -> xxhash64(slice({hidden}.words, i, {WINDOW})))
                 ELSE array() END,
-            'lines', transform({hidden}.lines, l -> named_struct('line', l, {features})))"""
+            'lines', {features})"""
         ),
     )
     text = text.withColumn(

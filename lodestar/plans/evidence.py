@@ -92,18 +92,22 @@ def trusted(marked, said, listed, codes, nonlocal_):
     return brands.without_words(kept, ["brand", "name"], nonlocal_).select("pid", "brand", "verdict")
 
 
+_CLAIM = "CASE WHEN (pid + source) % 3 = 0 THEN NULL WHEN pid % 4 = 0 THEN true ELSE (pid + source) % 5 <> 0 END"
+
+
 def trusted_local(spark, sf_dir):
     """Products whose offers by all sources say local without dissent and that nothing vetoes.
 
-    For every fifth product what speaks against counts as not known, as else no product of many offers is left.
+    The table has no claims on which all sources of a product agree, so claims are made of product and source: those of
+    every fourth product say yes or nothing, those of the others say no in turn.
     """
     marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
     flagged = flagged_brands(spark, sf_dir)
-    return trusted(marked, offers(spark, sf_dir).select("pid", F.when((F.col("pid") % 5 != 0) | F.col("local"), F.col("local")).alias("local")), flagged.select("brand").distinct(), marked.where("pid % 97 = 0").select("code"), flagged.select(F.col("alias").alias("phrase")))
+    return trusted(marked, offers(spark, sf_dir).selectExpr("pid", f"{_CLAIM} AS local"), flagged.select("brand").distinct(), marked.where("pid % 97 = 0").select("code"), flagged.select(F.col("alias").alias("phrase")))
 
 
 _TRUSTED = sql("product issuer offer flag", f"""+{_DENSE}, m AS (SELECT p.pid, p.brand, p.name, {_VERDICT} AS verdict FROM product p LEFT JOIN dense ON number = substr(code, 1, 3)::INT),
-    s AS (SELECT pid FROM (SELECT pid, CASE WHEN pid % 5 <> 0 OR local THEN local END AS local FROM offer) GROUP BY 1 HAVING bool_and(local)), f AS (SELECT DISTINCT ' ' || trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) || ' ' AS phrase FROM flag)
+    s AS (SELECT pid FROM (SELECT pid, {_CLAIM} AS local FROM offer) GROUP BY 1 HAVING bool_and(local)), f AS (SELECT DISTINCT ' ' || trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) || ' ' AS phrase FROM flag)
     SELECT pid, brand, verdict FROM m WHERE pid IN (SELECT pid FROM s) AND verdict IS DISTINCT FROM 'FLAGGED' AND brand NOT IN (SELECT brand FROM flag) AND pid % 97 <> 0
     AND NOT EXISTS (SELECT 1 FROM f WHERE contains(' ' || trim(regexp_replace(lower(m.brand), '[^a-z0-9]+', ' ', 'g')) || ' ', phrase) OR contains(' ' || trim(regexp_replace(lower(m.name), '[^a-z0-9]+', ' ', 'g')) || ' ', phrase))""")
 

@@ -120,12 +120,12 @@ _ROBOTS = r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+
 
 def page_objects(spark, sf_dir):
     """JSON that pages carry, cut at its closing bracket, and the leaves of the category tree in it."""
-    tree = F.expr("""concat('x = {"a": "}", "c": [{"name": "Top', page_id % 3, '", "sub": [{"name": "Mid", "sub": [{"name": "Leaf', page_id, '"}]}, {"name": "Side"}]}]}; {')""")
+    tree = F.expr("""concat('x = {"a": "}", "c": [{"name": "Top', page_id % 3, '", "sub": [{"name": "Mid", "sub": [{"name": "Leaf', page_id, '"}]}, {"name": "Side"}, ', repeat('{"name": "Deep", "sub": [', cast(page_id % 9 AS int)), '{"name": " End\\\\n", "sub": []}', repeat(']}', cast(page_id % 9 AS int)), ']}]}; {')""")
     rows = table(spark, sf_dir, "pages").select("page_id", pages.balanced(tree, "{").alias("json"))
-    return pages.leaves(rows, "page_id", "json", "c", "sub", 4).select("page_id", "path")
+    return pages.leaves(rows, "page_id", "json", "c", "sub").select("page_id", "path")
 
 
-_OBJECTS = "SELECT page_id, 'Top' || (page_id % 3) || '/Mid/Leaf' || page_id AS path FROM pages UNION ALL SELECT page_id, 'Top' || (page_id % 3) || '/Side' FROM pages"
+_OBJECTS = "SELECT page_id, 'Top' || (page_id % 3) || '/Mid/Leaf' || page_id AS path FROM pages UNION ALL SELECT page_id, 'Top' || (page_id % 3) || '/Side' FROM pages UNION ALL SELECT page_id, 'Top' || (page_id % 3) || '/' || repeat('Deep/', (page_id % 9)::INT) || 'End' FROM pages"
 
 
 def price_tiles(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import brands, dedupe, issuer, resolve
+from ..operators import brands, dedupe, issuer, predicates, resolve
 from ..sources.catalogue import flagged_brands, issuers, offers, products, sql, table
 from ..sources.shared import stage
 from .catalogue import _DENSE, _VERDICT
@@ -72,10 +72,10 @@ _ORIGIN = sql("product issuer flag", f"""+{_DENSE}, m AS (SELECT brand, issuer,
 def stance(spark, sf_dir):
     """Verdict of a product from its code, its brand list and its offers' locality, with the reason."""
     marked = issuer.classify(products(spark, sf_dir), issuers(spark, sf_dir))
-    listed = flagged_brands(spark, sf_dir).select("brand").distinct().withColumn("listed", F.lit(True))
+    listed = flagged_brands(spark, sf_dir).select("brand").distinct().withColumns({"listed": F.lit(True), "predicate": F.lit("promoted")})
     said = offers(spark, sf_dir).groupBy("pid").agg(dedupe.all_agree("local").alias("all_local"))
-    rows = marked.join(listed, "brand", "left").join(said, "pid", "left")
-    homonym = F.col("category").isin("PROMO")  # listed brands of this shelf are another firm's
+    rows = marked.join(listed, "brand", "left").join(said, "pid", "left").withColumns({"quantity": F.lit(None).cast("string"), "tags": F.array().cast("array<string>")})
+    homonym = predicates.holds(F.col("predicate"))
     reason = (
         F.when(F.col("verdict") == "FLAGGED", "barcode")
         .when(F.col("listed") & ~homonym, "brand")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, evidence, feed, forms, judging, matching, origins, pairings, refresh, rules, search, shelves, stores, upserts
+from .plans import catalogue, evidence, feed, forms, judging, matching, origins, pairings, predicates, refresh, rules, search, shelves, stores, upserts
 
-_MODULES = (catalogue, refresh, matching, evidence, origins, pairings, rules, search, shelves, stores, upserts, forms, judging, feed)
+_MODULES = (catalogue, refresh, matching, evidence, origins, pairings, predicates, rules, search, shelves, stores, upserts, forms, judging, feed)
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import once, running_sum
 from ..functions.text import decode_entities
+from .shared import stage
 
 
 def _rules(robots: Column, agent: str) -> Column:
@@ -68,16 +71,22 @@ def balanced(value: Column, opening: str) -> Column:
     return F.when(start > 0, once(F.substr(value, start), cut))
 
 
-def leaves(rows: DataFrame, key: str, json: str, top: str, below: str, depth: int) -> DataFrame:
-    """(key, path): names from the root to each leaf of a category tree under ``top``, at most ``depth`` levels deep."""
-    level = rows.select(key, F.explode(F.from_json(F.get_json_object(json, f"$.{top}"), "array<string>")).alias("node")).withColumn("path", F.get_json_object("node", "$.name"))
-    out = None
-    for _ in range(depth):
-        split = level.withColumn("under", F.from_json(F.get_json_object("node", f"$.{below}"), "array<string>"))
-        ends = split.where("under IS NULL OR size(under) = 0").select(key, "path")
-        out = ends if out is None else out.unionByName(ends)
-        level = split.select(key, "path", F.explode("under").alias("node")).select(key, "node", F.concat_ws("/", "path", F.trim(F.get_json_object("node", "$.name"))).alias("path"))
-    return out
+def leaves(rows: DataFrame, key: str, json: str, top: str, below: str) -> DataFrame:
+    """(key, path): names from the root to each leaf of a category tree under ``top``, however deep.
+
+    Level by level until none is left; a level is written before the next is cut out of it.  A node without
+    a list ``below`` it, or with an empty one, is a leaf.
+    """
+    name = F.trim(F.regexp_replace(F.coalesce(F.get_json_object("node", "$.name"), F.lit("")), r"[\t\r\n]+", " "))
+    under = lambda path, value: F.from_json(F.get_json_object(value, f"$.{path}"), "array<string>")
+    level = stage(rows.select(key, F.explode(under(top, json)).alias("node")).withColumn("path", name), "leaves")
+    found = []
+    while not level.isEmpty():
+        split = level.withColumn("under", under(below, "node"))
+        found.append(split.where("under IS NULL OR size(under) = 0").select(key, "path"))
+        inner = split.select(key, F.col("path").alias("above"), F.explode("under").alias("node"))
+        level = stage(inner.select(key, "node", F.concat_ws("/", "above", name).alias("path")), "leaves")
+    return functools.reduce(DataFrame.unionByName, found) if found else level.select(key, "path")
 
 
 def tiles(rows: DataFrame, key: str, html: str) -> DataFrame:

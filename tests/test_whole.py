@@ -16,7 +16,7 @@ def test_trusted_local_counts_every_source(spark):
     listed, codes = spark.createDataFrame([("Bad",)], "brand string"), spark.createDataFrame([("c9",)], "code string")
     phrases = spark.createDataFrame([("far away good tea",)], "phrase string")
     assert sorted(r.pid for r in evidence.trusted(marked, said, listed, codes, phrases).collect()) == [1, 5]
-    denied = {r.l_partkey for r in spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_returnflag = 'N' AND l_partkey % 5 <> 0").select("l_partkey").distinct().collect()}
+    denied = {r.l_partkey for r in spark.read.parquet(f"{DATA}/lineitem.parquet").where("(l_partkey + l_suppkey) % 3 <> 0 AND l_partkey % 4 <> 0 AND (l_partkey + l_suppkey) % 5 = 0").select("l_partkey").distinct().collect()}
     found = {r.pid for r in registry.QUERIES["trusted_local"](spark, DATA).collect()}
     assert found and not denied & found
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import gates
+
 
 def audit(probes: DataFrame, supply: DataFrame) -> DataFrame:
     """``probes`` (probe, family, own, n) with ``empty``: of those without an answer, whether there was one to give.
@@ -45,23 +45,10 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).alias("hash"))
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, each as often, in any order."""
-    columns = sorted(a.columns)
-    if columns != sorted(b.columns):
-        return False
-    n = a.select(columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_a"))
-    m = b.select(columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_b"))
-    return n.withColumnRenamed("n_a", "n_").exceptAll(m.withColumnRenamed("n_b", "n_")).isEmpty() and m.withColumnRenamed("n_b", "n_").exceptAll(n.withColumnRenamed("n_a", "n_")).isEmpty()
-
-
-def publish(candidate: DataFrame, path: str, gates: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Write ``candidate`` to ``path`` only if no gate fails (rows gate, ok, detail); else what is there stays. Returns the gates' rows."""
-    judged = gates(candidate)
-    rows = judged.collect()
-    if all(r["ok"] for r in rows):
-        candidate.write.mode("overwrite").parquet(path)
-    return judged
+def answer_gates(counted: DataFrame) -> DataFrame:
+    """(gate, ok, detail) of ``counters``: no set has an answer of another family, none an empty answer that is a lie, and there are sets at all."""
+    worst = counted.agg(F.count(F.lit(1)).alias("sets"), F.max("n_wrong").alias("wrong"), F.sum("n_lie").alias("lies"))
+    return gates.as_rows(worst, [gates.gate("sets", F.col("sets") > 0, F.col("sets")), gates.gate("wrong_family", F.col("wrong") == 0, F.col("wrong")), gates.gate("lies", F.col("lies") == 0, F.col("lies"))])
 
 
 def run_log(log: DataFrame, most: int = 30) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stores: nearest, near pairs, region membership, label votes, and entity resolution in blocks."""
+"""Stores: nearest, near pairs, label votes, and entity resolution in blocks."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from ..functions.geo import haversine_km
 from ..sources.shared import stage
 from .rank import first_rows
 
-#: Degrees of a row of the grid that regions use.
-CELL = 0.05
 #: Kilometres that a degree has at least, in either direction, below 63 degrees of latitude.
 KM_A_DEGREE = 50.0
 
@@ -28,17 +26,6 @@ def near_pairs(stores: DataFrame, km: float, same: list[str]) -> DataFrame:
     return pairs.withColumn("km", haversine_km(F.col("la"), F.col("na"), F.col("lat"), F.col("lng"))).where(F.col("km") <= km).select("a", "b", "km")
 
 
-def in_polygon(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(sid, region) by the even-odd rule: segments crossed by the ray to the east are counted.
-
-    Points meet only segments of their own latitude band, by equality of grid rows.
-    """
-    rows = segments.withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / CELL), F.floor(F.greatest("y1", "y2") / CELL))))
-    joined = points.withColumn("cy", F.floor(F.col("lat") / CELL)).join(rows, "cy").where("(y1 > lat) <> (y2 > lat)")
-    cut = F.col("lng") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    return joined.groupBy("sid", "region").agg(F.count_if(cut).alias("n")).where("n % 2 = 1").select("sid", "region")
-
-
 def label_vote(rows: DataFrame, group: str, label: str) -> DataFrame:
     """The commonest label of a group; ties by capitals, then by alphabet."""
     counted = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))

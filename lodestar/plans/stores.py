@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import branches, places
+from ..operators import branches, places, regions
 from ..sources.catalogue import sql, stores, table
 
 _HALF = "(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))"
@@ -35,20 +35,24 @@ _PAIRS = sql("store", f"SELECT a.sid AS a, b.sid AS b, round({_KM.format(a='a',
 
 
 def _segments(spark, sf_dir):
-    """Every nation's region is a rhombus around a point of its own."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.expr("42.1D + (n_nationkey % 5) * 0.2D").alias("y"), F.expr("20.6D + (n_nationkey DIV 5) * 0.2D").alias("x"))
+    """Every nation's region is a rhombus around a point of its own, in the order of the nations; every third has a hole.  Neighbours overlap."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.col("n_nationkey").cast("bigint").alias("ord"), F.expr("42.1D + (n_nationkey % 5) * 0.2D").alias("y"), F.expr("20.6D + (n_nationkey DIV 5) * 0.2D").alias("x"))
     sides = [(0.0, 0.137, 0.091, 0.0), (0.091, 0.0, 0.0, -0.137), (0.0, -0.137, -0.091, 0.0), (-0.091, 0.0, 0.0, 0.137)]
-    side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("y1", "x1", "y2", "x2"), s, strict=True))) for s in sides)))
-    return n.withColumn("s", side).select("region", *((F.col(k[0]) + F.col(f"s.{k}")).alias(k) for k in ("y1", "x1", "y2", "x2")))
+    side = F.explode(F.array(*(F.struct(*(F.lit(v * k).alias(c) for c, v in zip(("y1", "x1", "y2", "x2"), s, strict=True)), F.lit(k < 1).alias("hole")) for k in (1.0, 0.5) for s in sides)))
+    drawn = n.withColumn("s", side).where("NOT s.hole OR ord % 3 = 0")
+    return drawn.select("region", "ord", *((F.col(k[0]) + F.col(f"s.{k}")).alias(k) for k in ("y1", "x1", "y2", "x2")))
 
 
 def point_in_polygon(spark, sf_dir):
-    return places.in_polygon(stores(spark, sf_dir).where("lat IS NOT NULL").select("sid", "lat", "lng"), _segments(spark, sf_dir))
+    """The first region that each store lies in."""
+    return regions.in_polygon(stores(spark, sf_dir).select("sid", "lat", "lng"), _segments(spark, sf_dir))
 
 
-_POLYGON = sql("store", """+n AS (SELECT n_name AS region, 42.1::DOUBLE + (n_nationkey % 5) * 0.2::DOUBLE AS y, 20.6::DOUBLE + (n_nationkey // 5) * 0.2::DOUBLE AS x FROM nation),
-    g AS (SELECT region, y + [0.0, 0.091, 0.0, -0.091][k]::DOUBLE AS y1, x + [0.137, 0.0, -0.137, 0.0][k]::DOUBLE AS x1, y + [0.091, 0.0, -0.091, 0.0][k]::DOUBLE AS y2, x + [0.0, -0.137, 0.0, 0.137][k]::DOUBLE AS x2 FROM n, range(1, 5) t(k))
-    SELECT sid, region FROM store, g WHERE (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+_POLYGON = sql("store", """+n AS (SELECT n_name AS region, n_nationkey AS o, 42.1::DOUBLE + (n_nationkey % 5) * 0.2::DOUBLE AS y, 20.6::DOUBLE + (n_nationkey // 5) * 0.2::DOUBLE AS x FROM nation),
+    g AS (SELECT region, o, y + h * [0.0, 0.091, 0.0, -0.091][k]::DOUBLE AS y1, x + h * [0.137, 0.0, -0.137, 0.0][k]::DOUBLE AS x1, y + h * [0.091, 0.0, -0.091, 0.0][k]::DOUBLE AS y2, x + h * [0.0, -0.137, 0.0, 0.137][k]::DOUBLE AS x2
+        FROM n, range(1, 5) t(k), (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) q(h) WHERE h = 1 OR o % 3 = 0),
+    w AS (SELECT sid, region, o FROM store, g WHERE (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+    SELECT sid, arg_min(region, o) AS region FROM w GROUP BY 1""")
 
 
 def store_label_vote(spark, sf_dir):

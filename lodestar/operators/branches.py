@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.forms import chain_key, street_key
+from ..functions.geo import haversine_km
 from .brands import longest_of, word_runs
 from .places import within
 
@@ -181,3 +182,26 @@ def stocking(products: DataFrame, records: DataFrame, chains: DataFrame) -> Data
     rest = products.join(by_chain.select("pid").distinct(), "pid", "left_anti").select("pid", chain_key(F.col("venue")).alias("v_")).where("v_ <> ''")
     names = keyed.select("sid", F.explode(F.array_distinct(F.array("c_", "n_"))).alias("v_"))
     return by_chain.unionByName(rest.join(names, "v_").select("pid", "sid", F.lit("venue").alias("claim")).distinct())
+
+
+def by_address(rows: DataFrame, metres: float = 120.0) -> DataFrame:
+    """One row for each chain, city and address, or, without an address, chain, city and name: the first by ``ord``.
+
+    ``rows``: ord (unique), chain, city, address, name, lat, lng, hours, phone.  Rows of one key are one branch, unless
+    both are on the map and farther apart: the first place of the key is the branch's, and rows away from it stay by
+    themselves.  The branch's gaps are filled by the first row that knows; ``n_merged`` says how many went into it.
+    Rows without a chain, or without address and name, stay as they are; half a place is none.
+    """
+    word = lambda c: F.coalesce(text.key(F.col(c)), F.lit(""))
+    sure = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng"))
+    said = F.when(word("address") != "", F.concat_ws("|", F.lit("a"), word("chain"), word("city"), word("address"))).when(word("name") != "", F.concat_ws("|", F.lit("n"), word("chain"), word("city"), word("name")))
+    keyed = rows.withColumns({"key_": F.when(word("chain") != "", said), "place_": sure}).drop("lat", "lng")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    whole = keyed.where("key_ IS NOT NULL")
+    known = whole.join(whole.groupBy("key_").agg(first("place_").alias("at_")), "key_")
+    away = F.coalesce(haversine_km(F.col("at_.lat"), F.col("at_.lng"), F.col("place_.lat"), F.col("place_.lng")) * 1000 > metres, F.lit(False))
+    # null groups are rows by themselves
+    marked = known.withColumn("alone_", F.when(away, F.col("ord")))
+    kept = marked.groupBy("key_", "alone_").agg(F.min("ord").alias("ord"), *(F.min_by(c, "ord").alias(c) for c in ("chain", "name")), *(first(c).alias(c) for c in ("city", "address", "hours", "phone", "place_")), (F.count(F.lit(1)) - 1).alias("n_merged"))
+    columns = ["ord", "chain", "name", "city", "address", "hours", "phone", F.col("place_.lat").alias("lat"), F.col("place_.lng").alias("lng"), "n_merged"]
+    return kept.select(*columns).unionByName(keyed.where("key_ IS NULL").withColumn("n_merged", F.lit(0).cast("bigint")).select(*columns))

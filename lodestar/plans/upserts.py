@@ -1,9 +1,10 @@
-"""The upsert of stores, bound to the tables."""
+"""The upsert of stores and what makes one of rows with one address, bound to the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import branches
 from ..operators import store_upsert as su
 from ..sources.catalogue import sql, stores
 
@@ -60,5 +61,19 @@ _UPSERT = sql("store", f"""+RECURSIVE_r AS (SELECT {_RECORDS.replace(" DIV ", "
     SELECT sid, kept_as, k.chain AS chain, k.name AS name, k.city AS city, k.address AS address, k.hours AS hours, k.phone AS phone, k.source AS source, round(k.lat, 7) AS lat, round(k.lng, 7) AS lng, k.n::BIGINT AS n_merged
     FROM steps JOIN final ON k.t = kept_as WHERE sid IS NOT NULL""").replace("WITH store AS", "WITH RECURSIVE store AS", 1).replace("RECURSIVE_r", "shown")
 
-QUERIES = {f.__name__: f for f in (store_upsert,)}
-ORACLES = dict(zip(QUERIES, (_UPSERT,), strict=True))
+
+def stores_by_address(spark, sf_dir):
+    """Stores of one chain, city and address, or name, as one, unless they lie apart."""
+    kept = branches.by_address(stores(spark, sf_dir).selectExpr(*_split(_RECORDS)))
+    return kept.select("ord", "chain", "name", "city", "address", "hours", "phone", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"), "n_merged")
+
+
+_BY_ADDRESS = sql("store", f"""+x AS (SELECT {_RECORDS.replace(" DIV ", " // ")} FROM store),
+    k AS (SELECT *, coalesce('a|' || lower(chain) || '|' || city || '|' || lower(address), 'n|' || lower(chain) || '|' || city || '|' || regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ord::VARCHAR) AS key FROM x),
+    p AS (SELECT key, arg_min(lat, ord) AS lat, arg_min(lng, ord) AS lng FROM k WHERE lat IS NOT NULL GROUP BY 1),
+    m AS (SELECT k.*, CASE WHEN k.lat IS NOT NULL AND {_METRES.format(a="p", b="k")} > 120 THEN ord END AS alone FROM k LEFT JOIN p USING (key))
+    SELECT min(ord) AS ord, arg_min(chain, ord) AS chain, arg_min({{'v': name}}, ord).v AS name, arg_min(city, ord) AS city, arg_min(address, ord) FILTER (WHERE address IS NOT NULL) AS address, arg_min(hours, ord) FILTER (WHERE hours IS NOT NULL) AS hours,
+        arg_min(phone, ord) FILTER (WHERE phone IS NOT NULL) AS phone, round(arg_min(lat, ord) FILTER (WHERE lat IS NOT NULL), 7) AS lat, round(arg_min(lng, ord) FILTER (WHERE lng IS NOT NULL), 7) AS lng, count(*) - 1 AS n_merged FROM m GROUP BY key, alone""")
+
+QUERIES = {f.__name__: f for f in (store_upsert, stores_by_address)}
+ORACLES = dict(zip(QUERIES, (_UPSERT, _BY_ADDRESS), strict=True))

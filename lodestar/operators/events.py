@@ -33,10 +33,17 @@ def rate_limited(rows: DataFrame, client: str, at: str, order: list, per_minute:
 
 
 def throttled(rows: DataFrame, client: str, at: str, seconds: int, most: int) -> DataFrame:
-    """``rows`` with how many the client sent in the ``seconds`` up to each, and whether that is too many."""
-    micros = F.unix_micros(at)
-    window = Window.partitionBy(client).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("recent", F.count(F.lit(1)).over(window)).withColumn("throttled", F.col("recent") > most)
+    """``rows`` with how many the client sent in the ``seconds`` up to each, and whether that is too many.
+
+    A client's time is cut in spans of ``seconds``; each row counts in its own span and the next, which is all that a
+    row there can look back to.  So a busy client is spread over its spans.  Rows without a time look at each other.
+    """
+    step, micros = seconds * 1_000_000, F.unix_micros(at)
+    own = F.floor(micros / step)
+    spread = rows.withColumn("span_", F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1)))).withColumns({"own_": F.col("span_").eqNullSafe(own), "t_": micros})
+    window = Window.partitionBy(client, "span_").orderBy("t_").rangeBetween(-step, 0)
+    counted = spread.withColumn("recent", F.count(F.lit(1)).over(window)).where("own_").drop("span_", "own_", "t_")
+    return counted.withColumn("throttled", F.col("recent") > most)
 
 
 def anchored_dedupe(rows: DataFrame, key: list[str], at: str, order: str, seconds: int) -> DataFrame:

@@ -33,31 +33,6 @@ def label_vote(rows: DataFrame, group: str, label: str) -> DataFrame:
     return counted.groupBy(group).agg(F.min_by(F.struct(label, "n"), F.struct(-F.col("n"), -capitals, label)).alias("b")).select(group, f"b.{label}", "b.n")
 
 
-def greedy_merge(stores: DataFrame, block: list[str], km: float) -> DataFrame:
-    """Entity resolution in input order: a store joins the first kept store of its block within ``km``.
-
-    Order matters: whether a store is kept hangs on the stores before it.  Pairs come from a grid; in every
-    round a store with a kept neighbour before it is merged, and one with none left to wait for is kept, until
-    all are decided.  No block is gathered anywhere, and what is decided is written between rounds.
-    """
-    pairs = stage(near_pairs(stores, km, block).select("a", "b"), "near")
-    nodes = stores.select("sid").distinct()
-    kept = stage(nodes.join(pairs.select(F.col("b").alias("sid")), "sid", "left_anti"), "kept")
-    gone = nodes.limit(0)
-    while True:
-        merged = pairs.join(kept.withColumnRenamed("sid", "a"), "a", "left_semi").select(F.col("b").alias("sid")).distinct()
-        gone = stage(gone.union(merged).distinct(), "gone")
-        decided = kept.union(gone)
-        waits = pairs.join(gone.withColumnRenamed("sid", "a"), "a", "left_anti").select(F.col("b").alias("sid")).distinct()
-        more = stage(nodes.join(decided, "sid", "left_anti").join(waits, "sid", "left_anti"), "more")
-        if more.isEmpty():
-            break
-        kept = stage(kept.union(more), "kept")
-    first = pairs.join(kept.withColumnRenamed("sid", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("first"))
-    into = first.join(kept.withColumnRenamed("sid", "b"), "b", "left_anti")
-    return nodes.join(into, nodes.sid == into.b, "left").select("sid", F.coalesce("first", "sid").alias("merged_into"))
-
-
 def within(rows: DataFrame, known: DataFrame, same: list[str], km: float) -> DataFrame:
     """(rid, sid, km) of rows (rid, lat, lng) and known places (sid, la, na) that agree in ``same`` and lie within ``km``, by grid cells."""
     size = km / KM_A_DEGREE

@@ -1,7 +1,7 @@
 """Upsert of stores in which what is inserted becomes a candidate for what follows.
 
 Records come in an order: those on file, then the fresh ones.  A fresh record goes into the first kept record of its
-address (chain, city, address); else into the first kept one of its chain within ``RADIUS`` metres; else into the
+address (chain, city, address); else into the first kept one of its chain within ``RADIUS`` metres (or those asked for); else into the
 first kept one of its chain and name, unless both are placed.  Otherwise it is kept itself.  What is merged fills the
 gaps of the kept record, so that one without a place may gain it; and a kept record of the public map takes over what
 the first record of another source says, its place included.  Later records see the place as it is by then.
@@ -40,11 +40,14 @@ TILE = 20_000
 LEVELS = (12, 9, 6, 3)
 FIELDS = ("chain", "name", "city", "address", "lat", "lng", "hours", "phone", "source")
 _DEGREE = math.pi / 180 * 6_371_000
-#: Side of a cell in degrees: twice the radius.
-_SIZE = 2 * RADIUS / _DEGREE
 _FILE = 1 << 60
 
 
+def _side(radius: float) -> float:
+    """Side of a cell in degrees: twice the radius."""
+    return 2 * radius / _DEGREE
+
+
 def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
     y, x = math.radians(b[0] - a[0]), math.radians(b[1] - a[1])
     h = math.sin(y / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(x / 2) ** 2
@@ -64,10 +67,10 @@ def numbered(on_file: DataFrame, fresh: DataFrame, public: Column) -> DataFrame:
     )
 
 
-def _cells(rows: DataFrame, reach: float) -> DataFrame:
-    """``rows`` once for each cell (cy, cx) within ``reach`` cells of their place."""
-    size, wide = _SIZE, F.cos(F.radians("lat"))
-    away = F.least(F.lit(reach * size) / F.greatest(wide, F.lit(0.01)), F.lit(1.0))
+def _cells(rows: DataFrame, reach: float, size: float) -> DataFrame:
+    """``rows`` once for each cell (cy, cx) of ``size`` degrees within ``reach`` cells of their place."""
+    wide = F.cos(F.radians("lat"))
+    away = F.least(F.lit(reach * size) / F.greatest(wide, F.lit(0.01)), F.lit(180.0))
     span = lambda c, d: F.sequence(F.floor((F.col(c) - d) / size), F.floor((F.col(c) + d) / size))
     return rows.withColumn("cy", F.explode(span("lat", F.lit(reach * size)))).withColumn("cx", F.explode(span("lng", away)))
 
@@ -83,45 +86,51 @@ def _tiles(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("tile", chosen).drop(*(f"{p}{v}" for v in LEVELS[:-1] for p in ("k", "is")))
 
 
-def _around(store: dict, place: tuple[float, float], reach: float) -> Iterator:
+def _around(store: dict, place: tuple[float, float], reach: float, size: float) -> Iterator:
     """What the cells within ``reach`` metres of a place hold."""
     high = reach / _DEGREE * 1.001
-    wide = min(high / max(math.cos(math.radians(place[0])), 0.01), 1.0)
-    for cy in range(math.floor((place[0] - high) / _SIZE), math.floor((place[0] + high) / _SIZE) + 1):
-        for cx in range(math.floor((place[1] - wide) / _SIZE), math.floor((place[1] + wide) / _SIZE) + 1):
+    wide = min(high / max(math.cos(math.radians(place[0])), 0.01), 180.0)
+    for cy in range(math.floor((place[0] - high) / size), math.floor((place[0] + high) / size) + 1):
+        for cx in range(math.floor((place[1] - wide) / size), math.floor((place[1] + wide) / size) + 1):
             yield from store.get((cy, cx), ())
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    """Decides the undecided records of a tile one after the other; leaves those that something undecided may change."""
-    cell = lambda place: (math.floor(place[0] / _SIZE), math.floor(place[1] / _SIZE))
-    rows, sites, waiting, out = table.to_pylist(), defaultdict(list), defaultdict(list), []
-    for r in rows:
-        if r["owner"] is not None:
-            place = (r["lat"], r["lng"])
-            sites[cell(place)].append((r["owner"], r["since"], r["until"], place, r["settled"], r["pending"]))
-    for r in sorted((r for r in rows if r["owner"] is None), key=lambda r: r["t"]):
-        t, place, into, settled = r["t"], (r["lat"], r["lng"]), None, True
-        late = r["a"] == "wait" or (r["outside"] is not None and r["outside"] < t) or any(metres(p, place) <= 2 * RADIUS for p in _around(waiting, place, 2 * RADIUS))
-        if not late and r["a"] == "hit":
-            into, settled = r["a_into"], r["a_settled"]
-        elif not late:
-            near = [x for x in _around(sites, place, RADIUS) if x[1] < t and (x[2] is None or t <= x[2]) and metres(x[3], place) <= RADIUS]
-            if near:
-                into, _, _, _, settled, pending = min(near, key=lambda x: x[0])
-                late = not settled and pending is not None and pending < t
-            elif r["c"] == "hit":
-                into, settled = r["c_into"], r["c_settled"]
-            else:
-                late = r["c"] == "wait"
-        if not late:
-            out.append((t, into))
-        if late or not settled:
-            # where a record changes the place of another, the next round tells where that is
-            waiting[cell(place)].append(place)
-        elif into is None:
-            sites[cell(place)].append((t, t, None, place, not r["map"], t))
-    return pa.table({"t": pa.array([o[0] for o in out], pa.int64()), "into": pa.array([o[1] for o in out], pa.int64())})
+def _walker(radius: float):
+    """What a task does for a tile."""
+    size = _side(radius)
+
+    def walk(table: pa.Table) -> pa.Table:
+        """Decides the undecided records of a tile one after the other; leaves those that something undecided may change."""
+        cell = lambda place: (math.floor(place[0] / size), math.floor(place[1] / size))
+        rows, sites, waiting, out = table.to_pylist(), defaultdict(list), defaultdict(list), []
+        for r in rows:
+            if r["owner"] is not None:
+                place = (r["lat"], r["lng"])
+                sites[cell(place)].append((r["owner"], r["since"], r["until"], place, r["settled"], r["pending"]))
+        for r in sorted((r for r in rows if r["owner"] is None), key=lambda r: r["t"]):
+            t, place, into, settled = r["t"], (r["lat"], r["lng"]), None, True
+            late = r["a"] == "wait" or (r["outside"] is not None and r["outside"] < t) or any(metres(p, place) <= 2 * radius for p in _around(waiting, place, 2 * radius, size))
+            if not late and r["a"] == "hit":
+                into, settled = r["a_into"], r["a_settled"]
+            elif not late:
+                near = [x for x in _around(sites, place, radius, size) if x[1] < t and (x[2] is None or t <= x[2]) and metres(x[3], place) <= radius]
+                if near:
+                    into, _, _, _, settled, pending = min(near, key=lambda x: x[0])
+                    late = not settled and pending is not None and pending < t
+                elif r["c"] == "hit":
+                    into, settled = r["c_into"], r["c_settled"]
+                else:
+                    late = r["c"] == "wait"
+            if not late:
+                out.append((t, into))
+            if late or not settled:
+                # where a record changes the place of another, the next round tells where that is
+                waiting[cell(place)].append(place)
+            elif into is None:
+                sites[cell(place)].append((t, t, None, place, not r["map"], t))
+        return pa.table({"t": pa.array([o[0] for o in out], pa.int64()), "into": pa.array([o[1] for o in out], pa.int64())})
+
+    return walk
 
 
 def _first(name: str, by: Column | None = None) -> Column:
@@ -151,9 +160,10 @@ def owners(records: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame
     return told, rows.select("owner", "ck", "settled", F.explode(spans).alias("s")).select("owner", "ck", "settled", "s.*")
 
 
-def _round(records: DataFrame, undecided: DataFrame, decided: DataFrame, tile: int) -> DataFrame:
+def _round(records: DataFrame, undecided: DataFrame, decided: DataFrame, tile: int, radius: float) -> DataFrame:
     """(t, into) of the records that this round decides."""
     told, sites = owners(records, decided)
+    size = _side(radius)
     told = stage(told, "upsert-owners")
     word = lambda rows, t, name: rows.select(F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("ak").alias("k")), F.struct(F.lit("n").alias("kind"), F.col("nk").alias("k")))).alias("x"), F.col(t).alias(name)).where("x.k IS NOT NULL")
     states = word(undecided, "t", "u").unionByName(word(told, "owner", "o"), allowMissingColumns=True).groupBy("x").agg(F.min("u").alias("u"), F.min("o").alias("o"))
@@ -163,7 +173,7 @@ def _round(records: DataFrame, undecided: DataFrame, decided: DataFrame, tile: i
     cells = stage(cells, "upsert-cells")
     open_ = told.where("NOT settled")
     of = lambda kind, key, rows: rows.join(states.where(F.col("kind") == kind).select(F.col("k").alias(key), F.col("u").alias(f"u_{kind}"), F.col("o").alias(f"o_{kind}")), key, "left")
-    near = _cells(sites.where("NOT settled"), 0.5).join(cells, ["ck", "cy", "cx"]).groupBy("owner").agg(F.min("u").alias("u_near"))
+    near = _cells(sites.where("NOT settled"), 0.5, size).join(cells, ["ck", "cy", "cx"]).groupBy("owner").agg(F.min("u").alias("u_near"))
     pending = of("n", "nk", of("a", "ak", open_)).join(near, "owner", "left").select("owner", F.least("u_a", "u_n", "u_near").alias("pending"))
     told = stage(told.join(pending, "owner", "left").select("owner", "settled", "placed_at", "pending"), "upsert-pending")
     asked = of("n", "nk", of("a", "ak", undecided))
@@ -180,20 +190,20 @@ def _round(records: DataFrame, undecided: DataFrame, decided: DataFrame, tile: i
     loose = asked.where("NOT placed AND (a = 'hit' OR (a = 'none' AND c <> 'wait'))")
     loose = loose.select("t", F.when(F.col("a") == "hit", F.col("a_into")).when(F.col("c") == "hit", F.col("c_into")).alias("into"))
     here = first_rows(asked.where("placed"), ["ck", "tile"], ["t"], tile, "n_").drop("n_")
-    edge = _cells(here.select("t", "ck", "lat", "lng", F.col("tile").alias("own")), 1).join(cells, ["ck", "cy", "cx"]).where("tile <> own").groupBy("t").agg(F.min("u").alias("outside"))
-    seen = _cells(sites.join(told.select("owner", "pending"), "owner"), 0.5).join(cells.select("ck", "cy", "cx", "tile"), ["ck", "cy", "cx"])
+    edge = _cells(here.select("t", "ck", "lat", "lng", F.col("tile").alias("own")), 1, size).join(cells, ["ck", "cy", "cx"]).where("tile <> own").groupBy("t").agg(F.min("u").alias("outside"))
+    seen = _cells(sites.join(told.select("owner", "pending"), "owner"), 0.5, size).join(cells.select("ck", "cy", "cx", "tile"), ["ck", "cy", "cx"])
     seen = seen.select("ck", "tile", "owner", "lat", "lng", "settled", "since", "until", "pending").distinct()
     both = here.join(edge, "t", "left").drop("cy", "cx", "placed").unionByName(seen, allowMissingColumns=True)
-    return both.groupBy("ck", "tile").applyInArrow(_walk, "t bigint, into bigint").unionByName(loose)
+    return both.groupBy("ck", "tile").applyInArrow(_walker(radius), "t bigint, into bigint").unionByName(loose)
 
 
-def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TILE) -> tuple[DataFrame, DataFrame, int]:
+def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TILE, radius: float = RADIUS) -> tuple[DataFrame, DataFrame, int]:
     """The kept stores (t, fields, n_merged), (t, into) of every fresh record (null: inserted), and the number of rounds.
 
     Both tables hold ``ord`` and FIELDS; ``public`` tells records of the public map.  On file ``t`` is ord - 2**60.
     """
     records = numbered(on_file, fresh, public)
-    size = F.lit(_SIZE)
+    size = F.lit(_side(radius))
     celled = records.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lng") / size)})
     placed = _tiles(celled.where("placed").select("t", "ck", "cy", "cx"), tile).select("t", "tile")
     records = stage(celled.join(placed, "t", "left"), "upsert-records")
@@ -202,7 +212,7 @@ def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TIL
     undecided, rounds = records.where("t >= 0"), 0
     while not undecided.isEmpty():
         rounds += 1
-        after = stage(decided.unionByName(_round(records, undecided, decided, tile)), "upsert-decided")
+        after = stage(decided.unionByName(_round(records, undecided, decided, tile, radius)), "upsert-decided")
         discard(decided)
         decided = after
         undecided = stage(records.where("t >= 0").join(decided, "t", "left_anti"), "upsert-open")
@@ -218,3 +228,20 @@ def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TIL
     filled = [*(F.coalesce(f"new.{c}", c).alias(c) for c in ("chain", "name")), *(F.coalesce(f"new.{c}", c, f"gap_{c}").alias(c) for c in ("city", "address", "hours", "phone")), source]
     stores = rows.select("t", *filled, place["lat"].alias("lat"), place["lng"].alias("lng"), F.coalesce("n_merged", F.lit(0)).alias("n_merged"))
     return stores, decided.where("t >= 0"), rounds
+
+
+def greedy_merge(stores: DataFrame, block: list[str], km: float, tile: int = TILE) -> DataFrame:
+    """(sid, merged_into): a store joins the first kept store of its block within ``km``, in order of ``sid``.
+
+    The upsert of places alone: no address or name, nothing on file.  ``sid`` is a unique whole number from 0 to
+    2 ** 60.  Stores off the map or without a block are kept themselves.
+    """
+    known = F.lit(True)
+    for b in block:
+        known = known & F.col(b).isNotNull()
+    name = F.sha2(F.to_json(F.struct(*block)), 256)
+    here = {c: F.when(known, F.col(c)) for c in ("lat", "lng")}
+    empty = [F.lit(None).cast("string").alias(c) for c in FIELDS if c not in ("chain", "lat", "lng")]
+    fresh = stores.select(F.col("sid").cast("bigint").alias("ord"), name.alias("chain"), *(here[c].alias(c) for c in here), *empty)
+    _, decided, _ = upsert(fresh.limit(0), fresh, F.lit(False), tile, 1000 * km)
+    return decided.select(F.col("t").alias("sid"), F.coalesce("into", "t").alias("merged_into"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import branches, places, regions
+from ..operators.store_upsert import greedy_merge
 from ..sources.catalogue import sql, stores, table
 
 _HALF = "(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))"
@@ -99,7 +100,7 @@ _RESOLUTION = sql("store", f"""+r AS (SELECT c_custkey AS rid, CASE WHEN c_custk
 
 def store_greedy_merge(spark, sf_dir):
     """Stores of one chain that merge into an earlier one within thirty kilometres, in input order."""
-    return places.greedy_merge(stores(spark, sf_dir).select("sid", "chain", "lat", "lng"), ["chain"], 30.0)
+    return greedy_merge(stores(spark, sf_dir).select("sid", "chain", "lat", "lng"), ["chain"], 30.0)
 
 
 # store after store: those kept so far, and whether one of them is near

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import gates, places, rank
+from lodestar.operators import events, gates, places, rank, store_upsert
 
 
 def test_quantiles_of_many_values_in_one_group(spark):
@@ -77,4 +77,22 @@ def test_greedy_merge_against_brute_force(spark):
         if not near:
             kept.append((s, y, x))
     frame = spark.createDataFrame(stores, "sid long, chain string, lat double, lng double")
-    assert {r.sid: r.merged_into for r in places.greedy_merge(frame, ["chain"], 5.0).collect()} == want
+    assert {r.sid: r.merged_into for r in store_upsert.greedy_merge(frame, ["chain"], 5.0).collect()} == want
+
+
+def test_greedy_merge_of_a_long_line_and_of_blocks(spark):
+    line = spark.range(4000).selectExpr("id AS sid", "'a-b' AS chain", "42.0D + id * 0.0009D AS lat", "21.0D AS lng").unionByName(spark.createDataFrame([(9000, "a b", 42.0, 21.0), (9001, None, 42.0, 21.0), (9002, None, 42.0, 21.0)], "sid long, chain string, lat double, lng double"))
+    got = {r.sid: r.merged_into for r in store_upsert.greedy_merge(line, ["chain"], 0.12).collect()}
+    # neighbours lie 100 m apart: every other store is kept
+    assert got == {**{i: i - i % 2 for i in range(4000)}, 9000: 9000, 9001: 9001, 9002: 9002}
+
+
+def test_throttle_spreads_a_busy_client(spark):
+    rng = random.Random(8)
+    data = [(i, None if i % 90 == 0 else 0 if i % 3 else rng.randrange(3), None if i % 70 == 0 else rng.randrange(-400, 400)) for i in range(600)]
+    rows = spark.createDataFrame(data, "id long, client long, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.id: (r.recent, r.throttled) for r in events.throttled(rows, "client", "at", 20, 5).collect()}
+    near = lambda c, t: sum(1 for _, d, u in data if c == d and (t is None and u is None or t is not None and u is not None and t - 20 <= u <= t))
+    assert got == {i: (near(c, t), near(c, t) > 5) for i, c, t in data}
+    plan = events.throttled(rows, "client", "at", 20, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(client" in plan and "span_" in [p for p in plan.splitlines() if "hashpartitioning" in p][0]

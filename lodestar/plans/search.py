@@ -78,7 +78,7 @@ def shelf_term_search(spark, sf_dir):
     return best.select("probe", "rank", "cand")
 
 
-_SHELF = f"""{_RULES},
+_SHELF_TIERS = f""",
     pt AS (SELECT probe, {_KEY.format("name")} AS t FROM probe WHERE family IS NULL), ph AS ({_HITS.format(key="probe", rows="pt", terms="term")}),
     lead AS (SELECT probe, arg_min(family, (-length(ph.term), ord)) AS lead FROM ph JOIN term USING (term) WHERE at_ = 1 GROUP BY 1),
     placed AS (SELECT p.* EXCLUDE (family), coalesce(p.family, lead) AS family FROM probe p LEFT JOIN lead USING (probe)),
@@ -97,6 +97,7 @@ _SHELF = f"""{_RULES},
     one AS (SELECT a.probe, g.cand, g.miss, g.strange, g.r, g.price, row_number() OVER (PARTITION BY a.probe, g.same ORDER BY miss, strange, g.r, price NULLS LAST, g.cand) AS k
         FROM asked a JOIN good g ON g.ask = a.ask WHERE a.own IS NULL OR g.brand IS NULL OR a.own <> g.brand),
     best AS (SELECT * FROM (SELECT probe, row_number() OVER (PARTITION BY probe ORDER BY miss, strange, r, price NULLS LAST, cand) AS rank, cand FROM one WHERE k = 1) WHERE rank <= 6)"""
+_SHELF = _RULES + _SHELF_TIERS
 _SEARCH = sql("product", f"+{_SHELF} SELECT probe, rank, cand FROM best")
 
 
@@ -106,7 +107,7 @@ def any_alternative(spark, sf_dir):
     return search.tier_search(stage(_probes(spark, sf_dir), "search-probes"), stage(_pool(spark, sf_dir), "search-pool"), *rules, STOP)
 
 
-_ANY = sql("product", f"""+{_SHELF},
+_ANY_TIERS = f""",
     lost AS (SELECT * FROM placed WHERE family IS NULL AND probe NOT IN (SELECT probe FROM best)),
     cw AS (SELECT DISTINCT cand, unnest(string_split({_KEY.format("concat_ws(' ', name, shelf)")}, ' ')) AS w FROM pool),
     pw AS (SELECT DISTINCT probe, own, unnest(string_split({_KEY.format("name")}, ' ')) AS w FROM lost),
@@ -116,8 +117,9 @@ _ANY = sql("product", f"""+{_SHELF},
     s1 AS (SELECT l.probe, l.own, p.*, row_number() OVER (PARTITION BY l.probe, p.same ORDER BY NOT coalesce(p.local, false), p.price NULLS LAST, p.cand) AS k FROM lost l JOIN pool p ON lower(l.shelf) = p.shelf
         WHERE l.probe NOT IN (SELECT probe FROM n3) AND (own IS NULL OR p.brand IS NULL OR own <> p.brand)),
     s3 AS (SELECT * FROM (SELECT probe, row_number() OVER (PARTITION BY probe ORDER BY NOT coalesce(local, false), price NULLS LAST, cand) AS rank, cand FROM s1 WHERE k = 1) WHERE rank <= 6),
-    every AS (SELECT probe, 'family' AS tier, rank, cand FROM best UNION ALL SELECT probe, 'name', rank, cand FROM n3 UNION ALL SELECT probe, 'category', rank, cand FROM s3)
-    SELECT * FROM every UNION ALL SELECT probe, CASE WHEN family IS NULL THEN 'no-family' ELSE 'none-in-family' END, NULL, NULL FROM placed WHERE probe NOT IN (SELECT probe FROM every)""")
+    every AS (SELECT probe, 'family' AS tier, rank, cand FROM best UNION ALL SELECT probe, 'name', rank, cand FROM n3 UNION ALL SELECT probe, 'category', rank, cand FROM s3),
+    any_ AS (SELECT * FROM every UNION ALL SELECT probe, CASE WHEN family IS NULL THEN 'no-family' ELSE 'none-in-family' END, NULL, NULL FROM placed WHERE probe NOT IN (SELECT probe FROM every))"""
+_ANY = sql("product", f"+{_SHELF}{_ANY_TIERS} SELECT * FROM any_")
 
 
 def _identity_rules(spark, sf_dir):

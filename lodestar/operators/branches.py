@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.forms import chain_key, street_key
 from ..functions.geo import haversine_km
-from .brands import longest_of, word_runs
+from .brands import lengths_of, word_runs
 from .places import within
 
 #: A report lies at the nearest record of its brand within so many kilometres.
@@ -103,7 +103,7 @@ def resolve(reports: DataFrame, records: DataFrame, region: Column) -> DataFrame
     one = alone.where("n_region = 1").join(s.where("regional"), "brand").select("brand", "sid", "at_city", "held")
     in_region = shops.join(one, "brand").where(~clash).select("rid", "sid")
     few = alone.where("n_region > 1").join(s.where("regional"), "brand").select("brand", "sid", "at_key", "held")
-    phrases = F.transform(word_runs("held", longest_of(r.select(F.col("city_key").alias("phrase")).distinct())), lambda x: x["phrase"])
+    phrases = F.transform(word_runs("held", lengths_of(r.select(F.col("city_key").alias("phrase")).distinct())), lambda x: x["phrase"])
     keys = few.select("brand", "sid", F.explode(F.when(F.col("at_key") == "", F.array(F.lit("*"))).otherwise(F.array_union(F.array("at_key"), phrases))).alias("city_key")).distinct()
     tally = keys.groupBy("brand", "city_key").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid"))
     open_ = tally.where("city_key = '*'").select("brand", F.col("n").alias("n_open"), F.col("sid").alias("sid_open"))

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def longest_of(phrases: DataFrame) -> int:
-    """Words of the longest phrase; word runs must be as long."""
-    return phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+def lengths_of(phrases: DataFrame) -> list[int]:
+    """How many words phrases have: word runs of these lengths alone can meet one, so a single long phrase adds one length."""
+    return sorted(phrases.agg(F.collect_set(F.size(F.split("phrase", " ")))).first()[0])
 
 
-def word_runs(title: str, longest: int):
-    """Array of (phrase, start) for every run of up to ``longest`` words of a column's key."""
+def word_runs(title: str, lengths: list[int]):
+    """Array of (phrase, start, n) for every run of n words of a column's key, n being one of ``lengths``."""
     words = F.split(text.key(F.col(title)), " ")
 
     def of_length(n: int):
         return F.transform(words, lambda _, i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("phrase"), i.alias("start"), F.lit(n).alias("n")))
 
-    runs = [of_length(n) for n in range(1, longest + 1)]
+    runs = [of_length(n) for n in lengths or [1]]
     return F.filter(F.concat(*runs), lambda r: F.size(F.split(r["phrase"], " ")) == r["n"])
 
 
@@ -30,7 +30,7 @@ def phrase_match(rows: DataFrame, key: str, title: str, aliases: DataFrame, lead
     Titles are exploded into word runs and joined by equality; ``aliases`` has alias, brand, ord.
     """
     named = aliases.select(text.key(F.col("alias")).alias("phrase"), "brand", "ord").where("phrase <> ''")
-    runs = rows.select(key, F.explode(word_runs(title, longest_of(named))).alias("r")).select(key, "r.phrase", "r.start")
+    runs = rows.select(key, F.explode(word_runs(title, lengths_of(named))).alias("r")).select(key, "r.phrase", "r.start")
     hits = runs.join(named, "phrase").where((F.length("phrase") >= lead_below) | (F.col("start") == 0))
     best = F.min_by(F.struct("phrase", "brand"), F.struct(-F.length("phrase"), "ord", "phrase", "start"))
     return hits.groupBy(key).agg(best.alias("b"), F.count_distinct("brand").alias("n_brands")).select(key, "b.phrase", "b.brand", "n_brands")
@@ -39,9 +39,9 @@ def phrase_match(rows: DataFrame, key: str, title: str, aliases: DataFrame, lead
 def without_words(rows: DataFrame, columns: list[str], phrases: DataFrame) -> DataFrame:
     """``rows`` of which no column holds the words of a phrase side by side; ``phrases`` has phrase."""
     named = phrases.select(text.key(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct()
-    longest = longest_of(named)
+    lengths = lengths_of(named)
     for c in columns:
-        vetoed = rows.select(c).distinct().select(F.col(c).alias("held"), F.explode(word_runs(c, longest)).alias("r")).join(named, F.col("r.phrase") == named.phrase, "left_semi")
+        vetoed = rows.select(c).distinct().select(F.col(c).alias("held"), F.explode(word_runs(c, lengths)).alias("r")).join(named, F.col("r.phrase") == named.phrase, "left_semi")
         rows = rows.join(vetoed.select("held").distinct(), F.col(c) == F.col("held"), "left_anti")
     return rows
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .brands import longest_of, word_runs
+from .brands import lengths_of, word_runs
 
 #: Shorter names are no evidence inside a title, and names below the second bound only where they lead it.
 LEAST_NAME, LEAST_ANYWHERE = 3, 6
 
 
-def _runs(rows: DataFrame, column: str, longest: int) -> DataFrame:
-    return rows.select("*", F.explode(word_runs(column, longest)).alias("r_")).withColumn("phrase", F.col("r_.phrase")).drop("r_")
+def _runs(rows: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    return rows.select("*", F.explode(word_runs(column, lengths)).alias("r_")).withColumn("phrase", F.col("r_.phrase")).drop("r_")
 
 
 def brand_entry(rows: DataFrame, key: str, brand: str, entries: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def brand_entry(rows: DataFrame, key: str, brand: str, entries: DataFrame) -> Da
     """
     parts = rows.select(key, F.explode(F.split(F.concat_ws(",", brand), ",")).alias("part")).withColumn("part", text.key(F.col("part"))).where("part <> ''").distinct()
     names = entries.select("entry", "ord", text.key(F.col("name")).alias("name")).where("name <> ''")
-    inside = _runs(parts, "part", longest_of(names.select(F.col("name").alias("phrase")))).join(names, F.col("phrase") == F.col("name"))
+    inside = _runs(parts, "part", lengths_of(names.select(F.col("name").alias("phrase")))).join(names, F.col("phrase") == F.col("name"))
     brands = parts.select(F.col("part").alias("phrase")).distinct()
-    around = _runs(names, "name", longest_of(brands)).join(parts, F.col("phrase") == F.col("part"))
+    around = _runs(names, "name", lengths_of(brands)).join(parts, F.col("phrase") == F.col("part"))
     columns = [key, "entry", "ord", "name", (F.col("part") == F.col("name")).alias("exact")]
     hits = inside.select(*columns).unionByName(around.select(*columns))
     order = F.struct(~F.col("exact"), F.when(F.col("exact"), 0).otherwise(-F.length("name")), "ord", "name")
@@ -61,7 +61,7 @@ def title_origin(rows: DataFrame, key: str, index: DataFrame) -> DataFrame:
     direct = rows.select(key, text.key(F.col("brand")).alias("name")).join(names, "name").select(key, "iso", F.lit("brand").alias("basis"))
     rest = rows.select(key, "title").join(direct, key, "left_anti")
     long = names.where(F.length("name") >= LEAST_NAME)
-    titles = rest.select(key, F.explode(word_runs("title", longest_of(long.select(F.col("name").alias("phrase"))))).alias("r_"))
+    titles = rest.select(key, F.explode(word_runs("title", lengths_of(long.select(F.col("name").alias("phrase"))))).alias("r_"))
     found = titles.join(long, F.col("r_.phrase") == F.col("name")).where((F.length("name") >= LEAST_ANYWHERE) | (F.col("r_.start") == 0))
     # a title holds no more names than word runs
     hits = found.groupBy(key).agg(F.collect_set(F.struct((-F.length("name")).alias("l"), "name", "iso")).alias("hits"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .brands import longest_of, word_runs
+from .brands import lengths_of, word_runs
 
 
 def category_key(value: Column) -> Column:
@@ -22,10 +22,10 @@ def by_brand(rows: DataFrame, key: str, brands: str, entries: DataFrame) -> Data
     """Every (key, entry, ord) whose brand holds, or lies in, one of a comma list's brands, by whole words."""
     parts = rows.select(key, F.explode(F.split(brands, ",")).alias("part")).select(key, text.key(F.col("part")).alias("part")).where("part <> ''").distinct()
     named = entries.select("entry", "ord", text.key(F.col("brand")).alias("named")).where("named <> ''")
-    run = lambda df, c, longest: df.select("*", F.explode(word_runs(c, longest)).alias("r_"))
-    inside = run(parts, "part", longest_of(named.select(F.col("named").alias("phrase")))).join(named, F.col("r_.phrase") == F.col("named"))
+    run = lambda df, c, lengths: df.select("*", F.explode(word_runs(c, lengths)).alias("r_"))
+    inside = run(parts, "part", lengths_of(named.select(F.col("named").alias("phrase")))).join(named, F.col("r_.phrase") == F.col("named"))
     asked = parts.select(F.col("part").alias("phrase")).distinct()
-    around = run(named, "named", longest_of(asked)).join(parts, F.col("r_.phrase") == F.col("part"))
+    around = run(named, "named", lengths_of(asked)).join(parts, F.col("r_.phrase") == F.col("part"))
     return inside.select(key, "entry", "ord").unionByName(around.select(key, "entry", "ord")).distinct()
 
 
@@ -74,7 +74,7 @@ def by_category(keys: DataFrame, entries: DataFrame) -> DataFrame:
     asked = keys.select("category", text.key(F.col("category")).alias("k")).where("k <> ''").distinct()
     own = entries.select("entry", "ord", text.key(F.col("category")).alias("k"))
     tags = entries.select("entry", "ord", F.explode("tags").alias("tag"))
-    runs = tags.select("entry", "ord", F.explode(word_runs("tag", longest_of(asked.select(F.col("k").alias("phrase"))))).alias("r_")).select("entry", "ord", F.col("r_.phrase").alias("k"))
+    runs = tags.select("entry", "ord", F.explode(word_runs("tag", lengths_of(asked.select(F.col("k").alias("phrase"))))).alias("r_")).select("entry", "ord", F.col("r_.phrase").alias("k"))
     return asked.join(own.unionByName(runs).distinct(), "k").select("category", "entry", "ord")
 
 
@@ -84,7 +84,7 @@ def brand_in_title(rows: DataFrame, key: str, title: str, vocabulary: DataFrame)
     ``vocabulary`` has brand.
     """
     named = vocabulary.select("brand", text.key(F.col("brand")).alias("phrase")).where("phrase <> ''").dropDuplicates(["phrase"])
-    runs = rows.select(key, F.explode(word_runs(title, longest_of(named))).alias("r_")).select(key, F.col("r_.phrase").alias("phrase"))
+    runs = rows.select(key, F.explode(word_runs(title, lengths_of(named))).alias("r_")).select(key, F.col("r_.phrase").alias("phrase"))
     hits = runs.join(named, "phrase").groupBy(key).agg(F.collect_set(F.struct((-F.length("phrase")).alias("l"), "phrase", "brand")).alias("hits"))
     first = F.get(F.array_sort("hits"), F.lit(0))
     return hits.where(F.forall("hits", lambda h: first["phrase"].contains(h["phrase"]))).select(key, first["brand"].alias("brand"))

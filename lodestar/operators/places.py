@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import EARTH_KM, haversine_km
 from ..sources.shared import stage
 from .rank import first_rows
 
@@ -61,33 +61,44 @@ def resolve_stores(rows: DataFrame, known: DataFrame, km: float) -> DataFrame:
     return rows.select("rid").join(first, "rid", "left").select("rid", "b.sid", "b.level")
 
 
-def _cells(size: float, lat: str, lng: str) -> list:
-    return [F.floor(F.col(lat) / size).alias("cy"), F.floor(F.col(lng) / size).alias("cx")]
+def _cells(lat: str, lng: str) -> list:
+    return [F.floor(F.col(lat) / F.col("size_")).alias("cy"), F.floor(F.col(lng) / F.col("size_")).alias("cx")]
 
 
-def nearest(points: DataFrame, stores: DataFrame, same: list[str], most: int, start: float = 0.2) -> DataFrame:
+def first_cells(stores: DataFrame, same: list[str], most: int) -> DataFrame:
+    """(same, size_): degrees of the cells that a block starts with, from its stores by area, so that a cell holds about ``most``."""
+    span = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(0.001))
+    blocks = stores.groupBy(*same).agg((span("lat") * span("lng") / F.count(F.lit(1))).alias("area_"))
+    return blocks.select(*same, F.least(F.greatest(F.sqrt(0.8 * most * F.col("area_")), F.lit(0.001)), F.lit(360.0)).alias("size_"))
+
+
+def nearest(points: DataFrame, stores: DataFrame, same: list[str], most: int) -> DataFrame:
     """The ``most`` nearest stores of each point among those that agree in ``same``; stores off the map last.
 
-    Points meet the stores of their own and the neighbouring cells of a grid, by equality.  A point that has
-    enough stores no farther than a cell is wide is done; the others go on with cells eight times as wide.
+    Points meet the stores of their own and the neighbouring cells of their block's grid, by equality.  What lies beyond
+    those is at least a cell away, along the latitude or to the meridian: a point that has enough stores within that is
+    done; the others go on with cells eight times as wide.
     """
     columns = [*points.columns, *(c for c in stores.columns if c not in points.columns)]
     by_km, placed = [F.col("km").asc_nulls_last(), "sid"], stores.where("lat IS NOT NULL AND lng IS NOT NULL")
     steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
-    left, size, found = points.where("lat0 IS NOT NULL AND lng0 IS NOT NULL"), start, []
+    sizes = stage(first_cells(placed, same, most), "near-cells")
+    left, placed, found = points.where("lat0 IS NOT NULL AND lng0 IS NOT NULL").join(sizes, same), placed.join(sizes, same), []
     while True:
-        around = left.select("*", *_cells(size, "lat0", "lng0")).withColumn("d", F.explode(steps))
+        around = left.select("*", *_cells("lat0", "lng0")).withColumn("d", F.explode(steps))
         around = around.withColumns({"cy": F.col("cy") + F.col("d.y"), "cx": F.col("cx") + F.col("d.x")}).drop("d")
-        hits = around.join(placed.select("*", *_cells(size, "lat", "lng")), [*same, "cy", "cx"])
+        hits = around.join(placed.select("*", *_cells("lat", "lng")).drop("size_"), [*same, "cy", "cx"])
         km = F.round(haversine_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), 6)
-        top = stage(first_rows(hits.select(*columns, km.alias("km")), ["point"], by_km, most, "place"), "near")
-        last = size >= 360
-        sure = top.groupBy("point").agg(F.count_if(F.lit(last) | (F.col("km") <= size * KM_A_DEGREE)).alias("n")).where(F.col("n") >= (1 if last else most))
-        found.append(top.join(sure, "point", "left_semi"))
-        left = stage(left.join(sure, "point", "left_anti"), "left")
-        if last or left.isEmpty():
+        top = stage(first_rows(hits.select(*columns, "size_", km.alias("km")), ["point"], by_km, most, "place"), "near")
+        last = F.col("size_") >= 360
+        reach = EARTH_KM * F.asin(F.sin(F.radians(F.least("size_", F.lit(90.0)))) * F.cos(F.radians("lat0"))) - 1e-5
+        sure = top.groupBy("point").agg(F.count_if(last | (F.col("km") <= reach)).alias("n"), F.bool_or(last).alias("last_")).where(F.col("last_") | (F.col("n") >= most))
+        found.append(top.join(sure, "point", "left_semi").drop("size_"))
+        left = stage(left.join(sure, "point", "left_anti").where(~last), "left")
+        if left.isEmpty():
             break
-        size = min(8 * size, 360.0)
+        wider = F.least(8 * F.col("size_"), F.lit(360.0))
+        left, placed = left.withColumn("size_", wider), placed.withColumn("size_", wider)
     near = functools.reduce(DataFrame.unionByName, found)
     # whoever has too few gets the first stores of the block that no distance is known to
     full = near.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)

@@ -73,8 +73,8 @@ def _probes(spark, sf_dir):
     n = answers.groupBy(F.col("pid").alias("probe")).agg(F.count(F.lit(1)).alias("n"))
     probes = rows.where("stance = 'FLAGGED'").select(F.col("pid").alias("probe"), F.when(F.col("pid") % 10 != 0, F.col("family")).alias("family"), F.col("brand").alias("own"), "category")
     probes = probes.join(n, "probe", "left").withColumn("n", F.when(F.col("probe") % 7 == 0, 0).otherwise(F.coalesce("n", F.lit(0))))
-    able = rows.where("stance <> 'FLAGGED' AND family IS NOT NULL").groupBy("family").agg(F.sort_array(F.collect_set("brand")).alias("b"))
-    return evaluate.audit(probes, able.select("family", F.size("b").alias("n_brands"), F.slice("b", 1, 2).alias("brands"))), answers.where("pid % 7 <> 0"), rows
+    able = rank.first_two(rows.where("stance <> 'FLAGGED'"), "family", "brand").withColumnsRenamed({"firsts": "brands", "n": "n_brands"})
+    return evaluate.audit(probes, able), answers.where("pid % 7 <> 0"), rows
 
 
 def answer_evaluation(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import brands, dedupe, issuer, predicates, resolve
+from ..operators import brands, dedupe, issuer, predicates, rank, resolve
 from ..sources.catalogue import flagged_brands, issuers, offers, products, sql, table
 from ..sources.shared import stage
 from .catalogue import _DENSE, _VERDICT
@@ -163,8 +163,7 @@ def overlap(rows):
 
     A name keeps its two first brands and their number, which is all that any of its products asks for.
     """
-    names = rows.where("name IS NOT NULL AND brand IS NOT NULL").groupBy("name").agg(F.collect_set("brand").alias("b"))
-    short = names.select("name", F.slice(F.array_sort("b"), 1, 2).alias("first"), F.size("b").alias("n"))
+    short = rank.first_two(rows, "name", "brand").withColumnRenamed("firsts", "first")
     hits = rows.where("brand IS NOT NULL").join(short, "name").where("n > 1")
     return hits.select("pid", F.when(F.col("brand") == F.col("first")[0], F.col("first")[1]).otherwise(F.col("first")[0]).alias("entry"), (F.col("n") - 1).cast("bigint").alias("n_entries"))
 

@@ -28,7 +28,7 @@ _ROBIN = sql("product", """+u AS (SELECT *, round(round(price / [9000, 500, 1000
 
 def seeded_band_shuffle(spark, sf_dir):
     """The forty dearest products of each shelf in the day's order, the rest as they stand."""
-    return rank.shuffle_band(products(spark, sf_dir), "category", -F.col("price"), [F.desc("price"), "pid"], "pid", 40, SEED).select("pid", "category", "place")
+    return rank.shuffle_band(products(spark, sf_dir), "category", -F.col("price"), [F.desc("price"), "pid"], "pid", 40, SEED, F.col("pid")).select("pid", "category", "place")
 
 
 _BAND = sql("product", f"""+n AS (SELECT pid, category, row_number() OVER (PARTITION BY category ORDER BY price DESC, pid) AS n FROM product)

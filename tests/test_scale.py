@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import events, gates, places, rank, store_upsert
+from lodestar.operators import brands, events, gates, places, rank, store_upsert
 
 
 def test_quantiles_of_many_values_in_one_group(spark):
@@ -37,6 +37,43 @@ def test_numbers_rows_of_hot_groups(spark):
     assert got == {i: k for g in groups.values() for k, (_, i) in enumerate(sorted(g), 1)}
 
 
+def test_numbers_ties_in_ranges_of_their_own(spark):
+    data = [(i, 5.0 if i % 10 else [4.0, 9.0, None][i % 3], None if i % 97 == 0 else i * 7919 % 4001) for i in range(4000)]
+    rows = spark.createDataFrame(data, "id long, v double, w long")
+    order = [F.asc_nulls_last("v"), F.asc_nulls_last("w"), "id"]
+    got = {r.id: r.place for r in rank.numbered(rows, [], F.col("v"), order, "place", F.col("w")).collect()}
+    last = lambda x: (x is None, x or 0)
+    assert got == {i: k for k, (i, *_) in enumerate(sorted(data, key=lambda r: (last(r[1]), last(r[2]), r[0])), 1)}
+    # nine rows of ten are equal, and no task sorts a tenth of them
+    sizes = rank.in_ranges(rows, [], F.col("v"), F.col("w")).groupBy("range_").count().agg(F.max("count")).first()[0]
+    assert sizes < 400
+
+
+def test_first_two_of_a_hot_group(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 5)) AS g", "IF(id % 7 = 0, null, concat('b', id % 400)) AS b").unionByName(spark.createDataFrame([(None, "x"), ("one", "y")], "g string, b string"))
+    want = {}
+    for r in rows.collect():
+        if r.g is not None and r.b is not None:
+            want.setdefault(r.g, set()).add(r.b)
+    assert {r.g: (r.firsts, r.n) for r in rank.first_two(rows, "g", "b").collect()} == {g: (sorted(v)[:2], len(v)) for g, v in want.items()}
+
+
+def test_one_long_phrase_adds_one_length(spark):
+    rows = spark.createDataFrame([("brand one", "A", 1), (" ".join(f"w{i}" for i in range(40)), "B", 2)], "alias string, brand string, ord int")
+    titles = spark.createDataFrame([(1, "x brand one " + "y " * 50), (2, "z " + " ".join(f"W{i}" for i in range(40)))], "k long, t string")
+    assert brands.lengths_of(rows.withColumnRenamed("alias", "phrase")) == [2, 40]
+    assert {r.k: r.brand for r in brands.phrase_match(titles, "k", "t", rows).collect()} == {1: "A", 2: "B"}
+    assert brands.phrase_match(titles, "k", "t", rows.limit(0)).count() == 0
+
+
+def test_first_cells_hold_about_what_is_asked(spark):
+    stores = spark.range(20000).selectExpr("id % 2 AS city", "IF(id % 2 = 0, 40.0D, 10.0D) + (id * 7919 % 10007) / 10007.0D * IF(id % 2 = 0, 1, 0.2D) AS lat", "20.0D + (id * 104729 % 10009) / 10009.0D * IF(id % 2 = 0, 1, 0.2D) AS lng")
+    sizes = {r.city: r.size_ for r in places.first_cells(stores, ["city"], 3).collect()}
+    # a block 25 times as dense starts with cells a fifth as wide, and the nine cells hold less than eight times the three stores
+    assert 4.9 < sizes[0] / sizes[1] < 5.1
+    assert 9 * sizes[0] ** 2 * 10000 < 8 * 3
+
+
 def test_pages_and_samples(spark):
     rows = spark.range(100)
     assert [r.id for r in rank.page(rows, ["id"], 2, 40, 90).collect()] == list(range(80, 90))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .joins import grown, rule_table
 
 
 def collapse_narrower(families: Column, narrower: dict[str, str]) -> Column:
@@ -49,15 +50,19 @@ def compatible(a: Column, b: Column, unknown_passes: bool) -> Column:
 def rule_hits(rows: DataFrame, key: str, title: str, rules: DataFrame, traps: list[tuple[str, str]] = ()) -> DataFrame:
     """(key, at, word, family, ord): every rule whose word starts a word of the title, once the traps are rewritten.
 
-    ``rules``: word, family, ord; any number of them, as words meet rules by equality of their first letters.
+    ``rules``: word, family, ord; any number of them, as words meet rules by equality of their first letters,
+    at the lengths only that the rules have.
     ``traps``: phrases that look like something else, and what to read instead, in order.
     """
     read = F.concat(F.lit(" "), text.key(F.col(title)), F.lit(" "))
     for phrase, by in traps:
         read = F.replace(read, F.lit(f" {phrase} "), F.lit(f" {by} "))
     words = rows.select(key, F.posexplode(F.filter(F.split(read, " "), lambda w: w != "")).alias("at", "w"))
-    starts = words.select(key, "at", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda n: F.left(F.col("w"), n))).alias("word"))
-    return starts.join(rules.select("word", "family", "ord"), "word")
+    lengths = F.coalesce(rules.agg(F.collect_set(F.length("word"))).scalar(), F.array().cast("array<int>"))
+    sized = words.withColumn("n_", lengths)
+    cut = F.transform(F.filter("n_", lambda n: (n > 0) & (n <= F.length("w"))), lambda n: F.left(F.col("w"), n))
+    starts = sized.select(key, "at", F.explode(cut).alias("word"))
+    return starts.join(rule_table(rules.select("word", "family", "ord")), "word")
 
 
 def by_rules(rows: DataFrame, key: str, title: str, rules: DataFrame, traps: list[tuple[str, str]] = (), parents: DataFrame | None = None) -> DataFrame:
@@ -69,10 +74,10 @@ def by_rules(rows: DataFrame, key: str, title: str, rules: DataFrame, traps: lis
     one = hits.groupBy(key).agg(F.min_by("family", F.struct("ord", "word")).alias("family"), F.min_by("family", F.struct("at", -F.length("word"), "ord")).alias("head"))
     every = hits.select(key, "family").distinct()
     if parents is not None:
-        above = every.join(parents, "family").select(key, F.col("parent").alias("family")).distinct()
-        every = every.join(above, [key, "family"], "left_anti")
+        above = every.join(rule_table(parents), "family").select(key, F.col("parent").alias("family")).distinct()
+        every = every.join(grown(above), [key, "family"], "left_anti")
     names = every.groupBy(key).agg(F.array_sort(F.collect_set("family")).alias("families"))
-    return one.join(names, key)
+    return one.join(grown(names), key)
 
 
 def tag_families(rows: DataFrame, key: str, tags: str, rules: DataFrame, generic: list[str]) -> DataFrame:
@@ -89,9 +94,9 @@ def shelves(rows: DataFrame, key: str, shelf: str, rules: DataFrame, least: int,
 
     Shelves that no rule places, and labels with fewer than ``least`` rows, are ``other``.
     """
-    hits = rule_hits(rows, key, shelf, rules).join(rules.select("word", "ord", "side"), ["word", "ord"])
+    hits = rule_hits(rows, key, shelf, rules).join(rule_table(rules.select("word", "ord", "side")), ["word", "ord"])
     told = hits.groupBy(key).agg(F.min_by(F.struct(F.col("family").alias("label"), "side"), F.struct("ord", "word")).alias("b"))
-    placed = rows.select(key).join(told, key, "left").select(key, "b.label", "b.side")
+    placed = rows.select(key).join(grown(told), key, "left").select(key, "b.label", "b.side")
     sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("label").isNotNull()).select("label", F.lit(True).alias("large"))
     return placed.join(sizes, "label", "left").select(key, F.when(F.col("large"), F.col("label")).otherwise(other).alias("label"), F.when(F.col("large"), F.col("side")).alias("side"))
 

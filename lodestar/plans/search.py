@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search, taxonomy
+from ..operators.joins import grown
 from ..sources.catalogue import products, sql, table
 from ..sources.shared import stage
 
@@ -152,7 +153,7 @@ def exact_family(spark, sf_dir):
     lead = F.when(F.col("pid") % 2 == 0, F.col("lead"))
     known = rows.select("pid", taxonomy.witness(shelf, F.filter(F.array(lead), lambda x: x.isNotNull()), lead).alias("agreed"))
     named = product_identity(spark, sf_dir).select("pid", F.col("family").alias("named"))
-    return known.join(named, "pid", "left").select("pid", F.coalesce("agreed", "named").alias("family"), F.when(F.col("agreed").isNotNull(), "witness").when(F.col("named").isNotNull(), "identity").alias("by"))
+    return known.join(grown(named), "pid", "left").select("pid", F.coalesce("agreed", "named").alias("family"), F.when(F.col("agreed").isNotNull(), "witness").when(F.col("named").isNotNull(), "identity").alias("by"))
 
 
 _EXACT = sql("product", f"""+{_IDENTITY}, named AS (SELECT pid, CASE WHEN min(family) = max(family) THEN min(family) END AS named FROM met GROUP BY 1),

@@ -212,8 +212,7 @@ def stocking_stores(spark, sf_dir):
     """How many stores stock a product, by the chains of its source or else by the venue it names."""
     chains = stores(spark, sf_dir).where("sid % 2 = 0").select(F.col("sid").alias("source"), "chain")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_partkey") % 10).alias("source"), F.expr("IF(p_partkey % 3 = 0, upper(concat('Chain-', p_partkey % 12)), null)").alias("venue"))
-    hits = branches.stocking(rows, stores(spark, sf_dir), chains)
-    return hits.groupBy("pid", "claim").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first"))
+    return branches.stocked(rows, stores(spark, sf_dir), chains)
 
 
 _STOCKING = sql("store", """+p AS (SELECT p_partkey AS pid, p_partkey % 10 AS source, CASE WHEN p_partkey % 3 = 0 THEN 'chain ' || (p_partkey % 12) END AS venue FROM part),

@@ -87,14 +87,16 @@ class Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            times = frame["t_"].tolist()
-            for t, i in zip(times, frame["id_"].tolist(), strict=True):
-                self.waiting.appendValue((t, i))
-            # a timer for each minute that rows lie in
-            for minute in {t // (60 * MICROS) for t in times}:
-                self.handle.registerTimer((minute + 1) * 60_000)
+            rows_ = list(zip(frame["t_"].tolist(), frame["id_"].tolist(), strict=True))
+            if rows_:
+                self.waiting.appendList(rows_)
+                self._wake(min(rows_)[0])
         return iter(())
 
+    def _wake(self, first: int) -> None:
+        """A timer for the minute of the first row that waits: when it fires, the next is set for what still waits."""
+        self.handle.registerTimer((first // (60 * MICROS) + 1) * 60_000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [(t, i) for t, i in self.waiting.get()] if self.waiting.exists() else []
@@ -102,16 +104,24 @@ class Replay(StatefulProcessor):
         if due:
             carry = [v for (v,) in self.carry.get()] if self.carry.exists() else []
             out, carry, until = self.rule(due, carry)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            self.carry.put([(v,) for v in carry])
-            self.until.update((until,))
-            self.handle.registerTimer(-(-until // 1000) + 1)
+            if rest:
+                self.waiting.put(rest)
+                self._wake(min(rest)[0])
+            else:
+                self.waiting.clear()
+            if until < now:
+                self.carry.clear()
+                self.until.clear()
+            else:
+                self.carry.put([(v,) for v in carry])
+                self.until.update((until,))
+                self.handle.registerTimer(-(-until // 1000) + 1)
             if out:
                 told = pd.DataFrame(out, columns=self.columns)
                 told.insert(0, "key_", key[0])
                 told["t_"] = pd.to_datetime(told["t_"], unit="us")
                 yield told
-        if self.until.exists() and self.until.get()[0] < now:
+        elif self.until.exists() and self.until.get()[0] < now:
             self.carry.clear()
             self.until.clear()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import forms, location
+from ..operators.joins import grown, match
 from ..sources import pages
 from ..sources.catalogue import products, sql, stores, table
 
@@ -65,7 +66,10 @@ def size_sources(spark, sf_dir):
     """The size to show and where it comes from: quantity field, weight, title, pieces."""
     field = F.expr("CASE pid % 6 WHEN 0 THEN '2 x 75 cl' WHEN 1 THEN 'one bag' END")
     title = F.concat("title", F.expr("IF(pid % 8 = 5, ' 24 pcs', '')"))
-    return products(spark, sf_dir).select("pid", forms.best_size(field, title).alias("s")).select("pid", "s.shown", "s.source")
+    rows = products(spark, sf_dir).select("pid", field.alias("field"), title.alias("said"))
+    # reading sizes costs far more than a join, so each field and title is read once
+    read = rows.select("field", "said").distinct().withColumn("s", forms.best_size(F.col("field"), F.col("said")))
+    return match(rows, grown(read), ["field", "said"], "left").select("pid", "s.shown", "s.source")
 
 
 _SIZES = sql("product", """SELECT pid, CASE WHEN pid % 6 = 0 THEN '2 x 75 cl' ELSE ['6 x 1.5 l', '500 g', '1 kg', '0.33 l', '4 x 100 g', '24 pcs', '2 x 250 ml', '1 kg'][(pid % 8)::INT + 1] END AS shown,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
 from ..sources.shared import stage
+from .joins import grown, match
 from .rank import first_rows
 
 #: Kilometres that a degree has at least, in either direction, below 63 degrees of latitude.
@@ -77,35 +78,38 @@ def nearest(points: DataFrame, stores: DataFrame, same: list[str], most: int) ->
 
     Points meet the stores of their own and the neighbouring cells of their block's grid, by equality.  What lies beyond
     those is at least a cell away, along the latitude or to the meridian: a point that has enough stores within that is
-    done; the others go on with cells eight times as wide.
+    done; the others go on with cells eight times as wide.  Points of one place ask once, and of stores at one place only the
+    first ``most`` can be an answer, so crowded places cost no more than others.
     """
-    columns = [*points.columns, *(c for c in stores.columns if c not in points.columns)]
-    by_km, placed = [F.col("km").asc_nulls_last(), "sid"], stores.where("lat IS NOT NULL AND lng IS NOT NULL")
+    keys, told = [*same, "lat0", "lng0"], [c for c in stores.columns if c not in points.columns]
+    by_km = [F.col("km").asc_nulls_last(), "sid"]
+    placed = first_rows(stores.where("lat IS NOT NULL AND lng IS NOT NULL"), [*same, "lat", "lng"], ["sid"], most, "r_").drop("r_")
+    spots = stage(points.select(*keys).distinct(), "near-spots")
     steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
     sizes = stage(first_cells(placed, same, most), "near-cells")
-    left, placed, found = points.where("lat0 IS NOT NULL AND lng0 IS NOT NULL").join(sizes, same), placed.join(sizes, same), []
+    left, placed, found = spots.where("lat0 IS NOT NULL AND lng0 IS NOT NULL").join(sizes, same), stage(placed.join(sizes, same), "near-stores"), []
     while True:
         around = left.select("*", *_cells("lat0", "lng0")).withColumn("d", F.explode(steps))
         around = around.withColumns({"cy": F.col("cy") + F.col("d.y"), "cx": F.col("cx") + F.col("d.x")}).drop("d")
-        hits = around.join(placed.select("*", *_cells("lat", "lng")).drop("size_"), [*same, "cy", "cx"])
+        hits = around.join(grown(placed.select("*", *_cells("lat", "lng")).drop("size_")), [*same, "cy", "cx"])
         km = F.round(haversine_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")), 6)
-        top = stage(first_rows(hits.select(*columns, "size_", km.alias("km")), ["point"], by_km, most, "place"), "near")
+        top = stage(first_rows(hits.select(*keys, *told, "size_", km.alias("km")), keys, by_km, most, "place"), "near")
         last = F.col("size_") >= 360
         reach = EARTH_KM * F.asin(F.sin(F.radians(F.least("size_", F.lit(90.0)))) * F.cos(F.radians("lat0"))) - 1e-5
-        sure = top.groupBy("point").agg(F.count_if(last | (F.col("km") <= reach)).alias("n"), F.bool_or(last).alias("last_")).where(F.col("last_") | (F.col("n") >= most))
-        found.append(top.join(sure, "point", "left_semi").drop("size_"))
-        left = stage(left.join(sure, "point", "left_anti").where(~last), "left")
+        sure = top.groupBy(*keys).agg(F.count_if(last | (F.col("km") <= reach)).alias("n"), F.bool_or(last).alias("last_")).where(F.col("last_") | (F.col("n") >= most)).select(*keys)
+        found.append(top.join(sure, keys, "left_semi").drop("size_"))
+        left = stage(left.join(sure, keys, "left_anti").where(~last), "left")
         if left.isEmpty():
             break
         wider = F.least(8 * F.col("size_"), F.lit(360.0))
         left, placed = left.withColumn("size_", wider), placed.withColumn("size_", wider)
     near = functools.reduce(DataFrame.unionByName, found)
     # whoever has too few gets the first stores of the block that no distance is known to
-    full = near.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
-    short = points.join(full, "point", "left_anti")
+    full = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select(*keys)
+    short = spots.join(full, keys, "left_anti")
     unplaced = first_rows(stores.where("lat IS NULL OR lng IS NULL"), same, ["sid"], most, "r_").drop("r_")
     blind = first_rows(stores, same, ["sid"], most, "r_").drop("r_")
     nowhere = "lat0 IS NULL OR lng0 IS NULL"
     rest = short.where(f"NOT ({nowhere})").join(unplaced, same).unionByName(short.where(nowhere).join(blind, same))
-    every = near.drop("place").unionByName(rest.select(*columns, F.lit(None).cast("double").alias("km")))
-    return first_rows(every, ["point"], by_km, most, "place")
+    every = near.drop("place").unionByName(rest.select(*keys, *told, F.lit(None).cast("double").alias("km")))
+    return match(points, grown(first_rows(every, keys, by_km, most, "place")), keys).select(*points.columns, *told, "km", "place")

@@ -42,24 +42,46 @@ def within(rows: DataFrame, known: DataFrame, same: list[str], km: float) -> Dat
     around = around.select(*same, "rid", "lat", "lng", (F.floor(F.col("lat") / size) + F.col("d.y")).alias("cy"), (F.floor(F.col("lng") / size) + F.col("d.x")).alias("cx"))
     placed = known.where("la IS NOT NULL AND na IS NOT NULL").select(*same, "sid", "la", "na", F.floor(F.col("la") / size).alias("cy"), F.floor(F.col("na") / size).alias("cx"))
     distance = haversine_km(F.col("lat"), F.col("lng"), F.col("la"), F.col("na"))
-    return around.join(placed, [*same, "cy", "cx"]).select("rid", "sid", distance.alias("km")).where(F.col("km") <= km)
+    return around.join(grown(placed), [*same, "cy", "cx"]).select(*same, "rid", "sid", distance.alias("km")).where(F.col("km") <= km)
+
+
+def _only(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, sid) of the groups that have exactly one ``sid``; told from the least and the greatest, not from a set."""
+    return rows.groupBy(*group).agg(F.min("sid").alias("sid"), F.max("sid").alias("most_")).where("sid = most_").drop("most_")
+
+
+def alone_within(rows: DataFrame, known: DataFrame, same: list[str], km: float) -> DataFrame:
+    """(rid, sid) of rows (rid, lat, lng) with exactly one ``sid`` of ``known`` (sid, lat, lng) within ``km`` that agrees in ``same``.
+
+    Places meet, not rows: equal places of rows are one, and those of known stores are one with its least and greatest
+    ``sid``.  Two stores in a cell whose diagonal is shorter than ``km`` are more than one for all that lies in it.
+    """
+    tight = km / 160.0
+    keys, cell = [*same, "lat", "lng"], [F.floor(F.col("lat") / tight).alias("ty"), F.floor(F.col("lng") / tight).alias("tx")]
+    seats = known.where("lat IS NOT NULL AND lng IS NOT NULL AND sid IS NOT NULL").groupBy(*keys).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    crowded = seats.select(*same, *cell, "lo", "hi").groupBy(*same, "ty", "tx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").drop("lo", "hi")
+    spots = rows.where("lat IS NOT NULL AND lng IS NOT NULL").select(*keys).distinct()
+    spots = spots.select("*", *cell).join(grown(crowded), [*same, "ty", "tx"], "left_anti").drop("ty", "tx").withColumn("rid", F.struct("lat", "lng"))
+    near = within(spots, seats.select(*same, F.struct("lo", "hi").alias("sid"), F.col("lat").alias("la"), F.col("lng").alias("na")), same, km)
+    one = near.groupBy(*same, "rid").agg(F.min("sid.lo").alias("sid"), F.max("sid.hi").alias("most_")).where("sid = most_")
+    return rows.select("rid", *keys).join(grown(one.select(*same, "rid.lat", "rid.lng", "sid")), keys).select("rid", "sid")
 
 
 def resolve_stores(rows: DataFrame, known: DataFrame, km: float) -> DataFrame:
     """Rows (rid, phone, chain, city, lat, lng) against known stores by the first level that has exactly one hit.
 
-    Distances meet in grid cells; for the last level only chains with one store in a city are joined.
+    Distances meet in grid cells, by places; for the last level only chains with one store in a city are joined.
     """
-    phones = known.where("phone IS NOT NULL").groupBy("phone").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1")
-    near = within(rows, known.select("chain", "city", "sid", F.col("lat").alias("la"), F.col("lng").alias("na")), ["chain", "city"], km)
-    alone = known.groupBy("chain", "city").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1")
+    phones = _only(known.where("phone IS NOT NULL"), ["phone"])
+    alone = _only(known, ["chain", "city"])
+    near = alone_within(rows, known, ["chain", "city"], km).groupBy("rid").agg(F.min("sid").alias("sid"), F.max("sid").alias("most_")).where("sid = most_")
     levels = [
-        rows.join(phones, "phone").select("rid", "sid", F.lit(1).alias("level")),
-        near.groupBy("rid").agg(F.count_distinct("sid").alias("n"), F.min("sid").alias("sid")).where("n = 1").select("rid", "sid", F.lit(2).alias("level")),
-        rows.join(alone, ["chain", "city"]).select("rid", "sid", F.lit(3).alias("level")),
+        rows.join(grown(phones), "phone").select("rid", "sid", F.lit(1).alias("level")),
+        near.select("rid", "sid", F.lit(2).alias("level")),
+        rows.join(grown(alone), ["chain", "city"]).select("rid", "sid", F.lit(3).alias("level")),
     ]
     first = functools.reduce(DataFrame.unionByName, levels).groupBy("rid").agg(F.min_by(F.struct("sid", "level"), "level").alias("b"))
-    return rows.select("rid").join(first, "rid", "left").select("rid", "b.sid", "b.level")
+    return rows.select("rid").join(grown(first), "rid", "left").select("rid", "b.sid", "b.level")
 
 
 def _cells(lat: str, lng: str) -> list:

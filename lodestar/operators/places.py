@@ -14,17 +14,31 @@ from .rank import first_rows
 
 #: Kilometres that a degree has at least, in either direction, below 63 degrees of latitude.
 KM_A_DEGREE = 50.0
+#: Kilometres that a degree of latitude has at least.
+KM_A_LATITUDE = 111.0
+#: Stores of a cell that meet its neighbours in one part.
+PART = 500
 
 
 def near_pairs(stores: DataFrame, km: float, same: list[str]) -> DataFrame:
-    """(a, b, km) of stores within ``km`` that agree in ``same``: cells of a grid joined to their neighbours by equality."""
-    size = km / KM_A_DEGREE
-    cell = F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lng") / size).alias("cx")
+    """(a, b, km) of stores within ``km`` that agree in ``same``: cells of a grid joined to their neighbours by equality.
+
+    Of two neighbours one meets the other, and a cell of many stores is dealt out in parts of about ``PART``, so a task
+    holds a bounded share of a cell however many stores lie in one; the pairs themselves grow with its square.
+    """
+    high, wide = km / KM_A_LATITUDE, km / KM_A_DEGREE
+    cell = F.floor(F.col("lat") / high).alias("cy"), F.floor(F.col("lng") / wide).alias("cx")
     placed = stores.where("lat IS NOT NULL AND lng IS NOT NULL").select(*same, "sid", "lat", "lng", *cell)
-    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
-    spread = placed.withColumn("d", F.explode(steps)).select(*same, F.col("sid").alias("a"), F.col("lat").alias("la"), F.col("lng").alias("na"), (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("cx") + F.col("d.x")).alias("cx"))
-    pairs = spread.join(placed.withColumnRenamed("sid", "b"), [*same, "cy", "cx"]).where("a < b")
-    return pairs.withColumn("km", haversine_km(F.col("la"), F.col("na"), F.col("lat"), F.col("lng"))).where(F.col("km") <= km).select("a", "b", "km")
+    parts = placed.groupBy(*same, "cy", "cx").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    spread = placed.withColumn("d", F.explode(steps)).select(*same, F.col("sid").alias("a"), F.col("lat").alias("la"), F.col("lng").alias("na"), ((F.col("d.y") == 0) & (F.col("d.x") == 0)).alias("own"), (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("cx") + F.col("d.x")).alias("cx"))
+    spread = spread.join(parts, [*same, "cy", "cx"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = placed.withColumnRenamed("sid", "b").join(parts, [*same, "cy", "cx"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    # few bytes make many pairs, so the number of tasks goes by the parts and not by the bytes
+    tasks, keys = min(max(parts.agg(F.sum("parts")).first()[0] or 1, 16), 2000), [*same, "cy", "cx", "part"]
+    pairs = spread.repartition(tasks, *keys).join(grown(dealt.repartition(tasks, *keys)), keys).where("IF(own, a < b, a <> b)")
+    near = pairs.where(F.abs(F.col("la") - F.col("lat")) <= high).withColumn("km", haversine_km(F.col("la"), F.col("na"), F.col("lat"), F.col("lng"))).where(F.col("km") <= km)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "km")
 
 
 def label_vote(rows: DataFrame, group: str, label: str) -> DataFrame:

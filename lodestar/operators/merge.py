@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import is_valid
+from .joins import grown
 
 
 def upsert(base: DataFrame, incoming: DataFrame, reference: str = "EUR") -> DataFrame:
@@ -57,14 +58,14 @@ def full_upsert(base: DataFrame, incoming: DataFrame, order: str, reference: str
     """
     fields = [*VOLATILE, *FROZEN]
     first = incoming.where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(*fields, order), order).alias("i"))
-    both = base.select("id", F.struct(*fields).alias("b")).join(first, "id", "full")
     ok = F.coalesce(F.col("i.currency") == reference, F.lit(True))
-    fresh = both.where(F.col("b").isNull() & ok & F.col("i.match_key").isNotNull())
+    # the rows of both sides are dealt out by id once; only ids and keys of new rows move again
+    fresh = first.where(ok & F.col("i.match_key").isNotNull()).join(grown(base.select("id")), "id", "left_anti")
     taken = base.select("match_key").where("match_key IS NOT NULL").distinct()
     # among new rows of one key the first comes in
     leads = fresh.groupBy(F.col("i.match_key").alias("match_key")).agg(F.min(F.struct(F.col(f"i.{order}").alias("o"), "id")).alias("l"))
-    free = leads.join(taken, "match_key", "left_anti").select(F.col("l.id").alias("id"), F.lit(True).alias("lead"))
-    both = both.join(free, "id", "left")
+    free = leads.join(grown(taken), "match_key", "left_anti").select(F.col("l.id").alias("id"), F.lit(True).alias("lead"))
+    both = base.select("id", F.struct(*fields).alias("b")).join(grown(first.join(grown(free), "id", "left")), "id", "full")
     news = lambda f: F.col(f"i.{f}").isNotNull() & (F.col(f"i.{f}").cast("string") != "")
     moved = {f: news(f) & ~F.col(f"i.{f}").eqNullSafe(F.col(f"b.{f}")) for f in VOLATILE}
     gained = (F.coalesce("b.barcode", F.lit("")) == "") & F.coalesce(is_valid(F.col("i.barcode")), F.lit(False))

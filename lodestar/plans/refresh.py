@@ -59,14 +59,16 @@ _SHADOW = sql("product offer", """+r AS (SELECT source, name, CASE WHEN pid % 4
 
 def _states(spark, sf_dir):
     """Base: the last early price of each (product, source); incoming: the last late one, some in another currency."""
-    rows = offers(spark, sf_dir).select(
-        F.concat_ws(":", "source", "pid").alias("id"), F.when(F.col("pid") % 3 == 0, F.concat(F.lit("gtin:"), F.col("pid").cast("string"))).alias("match_key"), "price",
-        F.when(F.col("pid") % 11 == 0, "XXX").when(F.col("pid") % 7 != 0, "EUR").alias("currency"), F.col("source").cast("string").alias("name"), "at", "oid",
-    )
+    rows = offers(spark, sf_dir).select(F.concat_ws(":", "source", "pid").alias("id"), "source", "pid", "price", "at", "oid")
     late = F.col("at") >= F.lit("2000-01-01").cast("timestamp")
-    pick = lambda df: dedupe.keep_first(df.withColumn("o", F.struct((-F.unix_seconds("at")).alias("t"), "oid")), ["id"], ["o"]).drop("o", "at", "oid")
-    base = pick(rows.where(~late)).withColumn("currency", F.lit("EUR"))
-    return base, pick(rows.where(late))
+    # what follows from source and product is added after the shuffle, and rows stay dealt out by id
+    best = F.min_by(F.struct("source", "pid", "price"), F.struct(-F.unix_seconds("at"), "oid")).alias("r")
+    shown = [
+        "id", F.when(F.col("r.pid") % 3 == 0, F.concat(F.lit("gtin:"), F.col("r.pid").cast("string"))).alias("match_key"), F.col("r.price").alias("price"),
+        F.when(F.col("r.pid") % 11 == 0, "XXX").when(F.col("r.pid") % 7 != 0, "EUR").alias("currency"), F.col("r.source").cast("string").alias("name"),
+    ]
+    pick = lambda df: df.groupBy("id").agg(best).select(*shown)
+    return pick(rows.where(~late)).withColumn("currency", F.lit("EUR")), pick(rows.where(late))
 
 
 _STATE = """r AS (SELECT source || ':' || pid AS id, CASE WHEN pid % 3 = 0 THEN 'gtin:' || pid END AS match_key, price,

@@ -10,7 +10,8 @@ Which record a later one meets depends on what became of the earlier ones.  They
 decided once nothing undecided that comes before it can change the answer, which is told from the least
 undecided number of its address, of its name, and of the map cells around it, and of the record that it would go into.
 Within a tile of the map a task decides one record after the other, so a row of neighbours costs no round each; only
-what lies at a tile's edge waits for the next tile.  Tiles are as large as ``TILE`` records allow, and a
+what lies at a tile's edge waits for the next tile.  A kept record of the public map that nothing undecided elsewhere can
+change moves within the walk, too.  No table that grows is broadcast.  Tiles are as large as ``TILE`` records allow, and a
 task takes no more than that many undecided records of a tile in a round, the earliest ones.
 
 Defined results: null or empty addresses and names match nothing; null chains are one chain; records without a place are
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shared import discard, stage
+from .joins import grown
 from .rank import first_rows
 
 #: Metres within which two stores of a chain are one (fixed value).
@@ -80,7 +82,7 @@ def _tiles(rows: DataFrame, most: int) -> DataFrame:
     for level in LEVELS[:-1]:
         name = F.concat_ws(":", F.lit(level), F.shiftright("cy", level), F.shiftright("cx", level))
         sizes = rows.withColumn("k_", name).groupBy("ck", "k_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") <= most).withColumnRenamed("k_", f"k{level}").drop("n_").withColumn(f"is{level}", F.lit(True))
-        rows = rows.withColumn(f"k{level}", name).join(sizes, ["ck", f"k{level}"], "left")
+        rows = rows.withColumn(f"k{level}", name).join(grown(sizes), ["ck", f"k{level}"], "left")
     last = LEVELS[-1]
     chosen = F.coalesce(*(F.when(F.col(f"is{v}"), F.col(f"k{v}")) for v in LEVELS[:-1]), F.concat_ws(":", F.lit(last), F.shiftright("cy", last), F.shiftright("cx", last)))
     return rows.withColumn("tile", chosen).drop(*(f"{p}{v}" for v in LEVELS[:-1] for p in ("k", "is")))
@@ -106,7 +108,7 @@ def _walker(radius: float):
         for r in rows:
             if r["owner"] is not None:
                 place = (r["lat"], r["lng"])
-                sites[cell(place)].append((r["owner"], r["since"], r["until"], place, r["settled"], r["pending"]))
+                sites[cell(place)].append([r["owner"], r["since"], r["until"], place, r["settled"], r["pending"]])
         for r in sorted((r for r in rows if r["owner"] is None), key=lambda r: r["t"]):
             t, place, into, settled = r["t"], (r["lat"], r["lng"]), None, True
             late = r["a"] == "wait" or (r["outside"] is not None and r["outside"] < t) or any(metres(p, place) <= 2 * radius for p in _around(waiting, place, 2 * radius, size))
@@ -115,8 +117,13 @@ def _walker(radius: float):
             elif not late:
                 near = [x for x in _around(sites, place, radius, size) if x[1] < t and (x[2] is None or t <= x[2]) and metres(x[3], place) <= radius]
                 if near:
-                    into, _, _, _, settled, pending = min(near, key=lambda x: x[0])
+                    site = min(near, key=lambda x: x[0])
+                    into, _, _, _, settled, pending = site
                     late = not settled and pending is not None and pending < t
+                    if not late and not settled and not r["map"]:
+                        # nothing before it can change the kept record of the public map, which goes to its place now
+                        site[2], settled = t, True
+                        sites[cell(place)].append([into, t, None, place, True, None])
                 elif r["c"] == "hit":
                     into, settled = r["c_into"], r["c_settled"]
                 else:
@@ -127,7 +134,7 @@ def _walker(radius: float):
                 # where a record changes the place of another, the next round tells where that is
                 waiting[cell(place)].append(place)
             elif into is None:
-                sites[cell(place)].append((t, t, None, place, not r["map"], t))
+                sites[cell(place)].append([t, t, None, place, not r["map"], min((x for x in (r["mate"], r["outside"]) if x is not None), default=None)])
         return pa.table({"t": pa.array([o[0] for o in out], pa.int64()), "into": pa.array([o[1] for o in out], pa.int64())})
 
     return walk
@@ -140,11 +147,11 @@ def _first(name: str, by: Column | None = None) -> Column:
 
 def owners(records: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is known of kept records: (owner, ck, ak, nk, settled, placed_at), and their places over time (owner, ck, lat, lng, since, until, settled)."""
-    known = records.join(decided, "t").withColumn("owner", F.coalesce("into", "t"))
+    known = records.join(grown(decided), "t").withColumn("owner", F.coalesce("into", "t"))
     own = known.where("into IS NULL").select("owner", "ck", "ak", "nk", F.col("map").alias("o_map"), F.col("placed").alias("o_placed"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
     place = F.struct("t", "lat", "lng", "placed")
     merged = known.where("into IS NOT NULL").groupBy("owner").agg(F.min(F.when(F.col("placed"), place)).alias("gain"), F.min(F.when(~F.col("map"), place)).alias("other"))
-    rows = own.join(merged, "owner", "left")
+    rows = own.join(grown(merged), "owner", "left")
     promoted = F.col("o_map") & F.col("other").isNotNull()
     site = lambda ok, since, lat, lng: F.when(ok, F.struct(since.alias("since"), lat.alias("lat"), lng.alias("lng")))
     moved = promoted & F.col("other.placed")
@@ -165,35 +172,41 @@ def _round(records: DataFrame, undecided: DataFrame, decided: DataFrame, tile: i
     told, sites = owners(records, decided)
     size = _side(radius)
     told = stage(told, "upsert-owners")
-    word = lambda rows, t, name: rows.select(F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("ak").alias("k")), F.struct(F.lit("n").alias("kind"), F.col("nk").alias("k")))).alias("x"), F.col(t).alias(name)).where("x.k IS NOT NULL")
-    states = word(undecided, "t", "u").unionByName(word(told, "owner", "o"), allowMissingColumns=True).groupBy("x").agg(F.min("u").alias("u"), F.min("o").alias("o"))
-    states = stage(states.select("x.kind", "x.k", "u", "o"), "upsert-states")
+    word = lambda rows, t, name: rows.select(F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("ak").alias("k")), F.struct(F.lit("n").alias("kind"), F.col("nk").alias("k")))).alias("x"), F.col(t).alias(name), *(F.col(c) for c in rows.columns if c == "placed")).where("x.k IS NOT NULL")
+    unplaced = F.min(F.when(~F.col("placed"), F.col("u"))).alias("l")
+    states = word(undecided, "t", "u").unionByName(word(told, "owner", "o"), allowMissingColumns=True).groupBy("x").agg(F.min("u").alias("u"), unplaced, F.count("u").alias("n"), F.min("o").alias("o"))
+    states = stage(states.select("x.kind", "x.k", "u", "l", "n", "o"), "upsert-states")
     # the least undecided number of the cells around an unsettled record's places, of its address and of its name
     cells = undecided.where("placed").groupBy("ck", "cy", "cx", "tile").agg(F.min("t").alias("u"))
     cells = stage(cells, "upsert-cells")
     open_ = told.where("NOT settled")
-    of = lambda kind, key, rows: rows.join(states.where(F.col("kind") == kind).select(F.col("k").alias(key), F.col("u").alias(f"u_{kind}"), F.col("o").alias(f"o_{kind}")), key, "left")
-    near = _cells(sites.where("NOT settled"), 0.5, size).join(cells, ["ck", "cy", "cx"]).groupBy("owner").agg(F.min("u").alias("u_near"))
-    pending = of("n", "nk", of("a", "ak", open_)).join(near, "owner", "left").select("owner", F.least("u_a", "u_n", "u_near").alias("pending"))
-    told = stage(told.join(pending, "owner", "left").select("owner", "settled", "placed_at", "pending"), "upsert-pending")
+    of = lambda kind, key, rows: rows.join(grown(states.where(F.col("kind") == kind).select(F.col("k").alias(key), *(F.col(c).alias(f"{c}_{kind}") for c in "ulno"))), key, "left")
+    near = _cells(sites.where("NOT settled"), 0.5, size).join(grown(cells), ["ck", "cy", "cx"]).groupBy("owner").agg(F.min("u").alias("u_near"))
+    # a placed record never goes into a placed one by its name
+    named = F.when(F.col("placed_at").isNotNull(), F.col("l_n")).otherwise(F.col("u_n"))
+    pending = of("n", "nk", of("a", "ak", open_)).join(grown(near), "owner", "left").select("owner", F.least("u_a", named, "u_near").alias("pending"))
+    told = stage(told.join(grown(pending), "owner", "left").select("owner", "settled", "placed_at", "pending"), "upsert-pending")
     asked = of("n", "nk", of("a", "ak", undecided))
     for kind in "an":
-        asked = asked.join(told.select(F.col("owner").alias(f"o_{kind}"), *(F.col(c).alias(f"{c}_{kind}") for c in ("settled", "placed_at", "pending"))), f"o_{kind}", "left")
+        asked = asked.join(grown(told.select(F.col("owner").alias(f"o_{kind}"), *(F.col(c).alias(f"{c}_{kind}") for c in ("settled", "placed_at", "pending")))), f"o_{kind}", "left")
     first = lambda k: F.coalesce((F.col(f"o_{k}") < F.col("t")) & (F.col(f"u_{k}").isNull() | (F.col(f"u_{k}") > F.col(f"o_{k}"))), F.lit(False))
     before = lambda k: F.coalesce(F.col(f"u_{k}") < F.col("t"), F.lit(False))
     unsure = lambda k: ~F.col(f"settled_{k}") & F.coalesce(F.col(f"pending_{k}") < F.col("t"), F.lit(False))
     asked = asked.withColumns({
         "a": F.when(first("a"), F.when(unsure("a"), "wait").otherwise("hit")).when(before("a"), "wait").otherwise("none"),
-        "c": F.when(first("n"), F.when(unsure("n"), "wait").when(F.col("placed") & F.coalesce(F.col("placed_at_n") < F.col("t"), F.lit(False)), "new").otherwise("hit")).when(before("n"), "wait").otherwise("new"),
+        "c": F.when(first("n"), F.when(F.col("placed") & F.coalesce(F.col("placed_at_n") < F.col("t"), F.lit(False)), "new").when(unsure("n"), "wait").otherwise("hit")).when(before("n"), "wait").otherwise("new"),
     })
-    asked = asked.select("t", "ck", "cy", "cx", "tile", "lat", "lng", "map", "placed", "a", F.col("o_a").alias("a_into"), F.col("settled_a").alias("a_settled"), "c", F.col("o_n").alias("c_into"), F.col("settled_n").alias("c_settled"))
+    # the least undecided number that may change the record by address or name, were it kept; its own where that is not known
+    mate = F.least(F.when(F.col("n_a") > 1, F.col("t")), F.greatest("t", "l_n"))
+    mate = F.when(F.col("l_n").isNull(), F.when(F.col("n_a") > 1, F.col("t"))).otherwise(mate).alias("mate")
+    asked = asked.select(mate, "t", "ck", "cy", "cx", "tile", "lat", "lng", "map", "placed", "a", F.col("o_a").alias("a_into"), F.col("settled_a").alias("a_settled"), "c", F.col("o_n").alias("c_into"), F.col("settled_n").alias("c_settled"))
     loose = asked.where("NOT placed AND (a = 'hit' OR (a = 'none' AND c <> 'wait'))")
     loose = loose.select("t", F.when(F.col("a") == "hit", F.col("a_into")).when(F.col("c") == "hit", F.col("c_into")).alias("into"))
     here = first_rows(asked.where("placed"), ["ck", "tile"], ["t"], tile, "n_").drop("n_")
-    edge = _cells(here.select("t", "ck", "lat", "lng", F.col("tile").alias("own")), 1, size).join(cells, ["ck", "cy", "cx"]).where("tile <> own").groupBy("t").agg(F.min("u").alias("outside"))
-    seen = _cells(sites.join(told.select("owner", "pending"), "owner"), 0.5, size).join(cells.select("ck", "cy", "cx", "tile"), ["ck", "cy", "cx"])
+    edge = _cells(here.select("t", "ck", "lat", "lng", F.col("tile").alias("own")), 1, size).join(grown(cells), ["ck", "cy", "cx"]).where("tile <> own").groupBy("t").agg(F.min("u").alias("outside"))
+    seen = _cells(sites.join(grown(told.select("owner", "pending")), "owner"), 0.5, size).join(grown(cells.select("ck", "cy", "cx", "tile")), ["ck", "cy", "cx"])
     seen = seen.select("ck", "tile", "owner", "lat", "lng", "settled", "since", "until", "pending").distinct()
-    both = here.join(edge, "t", "left").drop("cy", "cx", "placed").unionByName(seen, allowMissingColumns=True)
+    both = here.join(grown(edge), "t", "left").drop("cy", "cx", "placed").unionByName(seen, allowMissingColumns=True)
     return both.groupBy("ck", "tile").applyInArrow(_walker(radius), "t bigint, into bigint").unionByName(loose)
 
 
@@ -206,7 +219,7 @@ def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TIL
     size = F.lit(_side(radius))
     celled = records.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lng") / size)})
     placed = _tiles(celled.where("placed").select("t", "ck", "cy", "cx"), tile).select("t", "tile")
-    records = stage(celled.join(placed, "t", "left"), "upsert-records")
+    records = stage(celled.join(grown(placed), "t", "left"), "upsert-records")
     none = F.lit(None).cast("bigint").alias("into")
     decided = stage(records.where("t < 0").select("t", none), "upsert-decided")
     undecided, rounds = records.where("t >= 0"), 0
@@ -215,13 +228,13 @@ def upsert(on_file: DataFrame, fresh: DataFrame, public: Column, tile: int = TIL
         after = stage(decided.unionByName(_round(records, undecided, decided, tile, radius)), "upsert-decided")
         discard(decided)
         decided = after
-        undecided = stage(records.where("t >= 0").join(decided, "t", "left_anti"), "upsert-open")
-    known = records.join(decided, "t").withColumn("owner", F.coalesce("into", "t"))
+        undecided = stage(records.where("t >= 0").join(grown(decided), "t", "left_anti"), "upsert-open")
+    known = records.join(grown(decided), "t").withColumn("owner", F.coalesce("into", "t"))
     other = known.where("into IS NOT NULL").groupBy("owner").agg(
         F.count(F.lit(1)).alias("n_merged"), F.min_by(F.struct(*FIELDS), F.when(~F.col("map"), F.col("t"))).alias("new"), *(_first(c).alias(f"gap_{c}") for c in ("city", "address", "hours", "phone")),
         F.min_by(F.struct("lat", "lng"), F.when(F.col("placed"), F.col("t"))).alias("gap"),
     )
-    rows = known.where("into IS NULL").join(other, "owner", "left").withColumn("new", F.when(F.col("map"), F.col("new")))
+    rows = known.where("into IS NULL").join(grown(other), "owner", "left").withColumn("new", F.when(F.col("map"), F.col("new")))
     own_place, new_place = F.when(F.col("placed"), F.struct("lat", "lng")), F.when(F.col("new.lat").isNotNull() & F.col("new.lng").isNotNull(), F.struct("new.lat", "new.lng"))
     place = F.coalesce(new_place, own_place, F.col("gap"), F.struct("lat", "lng"))
     source = F.when(F.col("new").isNotNull(), F.col("new.source")).otherwise(F.col("source")).alias("source")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import branches
 from ..operators import store_upsert as su
+from ..operators.joins import grown
 from ..sources.catalogue import sql, stores
 
 #: Every third store is on file; the others come in.  Stores lie in a few places, some with an address, a third of them from the public map.
@@ -23,7 +24,7 @@ def store_upsert(spark, sf_dir):
     kept, decided, _ = su.upsert(on_file, fresh, F.col("source") == "map")
     number = lambda c: F.when(F.col(c) < 0, F.col(c) + F.lit(1 << 60)).otherwise(F.col(c))
     told = decided.select(F.col("t").alias("sid"), F.coalesce("into", "t").alias("t"))
-    return told.join(kept, "t").select("sid", number("t").alias("kept_as"), "chain", "name", "city", "address", "hours", "phone", "source", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"), "n_merged")
+    return told.join(grown(kept), "t").select("sid", number("t").alias("kept_as"), "chain", "name", "city", "address", "hours", "phone", "source", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"), "n_merged")
 
 
 def _split(columns: str) -> list[str]:

@@ -88,3 +88,16 @@ def test_many_at_one_place_and_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     stores, decided, rounds = su.upsert(none, none, MAP())
     assert (stores.count(), decided.count(), rounds) == (0, 0, 0)
+
+
+def test_records_of_the_public_map_cost_no_round_each(spark):
+    # a line of small clusters of one name, each led by a record of the map that the next one takes over and moves
+    line = [(i, "c", "Market", None, None, 42.0, 20.0 + (i // 4) * 0.003 + (i % 4) * 0.0004, None, None, "map" if i % 4 == 0 else "own") for i in range(240)]
+    line.append((240, "c", "Market", None, None, None, None, None, None, "own"))
+    assert check(spark, [], line) < 8
+
+
+def test_rounds_broadcast_nothing(spark):
+    rows = spark.createDataFrame([(i, "c", "n", "x", f"r{i % 3}", 42.0 + i, 21.0, None, None, "own") for i in range(9)], SCHEMA)
+    stores, _, _ = su.upsert(rows.limit(0), rows, MAP())
+    assert "Broadcast" not in stores._jdf.queryExecution().executedPlan().toString()

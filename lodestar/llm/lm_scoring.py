@@ -26,11 +26,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_batches
-from .ngrams import Grams, WordHashes
+from .ngrams import Grams, TableHashes
 
 BACKOFF = 0.4
 BLOCK_WORDS = 2_000_000
@@ -77,7 +77,7 @@ def _texts(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, Grams]:
         copies[key] = copies.get(key, 0) + n
         if text is not None:
             texts[key] = text
-    keys, words, expand = sorted(texts), WordHashes(), zstandard.ZstdDecompressor().decompress
+    keys, words, expand = sorted(texts), TableHashes(), zstandard.ZstdDecompressor().decompress
     hashes = [words.of(expand(texts.pop(k)).decode("utf-8", "surrogatepass")) for k in keys]
     sizes, joined = np.array([len(h) for h in hashes], np.int64), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     del hashes, words
@@ -148,13 +148,20 @@ def _score(words: int):
     return run
 
 
+def n_words() -> Column:
+    """Words of the column ``text``, which is not null."""
+    # an empty part comes before white space at the start and after white space at the end, and nowhere else
+    blank = F.lit(" \t\n\v\f\r")
+    ends = F.contains(blank, F.substring("text", 1, 1)).cast("int") + F.contains(blank, F.substring("text", -1, 1)).cast("int")
+    return F.when(F.col("text") != "", F.size(F.split("text", "[\\x20\\x09-\\x0D]+")) - ends).otherwise(0)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, mean_log_score of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
-    words = F.expr(r"coalesce(size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')), 0)")
-    total = rows.agg(F.sum(words)).first()[0] or 0
+    total = rows.agg(F.sum(n_words())).first()[0] or 0
     blocks = total // BLOCK_WORDS + 1
     parts = max(LEAST_PARTITIONS, 2 * blocks)
     shards = SHARDS_A_BLOCK * blocks

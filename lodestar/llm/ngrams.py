@@ -7,6 +7,8 @@ import xxhash
 
 #: Words that a Python worker remembers the hash of; it forgets all of them at this number.
 MEMORY = 600_000
+#: Bytes of a word that have numbers of their own (fixed value).
+LONG = 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,6 +30,33 @@ class WordHashes:
         return np.array(found, np.uint64)
 
 
+class TableHashes:
+    """Other hashes of the same words, for texts of which each is read but once; no word is remembered.
+
+    Tabulation hashing: the exclusive or of a fixed random number for each byte and its place.  Words longer
+    than ``LONG`` bytes are hashed as a whole.
+    """
+
+    def __init__(self):
+        cells = (xxhash.xxh64_intdigest(bytes([at, byte])) for at in range(LONG) for byte in range(256))
+        self._cells = np.fromiter(cells, np.uint64, LONG * 256)
+        self._solid = np.array([chr(byte) not in " \t\n\v\f\r" for byte in range(256)])
+
+    def of(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+        solid = self._solid[data]
+        edges = np.flatnonzero(np.diff(np.r_[False, solid, False]))
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        found = np.bitwise_xor.reduceat(self._cells[np.minimum(place, LONG - 1) * 256 + data[solid]], first)
+        for i in np.flatnonzero(size > LONG):
+            found[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+        return found
+
+
 def bigram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A bigram's hash from its words' hashes (uint64)."""
     h = (first * _MULTIPLY ^ (first >> np.uint64(31))) + second

@@ -1,18 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Method.  Trusted documents (labelled good and not toxic) give bigram counts; counts, context totals and
-continuation counts are tables dealt out by hash, and their joins give the discounted probabilities,
-context weights and continuation probabilities of the model.  Every word of every document is scored:
-a batch of documents looks its distinct words and bigrams up in the model's tables, sorted by hash, and
-sums log-probabilities per document.  A document is kept if its perplexity is at most the threshold of
-its language: the quantile over the n trusted documents of the language that the model has not seen, drawn
-towards the quantile over those of all languages as the mean of logarithms with weights n and ``POOLED``.
-The rule is the same at every size; a language without such documents takes the quantile over all languages.
-
-Scale.  The model is fitted on a bounded sample of labelled rows (``FIT_DOCUMENTS`` texts, ``FIT_WORDS``
-words), so its tables have a bound that does not depend on the corpus, and they are broadcast.  Texts are
-scored where they lie; only one row a document is shuffled, for thresholds.  Perplexities and quantiles
-cover all documents.
+Method.  Trusted documents (labelled good and not toxic) give bigram counts, each text once; counts, context
+totals and continuation counts, dealt out by hash, give the discounted probabilities, context weights and
+continuation probabilities of the model, which score every word of every document.  A document is kept if its
+perplexity is at most the threshold of its language: the quantile over the n trusted documents of the language
+that the model has not seen, drawn towards the quantile over those of all languages as the mean of logarithms
+with weights n and ``POOLED``.  The rule is the same at every size; a language without such documents takes the
+quantile over all languages.
+
+Scale.  The model is learned from all trusted texts but those held out, and is nowhere whole (``learned``).
+Texts lie in blocks of about ``BLOCK_BYTES``, chosen by the text's hash.  A block asks each shard for its
+distinct bigrams, with its own trusted counts; the shard adds them up and answers.  What sums over bigrams a word
+needs is added up in the same way by shards of words: a bigram is counted for its words by the first block that
+has it.  Counts of counts travel with these rows.  Blocks and shards grow in number with the corpus, not in
+size; nothing is broadcast or collected.  ``train`` and ``perplexities`` are the model held in memory, for
+trusted texts few enough for that; both give the same perplexities.
 
 Defined results: a null or wordless text has null perplexity and is not kept; repeated rows are each
 scored, in the language of their row; rows that share an id are trusted together if the id is; a null id
@@ -27,14 +29,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, sample_texts, stage, text_batches
+from .common import documents, stage, text_batches
+from .lm_scoring import _once, _texts
 from .ngrams import Grams, WordHashes, bigram_hash
 
-#: Bounds of the sample that the model is fitted on: texts, and words of them all.
-FIT_DOCUMENTS, FIT_WORDS = 2000, 4_000_000
+#: Bytes of the texts of a block, and partitions of blocks at least.
+BLOCK_BYTES, LEAST_PARTITIONS = 13_000_000, 16
 #: One trusted document in so many, and always the first by hash, is left out of the model, for thresholds.
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -116,9 +121,13 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise:
 
 def log_probabilities(model: dict, g: Grams) -> np.ndarray:
     """Sum of the log-probabilities of each text's words."""
-    p = _look_up(model["word"], g.words, model["floor"])[g.at]
-    weight = _look_up(model["context"], g.words, 1.0)[g.at[g.second - 1]]
-    p[g.second] = _look_up(model["bigram"], g.bigrams, 0.0)[g.pair_at] + weight * p[g.second]
+    return _log_sums(g, _look_up(model["word"], g.words, model["floor"]), _look_up(model["context"], g.words, 1.0), _look_up(model["bigram"], g.bigrams, 0.0))
+
+
+def _log_sums(g: Grams, lower: np.ndarray, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """From continuation probabilities and context weights of the words, and shares of the bigrams."""
+    p = lower[g.at]
+    p[g.second] = share[g.pair_at] + weight[g.at[g.second - 1]] * p[g.second]
     return np.bincount(g.doc, np.log(p), len(g.sizes))
 
 
@@ -137,13 +146,178 @@ def perplexities(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, lang string, n_words bigint, perplexity double")
 
 
-def fit_sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(text) of at most ``FIT_DOCUMENTS`` texts and ``FIT_WORDS`` words of the documents ``ids``, by hash."""
-    chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_DOCUMENTS)
-    # FIT_DOCUMENTS ids at most, whatever the table holds
-    texts = sample_texts(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), FIT_DOCUMENTS)
-    sized = texts.withColumn("n_", F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))).where(F.col("n_") <= FIT_WORDS)
-    return sized.withColumn("sum_", F.sum("n_").over(Window.orderBy("h_"))).where(F.col("sum_") <= FIT_WORDS).select("text")
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed by place: the lowest bytes of all, then the next, so that small ones take little room."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _dealt(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the n-grams by shard and hash, and where in it each shard begins and ends."""
+    shard = (grams % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(grams)
+    order = order[np.argsort(shard[order], kind="stable")]
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _asks(block: int, grams: np.ndarray, counts: np.ndarray, shards: int, spectrum: list[int]) -> pa.Table:
+    """(shard, block, gram, n, spectrum), a row for every shard: n-grams in order, their counts (a line for each kind)."""
+    order, cuts = _dealt(grams, shards)
+    named = grams[order] // np.uint64(shards)
+    rows = [(s, block, _pack(np.diff(named[a:b], prepend=np.uint64(0))), _pack(counts[:, order[a:b]].ravel()), spectrum) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ASKED.types, strict=True)], _ASKED)
+
+
+def _answered(table: pa.Table, order: np.ndarray, kinds: int) -> np.ndarray:
+    """The shards' answers to ``_asks``, a line for each kind, in the order of the n-grams."""
+    out = np.zeros((kinds, len(order)), np.int64)
+    found = sorted(zip(table.column("shard").to_pylist(), table.column("n").to_pylist(), strict=True))
+    out[:, order] = np.concatenate([_unpack(n, np.int64).reshape(kinds, -1) for _, n in found], axis=1)
+    return out
+
+
+def _sums(table: pa.Table, kinds: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What blocks ask of a shard: blocks, n-grams of each, counts by n-gram and block, their order, the n-gram of each, sums."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "gram", "n")), strict=True))
+    grams = [np.cumsum(_unpack(g, np.uint64), dtype=np.uint64) for _, g, _ in rows]
+    n = np.concatenate([_unpack(x, np.int64).reshape(kinds, -1) for *_, x in rows], axis=1)
+    sizes = [len(g) for g in grams]
+    grams = np.concatenate(grams)
+    order = np.argsort(grams, kind="stable")
+    fresh = np.diff(grams[order], prepend=np.uint64(0)) > 0
+    fresh[:1] = True
+    start = np.flatnonzero(fresh)
+    return [b for b, *_ in rows], sizes, n, order, np.cumsum(fresh) - 1, np.add.reduceat(n[:, order], start, axis=1) if len(start) else n
+
+
+def _replies(blocks: list[int], sizes: list[int], found: np.ndarray, kind: str, spectrum: list[int]) -> pa.Table:
+    ends = np.cumsum(sizes)
+    rows = [(b, kind, _pack(found[:, e - k : e].ravel()), spectrum) for b, k, e in zip(blocks, sizes, ends, strict=True)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _REPLY.types, strict=True)], _REPLY)
+
+
+_ASKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("gram", pa.binary()), ("n", pa.binary()), ("spectrum", pa.list_(pa.int64()))])
+_REPLY = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("n", pa.binary()), ("spectrum", pa.list_(pa.int64()))])
+_ASKED_DDL = "shard bigint, block bigint, gram binary, n binary, spectrum array<bigint>"
+_REPLY_DDL = "block bigint, kind string, n binary, spectrum array<bigint>, shard bigint"
+
+
+def _of_counts(c: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4, and how many there are."""
+    return [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c)]
+
+
+def _ask_bigrams(shards: int):
+    """The bigrams of a block's texts, and how often its trusted texts have each."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        trusted, g = _trusted(table)
+        n = np.bincount(g.pair_at, trusted[g.doc[g.second]], len(g.bigrams)).astype(np.int64)
+        return _asks(key[0].as_py(), g.bigrams, n[None], shards, [])
+
+    return run
+
+
+def _count_bigrams(key: tuple, table: pa.Table) -> pa.Table:
+    """Twice the count of each bigram in all trusted texts, and one more in the first block whose trusted texts have it."""
+    blocks, sizes, n, order, which, total = _sums(table, 1)
+    has = np.flatnonzero(n[0, order] > 0)
+    owner = has[np.diff(which[has], prepend=-1) > 0]
+    found = 2 * total[0, which]
+    found[owner] += 1
+    out = np.zeros_like(n)
+    out[0, order] = found
+    return _replies(blocks, sizes, out, "bigram", []).append_column("shard", pa.array([key[0].as_py()] * len(blocks), pa.int64()))
+
+
+def _ask_words(shards: int, word_shards: int):
+    """The words of a block's texts, with sums over the bigrams that the block is the first to have.
+
+    As a context: sum of counts, bigrams of count 1, 2 and more; as a second word: bigrams.
+    """
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        _, g = _trusted(texts)
+        if not len(texts):
+            return _ASKED.empty_table()
+        found = _answered(replies, _dealt(g.bigrams, shards)[0], 1)[0]
+        mine = (found & 1) == 1
+        c, (v, w), words = found[mine] >> 1, np.divmod(g.pairs[mine], max(len(g.words), 1)), len(g.words)
+        tally = [np.bincount(v, c, words), *(np.bincount(v[x], minlength=words) for x in (c == 1, c == 2, c > 2)), np.bincount(w, minlength=words)]
+        return _asks(texts.column("block")[0].as_py(), g.words, np.array(tally).astype(np.int64), word_shards, _of_counts(c))
+
+    return run
+
+
+def _count_words(key: tuple, table: pa.Table) -> pa.Table:
+    """Sums over all blocks; counts of bigrams' counts (every block asks every shard), and of this shard's words' bigrams."""
+    blocks, sizes, n, order, which, total = _sums(table, 5)
+    n[:, order] = total[:, which]
+    spectrum = np.sum(np.array(table.column("spectrum").to_pylist(), np.int64), axis=0).tolist() + _of_counts(total[4][total[4] > 0])
+    return _replies(blocks, sizes, n, "word", spectrum).append_column("shard", pa.array([key[0].as_py()] * len(blocks), pa.int64()))
+
+
+def _block_perplexities(shards: int, word_shards: int):
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        keys, _, g = _texts(texts)
+        if len(keys):
+            kind = replies.column("kind").to_pylist()
+            of_words = replies.filter(pa.array([k == "word" for k in kind]))
+            count = _answered(replies.filter(pa.array([k == "bigram" for k in kind])), _dealt(g.bigrams, shards)[0], 1)[0] >> 1
+            total, *after, before = _answered(of_words, _dealt(g.words, word_shards)[0], 5)
+            spectra = np.array(of_words.column("spectrum").to_pylist(), np.int64)
+            n_types, (e1, e2, _, _, n_words) = int(spectra[0, 4]), spectra[:, 5:].sum(axis=0).tolist()
+            d, e = discounts(*spectra[0, :4].tolist()), discounts(*spectra[:, 5:9].sum(axis=0).tolist())
+            spread = e[0] * e1 + e[1] * e2 + e[2] * (n_words - e1 - e2)
+            floor = (spread / n_types if n_types else 1.0) / (n_words + 1)
+            lower = (before - np.array([0.0, *e])[np.minimum(before, 3)]) / max(n_types, 1) + floor
+            weight = np.where(total > 0, np.tensordot(d, after, 1) / np.maximum(total, 1), 1.0)
+            v = g.pairs // max(len(g.words), 1)
+            share = (count - np.array([0.0, *d])[np.minimum(count, 3)]) / np.maximum(total[v], 1)
+            logs = _log_sums(g, lower, weight, share)
+        else:
+            logs = np.zeros(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.round(np.exp(-logs / g.sizes), 4)
+        h1, h2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+        return pa.table([h1, h2, pa.array(g.sizes), pa.array(found, mask=g.sizes == 0)], ["h1", "h2", "n_words", "perplexity"])
+
+    return run
+
+
+def _trusted(table: pa.Table) -> tuple[np.ndarray, Grams]:
+    """Which texts of a block are trusted, and the n-grams of them all."""
+    keys, _, g = _texts(table)
+    marked = table.filter(pa.compute.equal(table.column("copies"), 0))
+    marks = set(zip(marked.column("h1").to_pylist(), marked.column("h2").to_pylist(), strict=True))
+    return np.array([k in marks for k in keys], bool), g
+
+
+def learned(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, lang, n_words, perplexity of every document, under the model of all documents ``ids``; a text counts once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # odd numbers of shards
+    blocks, word_shards = size // BLOCK_BYTES + 1, size // BLOCK_BYTES // 8 * 2 + 1
+    shards, parts = blocks // 2 * 2 + 1, max(LEAST_PARTITIONS, 2 * blocks)
+    placed = rows.withColumn("block", F.pmod("h1", F.lit(blocks)))
+    marks = placed.select("doc_id", "block", "h1", "h2").join(ids.hint("merge"), "doc_id", "left_semi").select("block", "h1", "h2").distinct()
+    marks = marks.select("block", "h1", "h2", F.lit(0).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("text"))
+    once = placed.select("block", "h1", "h2", "text").mapInArrow(_once, "block bigint, h1 bigint, h2 bigint, copies bigint, text binary")
+    texts = once.union(marks).repartition(parts, "block")
+    asked = texts.groupBy("block").applyInArrow(_ask_bigrams(shards), _ASKED_DDL).repartition(shards, "shard")
+    bigrams = asked.groupBy("shard").applyInArrow(_count_bigrams, _REPLY_DDL).repartition(parts, "block")
+    asked = texts.groupBy("block").cogroup(bigrams.groupBy("block")).applyInArrow(_ask_words(shards, word_shards), _ASKED_DDL).repartition(word_shards, "shard")
+    words = asked.groupBy("shard").applyInArrow(_count_words, _REPLY_DDL)
+    replies = bigrams.union(words).repartition(parts, "block")
+    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_block_perplexities(shards, word_shards), "h1 bigint, h2 bigint, n_words bigint, perplexity double")
+    return rows.select("doc_id", "lang", "h1", "h2").join(scored.hint("merge"), ["h1", "h2"]).select("doc_id", "lang", "n_words", "perplexity")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,8 +326,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     first = F.lit(good.agg(F.min_by("doc_id", place)).first()[0])
     good = stage(good.withColumn("seen", (F.pmod(place, F.lit(HELD_OUT)) != 0) & (F.col("doc_id") != first)), "trusted")
-    model = train(fit_sample(docs, good.where("seen").select("doc_id")))
-    scored = stage(perplexities(docs, model), "perplexities")
+    scored = stage(learned(docs, good.where("seen").select("doc_id")), "perplexities")
     unseen = scored.join(good.where("NOT seen").select("doc_id", F.lit(True).alias("unseen")), "doc_id", "left")
     of_trusted = F.percentile_approx(F.when(F.col("unseen"), F.col("perplexity")), QUANTILE, 10000)
     pooled = F.lit(unseen.agg(of_trusted).first()[0]).cast("double")

@@ -599,6 +599,28 @@ def test_quality_rejects_junk_of_small_tables(spark):
     assert alone.count() == 0
 
 
+def test_quality_learns_from_all_trusted_texts(spark, monkeypatch):
+    """More trusted texts than any sample holds, in many blocks: the same as one model of them all, held in memory."""
+    monkeypatch.setattr(quality_lm, "BLOCK_BYTES", 40_000, raising=False)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    good = [(i, " ".join(rng.choices(vocabulary, weights=range(3000, 0, -1), k=rng.randint(1, 30))), "en") for i in range(3000)]
+    other = [(5000 + i, " ".join(rng.choices(vocabulary, k=20)), "en") for i in range(50)]
+    odd = [(None, good[0][1], "de"), (6000, good[1][1], None), (6001, None, "en"), (6002, " \t", "en"), (6003, "w1 never w2", "en"), (7, "the second text of an id", "en")]
+    rows = spark.createDataFrame(good + other + odd, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(5000, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    ids = [r.doc_id for r in spark.range(3000).toDF("doc_id").orderBy(F.xxhash64("doc_id")).where(f"pmod(xxhash64(doc_id), {quality_lm.HELD_OUT}) <> 0").collect()]
+    first = spark.range(3000).toDF("doc_id").agg(F.min_by("doc_id", F.xxhash64("doc_id"))).first()[0]
+    seen = set(ids) - {first}
+    texts = {t for i, t, _ in good + odd if i in seen}
+    assert len(texts) > 2200
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = sorted(((r.doc_id, r.lang, r.n_words, r.perplexity) for r in quality_lm.perplexities(rows, model).collect()), key=repr)
+    got = sorted(((r.doc_id, r.lang, r.n_words, r.perplexity) for r in quality_lm.classify(rows, labels).collect()), key=repr)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(a[3] == b[3] or abs(a[3] - b[3]) <= 1.01e-4 for a, b in zip(got, want, strict=True))
+
+
 def test_lm_scores_of_odd_input(odd, spark):
     null_id = odd.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("bigint"))
     rows = lm_scoring.score(odd.union(null_id)).collect()

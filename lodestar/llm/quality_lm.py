@@ -29,17 +29,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, stage, text_batches
-from .lm_scoring import _once, _texts
-from .ngrams import Grams, WordHashes, bigram_hash
+from .ngrams import Grams, TableHashes, WordHashes, bigram_hash
 
 #: Bytes of the texts of a block, and partitions of blocks at least.
 BLOCK_BYTES, LEAST_PARTITIONS = 13_000_000, 16
+#: Words with short names (two are 32 bits), languages with blocks of their own, bytes of texts that a task bundles at once.
+BOOK, MOST_LANGUAGES, BUNDLED_BYTES = 65536, 64, 64_000_000
+#: Texts that a task remembers having sent; it forgets all of them at this number.
+MEMORY = 500_000
 #: One trusted document in so many, and always the first by hash, is left out of the model, for thresholds.
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -148,7 +151,7 @@ def perplexities(docs: DataFrame, model: dict) -> DataFrame:
 
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers, compressed by place: the lowest bytes of all, then the next, so that small ones take little room."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(packed: bytes, kind: type) -> np.ndarray:
@@ -156,19 +159,28 @@ def _unpack(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _dealt(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the n-grams by shard and hash, and where in it each shard begins and ends."""
-    shard = (grams % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(grams)
+def _named(g: Grams, book: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Names of the words and bigrams, and which have short ones: a place in the book, or two, else the 64-bit hash."""
+    at = np.searchsorted(book, g.words)
+    short = book[np.minimum(at, len(book) - 1)] == g.words if len(book) else np.zeros(len(at), bool)
+    v, w = np.divmod(g.pairs, max(len(g.words), 1))
+    both = short[v] & short[w]
+    return [(np.where(short, at.astype(np.uint64), g.words), short), (np.where(both, (at[v] * BOOK + at[w]).astype(np.uint64), g.bigrams), both)]
+
+
+def _dealt(names: np.ndarray, short: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the n-grams by shard (``shards`` for hashes, then as many for short names) and name, and where in it each shard begins and ends."""
+    shard = (names % np.uint64(shards)).astype(np.int32) + shards * short.astype(np.int32)
+    order = np.argsort(names)
     order = order[np.argsort(shard[order], kind="stable")]
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    return order, np.searchsorted(shard[order], np.arange(2 * shards + 1))
 
 
-def _asks(block: int, grams: np.ndarray, counts: np.ndarray, shards: int, spectrum: list[int]) -> pa.Table:
+def _asks(block: int, names: np.ndarray, short: np.ndarray, counts: np.ndarray, shards: int, spectrum: list[int]) -> pa.Table:
     """(shard, block, gram, n, spectrum), a row for every shard: n-grams in order, their counts (a line for each kind)."""
-    order, cuts = _dealt(grams, shards)
-    named = grams[order] // np.uint64(shards)
-    rows = [(s, block, _pack(np.diff(named[a:b], prepend=np.uint64(0))), _pack(counts[:, order[a:b]].ravel()), spectrum) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    order, cuts = _dealt(names, short, shards)
+    names = names[order] // np.uint64(shards)
+    rows = [(s, block, _pack(np.diff(names[a:b], prepend=np.uint64(0))), _pack(counts[:, order[a:b]].ravel()), spectrum) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ASKED.types, strict=True)], _ASKED)
 
 
@@ -211,13 +223,13 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c)]
 
 
-def _ask_bigrams(shards: int):
+def _ask_bigrams(shards: int, book: Broadcast):
     """The bigrams of a block's texts, and how often its trusted texts have each."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        trusted, g = _trusted(table)
+        _, trusted, g = _block_texts(table)
         n = np.bincount(g.pair_at, trusted[g.doc[g.second]], len(g.bigrams)).astype(np.int64)
-        return _asks(key[0].as_py(), g.bigrams, n[None], shards, [])
+        return _asks(key[0].as_py(), *_named(g, book.value)[1], n[None], shards, [])
 
     return run
 
@@ -234,21 +246,20 @@ def _count_bigrams(key: tuple, table: pa.Table) -> pa.Table:
     return _replies(blocks, sizes, out, "bigram", []).append_column("shard", pa.array([key[0].as_py()] * len(blocks), pa.int64()))
 
 
-def _ask_words(shards: int, word_shards: int):
+def _ask_words(shards: int, word_shards: int, book: Broadcast):
     """The words of a block's texts, with sums over the bigrams that the block is the first to have.
 
     As a context: sum of counts, bigrams of count 1, 2 and more; as a second word: bigrams.
     """
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        _, g = _trusted(texts)
-        if not len(texts):
-            return _ASKED.empty_table()
-        found = _answered(replies, _dealt(g.bigrams, shards)[0], 1)[0]
+        *_, g = _block_texts(texts)
+        named, pairs = _named(g, book.value)
+        found = _answered(replies, _dealt(*pairs, shards)[0], 1)[0]
         mine = (found & 1) == 1
         c, (v, w), words = found[mine] >> 1, np.divmod(g.pairs[mine], max(len(g.words), 1)), len(g.words)
         tally = [np.bincount(v, c, words), *(np.bincount(v[x], minlength=words) for x in (c == 1, c == 2, c > 2)), np.bincount(w, minlength=words)]
-        return _asks(texts.column("block")[0].as_py(), g.words, np.array(tally).astype(np.int64), word_shards, _of_counts(c))
+        return _asks(texts.column("block")[0].as_py(), *named, np.array(tally).astype(np.int64), word_shards, _of_counts(c))
 
     return run
 
@@ -261,14 +272,14 @@ def _count_words(key: tuple, table: pa.Table) -> pa.Table:
     return _replies(blocks, sizes, n, "word", spectrum).append_column("shard", pa.array([key[0].as_py()] * len(blocks), pa.int64()))
 
 
-def _block_perplexities(shards: int, word_shards: int):
+def _block_perplexities(shards: int, word_shards: int, book: Broadcast):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        keys, _, g = _texts(texts)
+        keys, _, g = _block_texts(texts)
         if len(keys):
-            kind = replies.column("kind").to_pylist()
+            kind, (named, pairs) = replies.column("kind").to_pylist(), _named(g, book.value)
             of_words = replies.filter(pa.array([k == "word" for k in kind]))
-            count = _answered(replies.filter(pa.array([k == "bigram" for k in kind])), _dealt(g.bigrams, shards)[0], 1)[0] >> 1
-            total, *after, before = _answered(of_words, _dealt(g.words, word_shards)[0], 5)
+            count = _answered(replies.filter(pa.array([k == "bigram" for k in kind])), _dealt(*pairs, shards)[0], 1)[0] >> 1
+            total, *after, before = _answered(of_words, _dealt(*named, word_shards)[0], 5)
             spectra = np.array(of_words.column("spectrum").to_pylist(), np.int64)
             n_types, (e1, e2, _, _, n_words) = int(spectra[0, 4]), spectra[:, 5:].sum(axis=0).tolist()
             d, e = discounts(*spectra[0, :4].tolist()), discounts(*spectra[:, 5:9].sum(axis=0).tolist())
@@ -284,17 +295,80 @@ def _block_perplexities(shards: int, word_shards: int):
         with np.errstate(divide="ignore", invalid="ignore"):
             found = np.round(np.exp(-logs / g.sizes), 4)
         h1, h2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
-        return pa.table([h1, h2, pa.array(g.sizes), pa.array(found, mask=g.sizes == 0)], ["h1", "h2", "n_words", "perplexity"])
+        block = pa.array([texts.column("block")[0].as_py()] * len(keys), pa.int64())
+        return pa.table([block, h1, h2, pa.array(g.sizes), pa.array(found, mask=g.sizes == 0)], ["block", "h1", "h2", "n_words", "perplexity"])
 
     return run
 
 
-def _trusted(table: pa.Table) -> tuple[np.ndarray, Grams]:
-    """Which texts of a block are trusted, and the n-grams of them all."""
-    keys, _, g = _texts(table)
-    marked = table.filter(pa.compute.equal(table.column("copies"), 0))
-    marks = set(zip(marked.column("h1").to_pylist(), marked.column("h2").to_pylist(), strict=True))
-    return np.array([k in marks for k in keys], bool), g
+def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h1, h2, size, text): a task's texts, each but once, of a block together, as they take less room so."""
+    press, known, held, room = zstandard.ZstdCompressor(level=6).compress, set(), {}, 0
+
+    def bundles() -> pa.RecordBatch:
+        rows = [(block, *zip(*((h1, h2, len(t)) for h1, h2, t in found), strict=True), press(b"".join(t for *_, t in found))) for block, found in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BUNDLE.types, strict=True)], schema=_BUNDLE)
+
+    for batch in text_batches(batches):
+        for block, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("block", "h1", "h2", "text")), strict=True):
+            if (block, h1, h2) not in known:
+                known.add((block, h1, h2))
+                held.setdefault(block, []).append((h1, h2, text.encode("utf-8", "surrogatepass")))
+                room += len(held[block][-1][2])
+        if room > BUNDLED_BYTES:
+            yield bundles()
+            room = 0
+        if len(known) > MEMORY:
+            known.clear()
+    if held:
+        yield bundles()
+
+
+_BUNDLE = pa.schema([("block", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("text", pa.binary())])
+_BUNDLE_DDL = "block bigint, h1 array<bigint>, h2 array<bigint>, size array<bigint>, text binary"
+
+
+def _block_texts(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, Grams]:
+    """Keys of a block's texts, in order; which are trusted; and the n-grams of them all.  Rows without text mark trusted ones."""
+    hashes, words, marks = {}, TableHashes(), set()
+    for h1, h2, size, text in zip(*(table.column(c) for c in ("h1", "h2", "size", "text")), strict=True):
+        keys, text = list(zip(h1.as_py(), h2.as_py(), strict=True)), text.as_py()
+        if text is None:
+            marks.update(keys)
+            continue
+        text, at = zstandard.decompress(text), 0
+        for key, n in zip(keys, size.as_py(), strict=True):
+            if key not in hashes:
+                hashes[key] = words.of(text[at : at + n].decode("utf-8", "surrogatepass"))
+            at += n
+    keys = sorted(hashes)
+    sizes = np.array([len(hashes[k]) for k in keys], np.int64)
+    joined = np.concatenate([hashes.pop(k) for k in keys]) if keys else np.zeros(0, np.uint64)
+    return keys, np.array([k in marks for k in keys], bool), Grams(sizes, joined)
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = TableHashes()
+    for batch in text_batches(batches):
+        found = [words.of(t) for t in batch.column("text").to_pylist()]
+        w, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+
+
+def _blocks(rows: DataFrame) -> tuple[Column, int]:
+    """The block of each row, and how many there are: blocks of one language where it fills some, as its texts share n-grams."""
+    size = F.sum(F.octet_length("text")).alias("size")
+    total = rows.agg(size).first()[0] or 0
+    # at most ``MOST_LANGUAGES`` rows
+    own = [r for r in rows.groupBy("lang").agg(size).where("lang IS NOT NULL").orderBy(F.desc("size"), "lang").limit(MOST_LANGUAGES).collect() if r["size"] > BLOCK_BYTES]
+    n = (total - sum(r["size"] for r in own)) // BLOCK_BYTES + 1
+    block = F.pmod("h1", F.lit(n))
+    for r in own:
+        mine = round(r["size"] / BLOCK_BYTES)
+        block = F.when(F.col("lang") == r["lang"], F.pmod("h1", F.lit(mine)) + n).otherwise(block)
+        n += mine
+    return F.coalesce(block, F.pmod("h1", F.lit(1))).cast("bigint"), n
 
 
 def learned(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -302,22 +376,24 @@ def learned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # odd numbers of shards
-    blocks, word_shards = size // BLOCK_BYTES + 1, size // BLOCK_BYTES // 8 * 2 + 1
-    shards, parts = blocks // 2 * 2 + 1, max(LEAST_PARTITIONS, 2 * blocks)
-    placed = rows.withColumn("block", F.pmod("h1", F.lit(blocks)))
-    marks = placed.select("doc_id", "block", "h1", "h2").join(ids.hint("merge"), "doc_id", "left_semi").select("block", "h1", "h2").distinct()
-    marks = marks.select("block", "h1", "h2", F.lit(0).cast("bigint").alias("copies"), F.lit(None).cast("binary").alias("text"))
-    once = placed.select("block", "h1", "h2", "text").mapInArrow(_once, "block bigint, h1 bigint, h2 bigint, copies bigint, text binary")
-    texts = once.union(marks).repartition(parts, "block")
-    asked = texts.groupBy("block").applyInArrow(_ask_bigrams(shards), _ASKED_DDL).repartition(shards, "shard")
+    block, blocks = _blocks(rows)
+    rows = rows.withColumn("block", block)
+    # odd numbers of shards deal short names evenly
+    shards, word_shards, parts = blocks // 4 * 2 + 1, blocks // 16 * 2 + 1, max(LEAST_PARTITIONS, 2 * blocks)
+    # the book is made of about one block's worth of texts; it sets how n-grams are written, not what is counted
+    some = rows.where(F.pmod("h2", F.lit(blocks)) == 0).select("text").mapInArrow(_word_counts, "w bigint, n bigint")
+    book = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(BOOK).select("w").toArrow().column("w").to_numpy()
+    book = docs.sparkSession.sparkContext.broadcast(np.sort(book.view(np.uint64)))
+    marks = rows.select("doc_id", "block", "h1", "h2").join(ids.hint("merge"), "doc_id", "left_semi").groupBy("h1", "h2").agg(F.min("block").alias("block"))
+    marks = marks.select("block", F.array("h1").alias("h1"), F.array("h2").alias("h2"), F.array(F.lit(0).cast("bigint")).alias("size"), F.lit(None).cast("binary").alias("text"))
+    texts = rows.select("block", "h1", "h2", "text").mapInArrow(_bundles, _BUNDLE_DDL).union(marks).repartition(parts, "block")
+    asked = texts.groupBy("block").applyInArrow(_ask_bigrams(shards, book), _ASKED_DDL).repartition(2 * shards, "shard")
     bigrams = asked.groupBy("shard").applyInArrow(_count_bigrams, _REPLY_DDL).repartition(parts, "block")
-    asked = texts.groupBy("block").cogroup(bigrams.groupBy("block")).applyInArrow(_ask_words(shards, word_shards), _ASKED_DDL).repartition(word_shards, "shard")
-    words = asked.groupBy("shard").applyInArrow(_count_words, _REPLY_DDL)
-    replies = bigrams.union(words).repartition(parts, "block")
-    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_block_perplexities(shards, word_shards), "h1 bigint, h2 bigint, n_words bigint, perplexity double")
-    return rows.select("doc_id", "lang", "h1", "h2").join(scored.hint("merge"), ["h1", "h2"]).select("doc_id", "lang", "n_words", "perplexity")
+    asked = texts.groupBy("block").cogroup(bigrams.groupBy("block")).applyInArrow(_ask_words(shards, word_shards, book), _ASKED_DDL).repartition(2 * word_shards, "shard")
+    words = asked.groupBy("shard").applyInArrow(_count_words, _REPLY_DDL).repartition(parts, "block")
+    replies = bigrams.union(words)
+    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_block_perplexities(shards, word_shards, book), "block bigint, h1 bigint, h2 bigint, n_words bigint, perplexity double")
+    return rows.select("doc_id", "lang", "block", "h1", "h2").join(scored.hint("merge"), ["block", "h1", "h2"]).select("doc_id", "lang", "n_words", "perplexity")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

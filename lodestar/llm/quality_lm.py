@@ -9,7 +9,7 @@ with weights n and ``POOLED``.  The rule is the same at every size; a language w
 quantile over all languages.
 
 Scale.  The model is learned from all trusted texts but those held out, and is nowhere whole (``learned``).
-Texts lie in blocks of about ``BLOCK_BYTES``, chosen by the text's hash.  A block asks each shard for its
+Texts lie in blocks of about ``BLOCK_BYTES``, by language and the text's hash.  A block asks each shard for its
 distinct bigrams, with its own trusted counts; the shard adds them up and answers.  What sums over bigrams a word
 needs is added up in the same way by shards of words: a bigram is counted for its words by the first block that
 has it.  Counts of counts travel with these rows.  Blocks and shards grow in number with the corpus, not in
@@ -39,8 +39,8 @@ from .ngrams import Grams, TableHashes, WordHashes, bigram_hash
 
 #: Bytes of the texts of a block, and partitions of blocks at least.
 BLOCK_BYTES, LEAST_PARTITIONS = 13_000_000, 16
-#: Words with short names (two are 32 bits), languages with blocks of their own, bytes of texts that a task bundles at once.
-BOOK, MOST_LANGUAGES, BUNDLED_BYTES = 65536, 64, 64_000_000
+#: Words with short names (two are 36 bits), languages with blocks of their own, bytes of texts that a task bundles at once.
+BOOK, MOST_LANGUAGES, BUNDLED_BYTES = 262144, 64, 64_000_000
 #: Texts that a task remembers having sent; it forgets all of them at this number.
 MEMORY = 500_000
 #: One trusted document in so many, and always the first by hash, is left out of the model, for thresholds.
@@ -151,7 +151,7 @@ def perplexities(docs: DataFrame, model: dict) -> DataFrame:
 
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers, compressed by place: the lowest bytes of all, then the next, so that small ones take little room."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unpack(packed: bytes, kind: type) -> np.ndarray:
@@ -303,7 +303,7 @@ def _block_perplexities(shards: int, word_shards: int, book: Broadcast):
 
 def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, h1, h2, size, text): a task's texts, each but once, of a block together, as they take less room so."""
-    press, known, held, room = zstandard.ZstdCompressor(level=6).compress, set(), {}, 0
+    press, known, held, room = zstandard.ZstdCompressor(level=10).compress, set(), {}, 0
 
     def bundles() -> pa.RecordBatch:
         rows = [(block, *zip(*((h1, h2, len(t)) for h1, h2, t in found), strict=True), press(b"".join(t for *_, t in found))) for block, found in held.items()]

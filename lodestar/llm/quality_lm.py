@@ -13,7 +13,7 @@ Texts lie in blocks of about ``BLOCK_BYTES``, by language and the text's hash.
 distinct bigrams, with its own trusted counts; the shard adds them up and answers.  What sums over bigrams a word
 needs is added up in the same way by shards of words: a bigram is counted for its words by the first block that
 has it.  Counts of counts travel with these rows.  Blocks and shards grow in number with the corpus, not in
-size; nothing is broadcast or collected.  ``train`` and ``perplexities`` are the model held in memory, for
+size; only the book of short names, of bounded size, is collected and broadcast.  ``train`` and ``perplexities`` are the model held in memory, for
 trusted texts few enough for that; both give the same perplexities.
 
 Defined results: a null or wordless text has null perplexity and is not kept; repeated rows are each

@@ -98,10 +98,13 @@ _SCAN = sql("product", f"""+{_ENTRY}, {_SCANNED.replace("scan AS", "scanned AS",
     {_SCAN_LANES}{_SHELF_TIERS}{_ANY_TIERS} {_SCAN_ROWS}""")
 
 
+def _candidates(spark, sf_dir, family):
+    return products(spark, sf_dir).selectExpr("pid AS cand", "brand", f"{family} AS family", "category AS shelf", "IF(pid % 11 <> 0, price, null) AS price", "concat(name, '/', pid % 40) AS same", "pid AS ord", "pid % 4 = 0 AS no_photo")
+
+
 def _trusted(spark, sf_dir):
     """Rows that may answer a shelf row: every second product."""
-    rows = products(spark, sf_dir).selectExpr("pid AS cand", "brand", f"IF(pid % 10 < 8, {_KIND.format(_NOUN)}, null) AS family", "category AS shelf", "IF(pid % 11 <> 0, price, null) AS price", "concat(name, '/', pid % 40) AS same", "pid AS ord", "pid % 4 = 0 AS no_photo")
-    return rows.where("cand % 2 = 0 AND cand % 7 < 4")
+    return _candidates(spark, sf_dir, f"IF(pid % 10 < 8, {_KIND.format(_NOUN)}, null)").where("cand % 2 = 0 AND cand % 7 < 4")
 
 
 def _row_probes(spark, sf_dir):
@@ -115,9 +118,11 @@ def row_cascade(spark, sf_dir):
     return cascade.for_row(_row_probes(spark, sf_dir), entries(spark, sf_dir), _offered(spark, sf_dir), stage(_trusted(spark, sf_dir), "cascade-pool"))
 
 
-_TRUSTED = f"""trusted AS (SELECT pid AS cand, brand, CASE WHEN pid % 10 < 8 THEN {_KINDS!r}[list_position({_NOUNS!r}, {_WORD})] END AS family, category AS shelf, CASE WHEN pid % 11 <> 0 THEN price END AS price, name || '/' || (pid % 40) AS same, pid % 4 = 0 AS no_photo FROM product WHERE pid % 2 = 0 AND pid % 7 < 4),
-    q AS (SELECT s.pid, replace(hint, '-', ' ') AS hint, p.brand AS own, CASE WHEN s.pid % 3 = 1 THEN {_KINDS!r}[list_position({_NOUNS!r}, {_WORD})] END AS family, CASE WHEN s.pid % 5 <> 0 THEN category END AS shelf, name || '/' || (s.pid % 40) AS same FROM scan s JOIN product p USING (pid)),
+_KIND_OF = f"{_KINDS!r}[list_position({_NOUNS!r}, {{0}})]"
+_CANDIDATES = "trusted AS (SELECT pid AS cand, brand, {family} AS family, category AS shelf, CASE WHEN pid % 11 <> 0 THEN price END AS price, name || '/' || (pid % 40) AS same, pid % 4 = 0 AS no_photo FROM product{where})"
+_ASKED = f"""q AS (SELECT s.pid, replace(hint, '-', ' ') AS hint, p.brand AS own, CASE WHEN s.pid % 3 = 1 THEN {_KINDS!r}[list_position({_NOUNS!r}, {_WORD})] END AS family, CASE WHEN s.pid % 5 <> 0 THEN category END AS shelf, name || '/' || (s.pid % 40) AS same FROM scan s JOIN product p USING (pid)),
     cat AS (SELECT hint, entry, ord FROM (SELECT DISTINCT hint FROM q WHERE hint IS NOT NULL) JOIN entry ON category = hint OR len(list_filter(tags, lambda t: contains(' ' || regexp_replace(t, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || hint || ' '))) > 0)"""
+_TRUSTED = f"{_CANDIDATES.format(family=f'CASE WHEN pid % 10 < 8 THEN {_KIND_OF.format(_WORD)} END', where=' WHERE pid % 2 = 0 AND pid % 7 < 4')},\n    {_ASKED}"
 _CATEGORY_ANSWERS = """SELECT {key}, alt, row_number() OVER (PARTITION BY {key} ORDER BY o, alt) AS place FROM (SELECT {key}, 'Brand ' || (entry + place) AS alt, min((ord, place)) AS o FROM cat, range(1, 4) t(place) GROUP BY 1, 2)"""
 _UNPLACED = _SCANNED.replace("CASE WHEN pid % 3 <> 0 THEN k END AS family", "NULL::VARCHAR AS family")
 _ROW = sql("product", f"""+{_ENTRY}, {_UNPLACED}, {_PAIR}, {_TRUSTED}, ca AS ({_CATEGORY_ANSWERS.format(key="hint")}),
@@ -153,31 +158,43 @@ _CATEGORY = sql("product", f"""+{_ENTRY}, {_CATEGORY_SCAN}, {_SCAN_LANES.replace
     SELECT pid AS probe, 'brand-category-match' AS via, place::INT AS place, alt FROM ca WHERE place <= 6 UNION ALL {_SCAN_ROWS}""")
 
 
-def _exact(spark, sf_dir):
-    rows = _row_probes(spark, sf_dir).withColumn("family", F.expr("IF(probe % 5 < 4, family, null)"))
-    asked = rows.drop("family").join(products(spark, sf_dir).selectExpr("pid AS probe", f"IF(pid % 5 < 4, {_KIND.format(_NOUN)}, null) AS family"), "probe")
-    return cascade.exact(asked, entries(spark, sf_dir), _offered(spark, sf_dir), stage(_trusted(spark, sf_dir), "cascade-pool"))
+def _exact(spark, sf_dir, family, pool):
+    asked = _row_probes(spark, sf_dir).drop("family").join(products(spark, sf_dir).selectExpr("pid AS probe", f"{family} AS family"), "probe")
+    return cascade.exact(asked, entries(spark, sf_dir), _offered(spark, sf_dir), stage(pool, "cascade-pool"))
 
 
 def exact_answers(spark, sf_dir):
-    """Answers of the product's own family alone: the brand's entry, the category's entry, trusted rows with a photo first."""
-    return _exact(spark, sf_dir)[0]
+    """Answers of every product's own family alone: the brand's entry, the category's entry, all products of it with a photo first.
+
+    An answer is the first six in a total order, the number that the answer shows (fixed value); all others of the family compete.
+    """
+    family = _KIND.format(_NOUN)
+    return _exact(spark, sf_dir, family, _candidates(spark, sf_dir, family))[0]
 
 
 def exact_refusals(spark, sf_dir):
     """Entries of products' brands that were refused, by reason."""
-    return _exact(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n_probes"), F.sum("n").alias("n"))
+    refused = _exact(spark, sf_dir, f"IF(pid % 5 < 4, {_KIND.format(_NOUN)}, null)", _trusted(spark, sf_dir))[1]
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n_probes"), F.sum("n").alias("n"))
+
 
+_PLACED = _KIND_OF.format("string_split(split_part(same, '/', 1), ' ')[-1]")
 
-_EXACT = f"""{_ENTRY}, {_SCANNED}, {_PAIR}, {_TRUSTED},
-    e1 AS (SELECT q.* EXCLUDE (family), CASE WHEN pid % 5 < 4 THEN {_KINDS!r}[list_position({_NOUNS!r}, string_split(split_part(same, '/', 1), ' ')[-1])] END AS family FROM q),
+
+def _exact_sql(pool, family):
+    return f"""{_ENTRY}, {_SCANNED}, {_PAIR}, {pool},
+    e1 AS (SELECT q.* EXCLUDE (family), {family} AS family FROM q),
     of_ AS (SELECT entry, ord, CASE WHEN len(families) = 1 THEN families[1] END AS f FROM entry),
     hit AS (SELECT e1.pid, family, o.* FROM e1 JOIN pair p USING (pid) JOIN of_ o ON o.entry = p.entry WHERE family IS NOT NULL),
     a1 AS (SELECT pid, arg_min(entry, ord) AS entry, min(ord) AS first_ FROM hit WHERE f = family GROUP BY 1),
     a2 AS (SELECT e1.pid, arg_min(o.entry, o.ord) AS entry FROM e1 JOIN cat USING (hint) JOIN of_ o ON o.entry = cat.entry AND o.f = e1.family WHERE e1.pid NOT IN (SELECT pid FROM a1) GROUP BY 1),
     r2 AS (SELECT * FROM e1 WHERE family IS NOT NULL AND pid NOT IN (SELECT pid FROM a1) AND pid NOT IN (SELECT pid FROM a2)),
     f0 AS (SELECT r.pid, t.cand, t.price, no_photo, row_number() OVER (PARTITION BY r.pid, t.same ORDER BY no_photo, t.price NULLS LAST, t.cand) AS k FROM r2 r JOIN trusted t ON r.family = t.family AND r.own <> t.brand AND r.same <> t.same)"""
-_EXACT_ANSWERS = sql("product", f"""+{_EXACT} SELECT pid AS probe, 'brand-match' AS via, place::INT AS place, 'Brand ' || (entry + place) AS alt FROM a1, range(1, 4) t(place)
+
+
+_EXACT = _exact_sql(_TRUSTED, f"CASE WHEN pid % 5 < 4 THEN {_PLACED} END")
+_EXACT_WHOLE = _exact_sql(f"{_CANDIDATES.format(family=_KIND_OF.format(_WORD), where='')},\n    {_ASKED}", _PLACED)
+_EXACT_ANSWERS = sql("product", f"""+{_EXACT_WHOLE} SELECT pid AS probe, 'brand-match' AS via, place::INT AS place, 'Brand ' || (entry + place) AS alt FROM a1, range(1, 4) t(place)
     UNION ALL SELECT pid, 'brand-category-match', place::INT, 'Brand ' || (entry + place) FROM a2, range(1, 4) t(place)
     UNION ALL SELECT * FROM (SELECT pid, 'catalog-family-fallback', row_number() OVER (PARTITION BY pid ORDER BY no_photo, price NULLS LAST, cand)::INT AS place, cand::VARCHAR FROM f0 WHERE k = 1) WHERE place <= 6""")
 _EXACT_REFUSALS = sql("product", f"""+{_EXACT} SELECT reason, count(DISTINCT pid) AS n_probes, count(*) AS n FROM (SELECT hit.pid, CASE WHEN f IS NULL THEN 'entry spans families' ELSE 'different family' END AS reason FROM hit LEFT JOIN a1 USING (pid)

@@ -127,7 +127,7 @@ def _identity_rules(spark, sf_dir):
     """A rule for each name and brand, and one for each adjective and shelf."""
     parts = table(spark, sf_dir, "part").selectExpr("split(p_name, ' ') AS w", "cast(substr(p_brand, 7) AS int) AS b", "lower(p_type) AS t")
     by_brand = parts.select("w", "b").distinct().selectExpr("concat_ws(' ', 'b', w[0], w[1], b) AS rule", "concat('f', left(w[1], 1)) AS family", "w AS all_of", "array(concat('b', b), concat('c', b)) AS any_of", "array(concat('t', b % 7), 'promo') AS none_of")
-    by_shelf = parts.select(F.expr("w[0] AS a"), "t").distinct().selectExpr("concat_ws(' ', 'a', a, t) AS rule", "concat('f', left(a, 1)) AS family", "array() AS all_of", "array(concat(left(a, 2), t), concat(a, '*')) AS any_of", "array('box', concat(left(t, 3), '*')) AS none_of").where("length(rule) < 12")
+    by_shelf = parts.select(F.expr("w[0] AS a"), "t").distinct().selectExpr("concat_ws(' ', 'a', a, t) AS rule", "concat('f', left(a, 1)) AS family", "array() AS all_of", "array(concat(left(a, 2), t), concat(a, '*')) AS any_of", "array('box', concat(left(t, 3), '*')) AS none_of")
     return by_brand.unionByName(by_shelf).withColumn("ord", F.col("rule"))
 
 
@@ -139,7 +139,7 @@ def product_identity(spark, sf_dir):
 
 _IDENTITY = f"""x AS (SELECT string_split(p_name, ' ') AS w, substr(p_brand, 7)::INT AS b, lower(p_type) AS t FROM part),
     rule AS (SELECT DISTINCT 'b ' || w[1] || ' ' || w[2] || ' ' || b AS rule, 'f' || left(w[2], 1) AS family, w AS all_of, ['b' || b, 'c' || b] AS any_of, ['t' || (b % 7), 'promo'] AS none_of FROM x
-        UNION ALL SELECT * FROM (SELECT DISTINCT 'a ' || w[1] || ' ' || t AS rule, 'f' || left(w[1], 1), []::VARCHAR[], [left(w[1], 2) || t, w[1] || '*'], ['box', left(t, 3) || '*'] FROM x) WHERE length(rule) < 12),
+        UNION ALL SELECT DISTINCT 'a ' || w[1] || ' ' || t AS rule, 'f' || left(w[1], 1), []::VARCHAR[], [left(w[1], 2) || t, w[1] || '*'], ['box', left(t, 3) || '*'] FROM x),
     title AS (SELECT pid, list_concat(ws, list_transform(list_filter(ws, lambda y: length(y) >= 3), lambda y: left(y, 3) || '*'), list_transform(ws, lambda y: y || '*'), list_transform(list_filter(ws, lambda y: length(y) >= 4), lambda y: left(y, 4) || '*'), list_transform(list_filter(ws, lambda y: length(y) >= 5), lambda y: left(y, 5) || '*')) AS said
         FROM (SELECT pid, string_split(lower(concat_ws(' ', name, 'b' || substr(brand, 7), category, 't' || (pid % 7), CASE WHEN pid % 10 = 0 THEN 'box' END)), ' ') AS ws FROM product)),
     met AS (SELECT pid, r.* FROM title JOIN rule r ON list_has_all(said, all_of) AND list_has_any(said, any_of) AND NOT list_has_any(said, none_of))"""
